@@ -133,23 +133,48 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def chunks(sums: np.ndarray, bounds: np.ndarray, length: int, k: int):
-    """Cut the windows of `length` units of each row into runs that share the least hash of their k-grams.
+    """Cut the windows of `length` units of each row into runs by the place of the least hash of their k-grams.
 
-    `bounds` holds the first unit of each row (one more than rows).  Equal windows have equal least
-    hashes wherever they stand, so a window can only recur in runs with the same key.  Returns the row,
-    key, content hash, first window within the row and number of windows of each run.
+    `bounds` holds the first unit of each row (one more than rows).  Of ties the last place counts, so that equal
+    windows, wherever they stand and however often within one row, have equal least hashes at different places
+    and fall into different runs with the same key.  Returns the row, key, content hash, first window within the
+    row and number of windows of each run.
     """
-    least = sliding_min(grams(sums, k), length - k + 1)
+    own = grams(sums, k)
+    low = np.uint64((1 << max(1, len(own).bit_length())) - 1)
+    ranked = (own & ~low) | (low - np.arange(len(own), dtype=np.uint64))
+    least = sliding_min(ranked, length - k + 1)
     counts = np.maximum(np.diff(bounds) - length + 1, 0)
     rows = np.repeat(np.arange(len(counts)), counts)
     if not len(rows):
         e = np.empty(0, dtype=np.int64)
         return e, e.astype(np.uint64), e.astype(np.uint64), e, e
     at = ranges(bounds[:-1], counts)
-    keys = least[at]
+    place = low - (least[at] & low)
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    new[1:] = (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
     start = at[first]
-    return rows[first], keys[first], span(sums, start, start + n + length - 1), start - bounds[rows[first]], n
+    return rows[first], own[place[first]], span(sums, start, start + n + length - 1), start - bounds[rows[first]], n
+
+
+def spans(column, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of all spans of an Arrow column of lists of (start, end); null counts as none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    return np.repeat(np.arange(rows), counts), *(pc.struct_field(values, i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+
+
+def covered(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of `size` units the spans [start, end) cover."""
+    steps = np.bincount(start, minlength=size + 1) - np.bincount(end, minlength=size + 1)
+    return np.cumsum(steps[:size]) > 0
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of set flags."""
+    edges = np.diff(np.concatenate(([0], flags.view(np.int8), [0])))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notequery.llm import _store, decontaminate, mix, ring, warc
+from notequery.llm import _store, decontaminate, mix, phrases, ring, suffixes, warc
 
 N_SHARDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,13 +96,76 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+DECONTAMINATION_SQL = r"""
+WITH RECURSIVE fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents, fold),
+i AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark, fold),
+g AS (SELECT item_id, least(10, len(w)) AS n, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0),
+gw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS x FROM g),
+sizes AS (SELECT DISTINCT n FROM gw),
+dw AS (SELECT rid, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT rid, p, dw.n, item_id FROM (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS x FROM dw) dw JOIN gw ON gw.n = dw.n AND gw.x = dw.x),
+words AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+PHRASES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT rid, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS x FROM p),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY x) AS n FROM h) WHERE n > 1),
+c AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS i FROM r),
+k AS (SELECT d.rid, u.i, w[u.i] AS word FROM d, unnest(range(1, len(w) + 1)) u(i)),
+j AS (SELECT k.rid, string_agg(word, ' ' ORDER BY k.i) AS kept, count(*) AS n FROM k LEFT JOIN c ON c.rid = k.rid AND c.i = k.i WHERE c.rid IS NULL GROUP BY k.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN j USING (rid)
+"""
+
+
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SUFFIX_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT rid, doc_id, x, (length(x) // 2)::BIGINT AS n FROM d),
+p AS (SELECT rid, unnest(range(0, n - 199)) AS i, x FROM s WHERE n >= 200),
+h AS (SELECT rid, i, md5(substr(x, 2 * i + 1, 400)) AS y FROM p),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY y) AS c FROM h) WHERE c > 1),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM (
+        SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM r)),
+m AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY rid, run),
+gap AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM m),
+kept AS (
+  SELECT s.rid, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS k,
+         sum(b - a)::BIGINT AS gone, count(*) AS spans
+  FROM gap JOIN s USING (rid) GROUP BY s.rid)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM s LEFT JOIN kept USING (rid)
+"""
+
 QUERIES = {
+    "op1_repeated_phrases": repeated_phrases,
     "op2_consistent_hash_sharding": sharding,
     "op5_warc_bundles": archive,
     "op7_pareto_mixing": mixing,
     "op9_benchmark_decontamination": decontamination,
+    "op10_suffix_array_dedup": suffix_dedup,
 }
 ORACLES = {
+    "op1_repeated_phrases": PHRASES_SQL,
     "op5_warc_bundles": ARCHIVE_SQL,
     "op7_pareto_mixing": MIXING_SQL,
+    "op9_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op10_suffix_array_dedup": SUFFIX_SQL,
 }
