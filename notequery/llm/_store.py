@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of a frame with further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notequery.llm import _store
 from notequery.llm import _text as t
 
 #: Windows in one broadcast part (about 200 bytes each).
@@ -142,7 +143,5 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text
 
     added = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_hits", "_text")]
-    schema = docs.select(*[f"`{c}`" for c in own]).schema
-    for field in added.split(", "):
-        schema = schema.add(*field.split(" "))
+    schema = _store.extended(docs.select(*[f"`{c}`" for c in own]), added)
     return found.select(*[F.col(f"`{c}`") for c in own], "_hits", F.col(text).alias("_text")).mapInArrow(digest, schema)

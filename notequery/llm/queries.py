@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notequery.llm import _store, decontaminate, mix, phrases, ring, suffixes, warc
+from notequery.llm import _store, decontaminate, language, mix, phrases, ring, suffixes, toxicity, warc
 
 N_SHARDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -154,11 +154,27 @@ SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(sp
 FROM s LEFT JOIN kept USING (rid)
 """
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))), "text", "lang")
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").filter(~language.held_out(F.col("doc_id")))
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_repeated_phrases": repeated_phrases,
     "op2_consistent_hash_sharding": sharding,
+    "op3_language_mixture": languages,
     "op5_warc_bundles": archive,
     "op7_pareto_mixing": mixing,
+    "op8_toxicity_crf": toxic,
     "op9_benchmark_decontamination": decontamination,
     "op10_suffix_array_dedup": suffix_dedup,
 }
