@@ -34,12 +34,14 @@ def targets(sizes: DataFrame, weights: list[int], share: float, cap: float) -> D
     order = everything.orderBy(F.col("source").isNull(), F.col("source"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     df = sizes.withColumn("_weight", weight).withColumn("_cap", F.lit(cap) * F.col("source_size"))
-    before = everything.orderBy(F.col("_cap") / F.col("_weight"), F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, -1)
+    ratio = F.col("_cap") / F.col("_weight")
+    before = everything.orderBy(ratio, F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_capped", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
     df = df.withColumn("_left", F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
     budget = F.lit(share) * F.sum("source_size").over(everything)
     df = df.withColumn("_level", (budget - F.col("_capped")) / F.col("_left"))
-    level = F.min(F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), F.col("_level"))).over(everything)
+    fixed = F.struct(ratio.alias("r"), F.col("source").isNull().alias("n"), F.col("source").alias("s"), F.col("_level").alias("level"))
+    level = F.min(F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), fixed)).over(everything)["level"]
     target = F.least(F.col("_cap"), F.coalesce(level * F.col("_weight"), F.col("_cap")))
     return df.select("source", "source_size", target.alias("target"))
 

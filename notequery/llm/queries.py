@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notequery.llm import _store, decontaminate, language, mix, phrases, ring, suffixes, toxicity, warc
+from notequery.llm import _store, decontaminate, imatch, language, minhash, mix, phrases, ring, suffixes, toxicity, warc
 
 N_SHARDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,8 +65,8 @@ s2 AS (
   SELECT *, coalesce(sum(cap) OVER before, 0.0::DOUBLE) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0::DOUBLE) AS rest_weight,
          1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS budget
   FROM s1 WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, (budget - capped) / rest_weight AS level FROM s2),
-s4 AS (SELECT *, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS fixed FROM s3),
+s3 AS (SELECT *, (budget - capped) / rest_weight AS level, row_number() OVER (ORDER BY cap / weight, source IS NULL, source) AS k FROM s2),
+s4 AS (SELECT *, (SELECT arg_min(level, k) FROM s3 WHERE level * weight <= cap) AS fixed FROM s3),
 s5 AS (SELECT source, source_size, greatest(1, source_size // n) AS mean, least(cap, coalesce(fixed * weight, cap)) AS target FROM s4),
 s6 AS (
   SELECT s5.*, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
@@ -168,11 +168,39 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = imatch.against_edits(docs, imatch.lexicon(docs))
+    return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.cluster(_read(spark, sf_dir, "documents").select("doc_id", "text"), size=5, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT DISTINCT rid, x FROM (
+  SELECT rid, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+e AS (SELECT a.rid AS a, b.rid AS b FROM g a JOIN g b ON a.x = b.x AND a.rid <> b.rid GROUP BY a.rid, b.rid
+      HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE rid = a.rid) + (SELECT n FROM n WHERE rid = b.rid) - count(*))),
+reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+c AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
 QUERIES = {
     "op1_repeated_phrases": repeated_phrases,
     "op2_consistent_hash_sharding": sharding,
     "op3_language_mixture": languages,
+    "op4_imatch_fingerprints": fingerprints,
     "op5_warc_bundles": archive,
+    "op6_circulant_minhash": near_duplicates,
     "op7_pareto_mixing": mixing,
     "op8_toxicity_crf": toxic,
     "op9_benchmark_decontamination": decontamination,
@@ -181,6 +209,7 @@ QUERIES = {
 ORACLES = {
     "op1_repeated_phrases": PHRASES_SQL,
     "op5_warc_bundles": ARCHIVE_SQL,
+    "op6_circulant_minhash": NEAR_SQL,
     "op7_pareto_mixing": MIXING_SQL,
     "op9_benchmark_decontamination": DECONTAMINATION_SQL,
     "op10_suffix_array_dedup": SUFFIX_SQL,
