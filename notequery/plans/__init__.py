@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def catalog() -> dict:
     """name -> (query of (spark, sf_dir), SQL or None)."""
-    from notequery.plans import search
+    from notequery.plans import library, search
 
-    return {**search.QUERIES}
+    return {**search.QUERIES, **library.QUERIES}
