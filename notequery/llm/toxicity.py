@@ -34,7 +34,7 @@ def _sequences(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pieces = -(-counts // LENGTH)
     row = np.repeat(np.arange(len(counts)), pieces)
     first = bounds[:-1][row] + LENGTH * t.ranges(np.zeros(len(counts), dtype=np.int64), pieces)
-    at = first[:, None] + np.arange(LENGTH)
+    at = first.astype(np.int32)[:, None] + np.arange(LENGTH, dtype=np.int32)
     return at, at < bounds[1:][row][:, None]
 
 
@@ -60,7 +60,7 @@ def chain(emission: np.ndarray, real: np.ndarray, moves: np.ndarray) -> tuple[np
     Places that hold no word stand at the end of a sequence and change nothing.
     """
     a = np.exp(moves)
-    e = np.exp(np.clip(emission, -30, 30))
+    e = np.exp(np.clip(emission, -30, 30)).astype(np.float64)
     n = e.shape[1]
     forward, backward = np.empty_like(e), np.ones_like(e)
     forward[:, 0] = e[:, 0]
@@ -97,13 +97,14 @@ def _learn(words: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, share: floa
     suspects = (odds[1] - odds[0] > 1.2) & (known[1] >= max(3, 0.004 * size[1]))
     labels = suspects[words] & (toxic[rows] == 1)
     at, real = _sequences(bounds)
-    ids = np.append(words, 0)[np.minimum(at, len(words))]
-    y = np.append(labels, False)[np.minimum(at, len(words))] & real
     # All sequences with a suspect, and as many others.
-    has = (suspects[ids] & real).any(axis=1)
+    has = (np.append(suspects[words], False)[np.minimum(at, len(words))] & real).any(axis=1)
     others = np.flatnonzero(~has)
     pick = np.sort(np.concatenate((np.flatnonzero(has), others[:: max(1, len(others) // max(1, int(has.sum())))])))
-    ids, y, real = ids[pick], y[pick], real[pick]
+    at, real = at[pick], real[pick]
+    ids = np.append(words, 0)[np.minimum(at, len(words))].astype(np.int32)
+    y = np.append(labels, False)[np.minimum(at, len(words))] & real
+    del at, pairs
     n = max(1, int(real.sum()))
     weights, moves = np.full(BUCKETS, -3.0), np.zeros((2, 2))
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
