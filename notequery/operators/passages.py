@@ -40,7 +40,7 @@ def sections(notes: DataFrame, key: str = "path", body: str = "body") -> DataFra
     rows = rows.withColumn("coded", F.coalesce(opened, F.lit(0)) % 2 == 1)
     heading = ~F.col("fence") & ~F.col("coded") & F.regexp_like("text", F.lit(_HEADING))
     rows = rows.withColumn("level", F.when(heading, F.length(F.regexp_extract("text", _HEADING, 1))).otherwise(0))
-    rows = rows.withColumn("plain", F.when(F.col("level") > 0, clean(F.regexp_extract("text", _HEADING, 2))).when(F.col("coded"), F.col("text")).when(F.col("fence"), "").otherwise(clean(F.col("text"))))
+    rows = rows.withColumn("plain", F.when(F.col("level") > 0, clean(F.regexp_extract("text", _HEADING, 2))).when(F.col("fence"), "").when(F.col("coded"), F.col("text")).otherwise(clean(F.col("text"))))
     rows = rows.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(order))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     for n in range(1, LEVELS + 1):

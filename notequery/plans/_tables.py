@@ -73,7 +73,7 @@ hl AS (SELECT *, CASE WHEN NOT fence AND NOT coded AND regexp_matches(t, '^ {0,3
          regexp_extract(t, '^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$', 2) AS h FROM cl),
 pl AS (SELECT path, line, level, CASE WHEN level > 0 THEN """
     + TABLE.format("h")
-    + " WHEN coded THEN t WHEN fence THEN '' ELSE "
+    + " WHEN fence THEN '' WHEN coded THEN t ELSE "
     + TABLE.format("t")
     + r""" END AS plain, sum((level > 0)::INT) OVER (PARTITION BY path ORDER BY line) AS section FROM hl),
 -- Headings of the notes are all of one level or the document's own; the path keeps each heading until one of its level or above follows.
