@@ -7,10 +7,9 @@ that raises the likelihood less half of log(n-grams) for each language kept.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from notequery.llm import _text as t
 #: Fitting looks at this many texts of a language at most, and at this many languages; the model is this many numbers a language.
 TEXTS, LANGUAGES, BUCKETS = 1500, 256, 8192
 UNDETERMINED = "und"
-_ROUNDS, _LETTER = 12, re.compile(r"[^\W\d_]")
+_ROUNDS, _LETTER = 12, regex.compile(r"\p{L}")
 _FOLD = np.where(t.ALNUM, t.LOWER, 0x20).astype(np.uint8)
 _FOLD[0x30:0x3A] = 0x20
 
