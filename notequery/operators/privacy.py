@@ -18,7 +18,7 @@ def _rule(name: str, pattern: str, keywords: list[str], confidence: str = "shape
     return {"rule": name, "pattern": pattern, "confidence": confidence, "min_entropy": least, "keywords": keywords}
 
 
-#: Shapes that issuers publish for their credentials, and four general ones.  Longer tables are read by ``load``.
+#: Shapes of well-known credentials, and general ones.  Longer tables are read by ``load``.
 OWN = [
     _rule("openai-key", r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}", ["sk-"]),
     _rule("bearer-header", r"(?i)authorization:\s*(?:bearer|token)\s+[\w.~+/=-]{8,}", ["authorization:"]),

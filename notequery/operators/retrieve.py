@@ -12,6 +12,7 @@ from notequery.functions.text import snippet, words
 from notequery.operators.exclusions import excluded
 from notequery.operators.index import KEYS, Index, stems
 from notequery.operators.query import clauses, question_terms
+from notequery.sources.tables import stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: How much a word counts by where it stands.
@@ -80,14 +81,15 @@ def retrieve(queries: DataFrame, index: Index, rules: list[str] | None = None) -
     """
     terms = clauses(queries).join(queries.select("qid", "match_mode"), "qid")
     notes = index.notes.select("path", "title", "folder", "modified", "ai_excluded")
+    hits = stored(matches(terms, index), "hits")
     allowed = queries.select("qid", F.col("folder").alias("scope"), "modified_after", "limit", "per_note_cap", "apply_exclusions")
-    scored = score(matches(terms, index), terms, index).join(notes, "path").join(allowed, "qid")
+    scored = score(hits, terms, index).join(notes, "path").join(allowed, "qid")
     scored = scored.filter(in_folder(F.col("folder"), F.col("scope")))
     scored = scored.filter(F.col("modified_after").isNull() | (F.col("modified") >= F.col("modified_after")))
     scored = scored.filter(~F.col("apply_exclusions") | ~(F.col("ai_excluded") | excluded(F.col("path"), rules or [])))
     fetch = F.greatest(F.col("limit"), F.least(F.col("limit") * F.col("per_note_cap") * 2, F.lit(MOST_FETCHED)))
     best = F.row_number().over(Window.partitionBy("qid", "level").orderBy("rank", "path", "ordinal"))
-    fetched = scored.withColumn("_n", best).filter(F.col("_n") <= fetch)
+    fetched = stored(scored.withColumn("_n", best).filter(F.col("_n") <= fetch), "fetched")
     inside = fetched.filter("level = 'passage'")
     outside = fetched.filter("level = 'note'").join(inside.select("qid", "path").distinct(), ["qid", "path"], "left_anti")
     outside = outside.withColumn("ordinal", F.lit(0)).withColumn("rank", F.col("rank") + NOTE_BIAS)
@@ -113,7 +115,7 @@ def retrieve(queries: DataFrame, index: Index, rules: list[str] | None = None) -
 def withheld(queries: DataFrame, index: Index, rules: list[str] | None = None) -> DataFrame:
     """(qid, withheld): distinct notes that a query matches in either index and that exclusions keep back."""
     terms = clauses(queries).join(queries.select("qid", "match_mode"), "qid")
-    found = score(matches(terms, index), terms, index).select("qid", "path").distinct()
+    found = score(stored(matches(terms, index), "hits"), terms, index).select("qid", "path").distinct()
     notes = index.notes.select("path", "folder", "modified", "ai_excluded")
     rows = found.join(notes, "path").join(queries.select("qid", F.col("folder").alias("scope"), "modified_after"), "qid")
     rows = rows.filter(in_folder(F.col("folder"), F.col("scope")) & (F.col("modified_after").isNull() | (F.col("modified") >= F.col("modified_after"))))
