@@ -7,10 +7,12 @@ windows have equal keys, so only keys that occur twice can hold repeats:
 2. keys are counted (a partial aggregation) and runs whose key occurs once are dropped by a join;
 3. runs with equal content become one variant with its number of copies, and the text of one copy of each
    variant is cut out of its document and sent to the shard of its key;
-4. each shard settles which windows of its variants recur, by the method that the operator names;
+4. each shard settles which windows of its variants recur, by the method that the operator names; a key whose
+   variants hold more than a shard is dealt again: its variants go to shards by their content, every window of
+   theirs is hashed to 128 bits, hashes are counted (a partial aggregation) and joined back to the windows;
 5. the verdicts are joined to all places of each variant and gathered by document.
 
-Shards hold about the same amount of text whatever the corpus holds.  The two joins that touch all runs are
+Shards hold about the same amount of text whatever the corpus holds.  The joins that touch all runs are
 plain equi-joins, whose hot keys Spark splits.  Runs and surviving places are kept as tables, so that lost
 executors cost one step.
 """
@@ -28,8 +30,10 @@ from notequery.llm import _store
 from notequery.llm import _text as t
 
 _RUN = "_rid long, key long, content long, start int, n int"
-_VARIANT = "key long, content long, copies long, n int, body binary"
+_VARIANT = "key long, content long, copies long, n int, hot boolean, body binary"
 VERDICT = "key long, content long, spans array<struct<start: int, end: int>>"
+#: A shard's verdicts, and the windows of the variants whose key is dealt again: ``at``, two hashes and the copies.
+_SETTLED = f"{VERDICT}, at int, a long, b long, copies long"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -67,6 +71,7 @@ def _cut(by_words: bool, length: int):
             values = lists.flatten()
             first = np.cumsum(counts) - counts
             key, content, copies, start, n = (values.field(c).to_numpy() for c in ("key", "content", "copies", "start", "n"))
+            hot = values.field("hot")
             for low, high, data, offsets in t.slices(batch.column(1)):
                 begins, finishes, bounds = t.words(data, offsets, t.SPACED) if by_words else (None, None, offsets)
                 raw, bodies, at = data.tobytes(), [], []
@@ -80,14 +85,30 @@ def _cut(by_words: bool, length: int):
                         bodies.append(raw[begins[a] : finishes[b - 1]] if by_words else raw[a:b])
                         at.append(j)
                 if at:
-                    columns = [pa.array(key[at]), pa.array(content[at]), pa.array(copies[at]), pa.array(n[at]), pa.array(bodies, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "content", "copies", "n", "body"])
+                    columns = [pa.array(key[at]), pa.array(content[at]), pa.array(copies[at]), pa.array(n[at]), hot.take(pa.array(at)), pa.array(bodies, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "content", "copies", "n", "hot", "body"])
 
     return run
 
 
-def _settle(judge: Callable):
-    """Call judge(bodies, copies, windows) -> spans of each body, on the distinct variants of a shard."""
+def _windows(bodies: list[bytes], windows: np.ndarray, by_words: bool, length: int):
+    """The variant and place of every window, and two independent 64-bit hashes of it."""
+    data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in bodies])))
+    starts, ends, bounds = t.words(data, offsets, t.SPACED) if by_words else (None, None, offsets)
+    row = np.repeat(np.arange(len(bodies)), windows)
+    at = t.ranges(np.zeros(len(bodies), dtype=np.int64), windows)
+    first, hashes = bounds[row] + at, []
+    for units in (data, data.astype(np.uint64) + np.uint64(1)):
+        sums = t.prefix(units)
+        if by_words:
+            sums = t.prefix(t.span(sums, starts, ends))
+        hashes.append(t.span(sums, first, first + length).view(np.int64))
+    return row, at, *hashes
+
+
+def _settle(judge: Callable, by_words: bool, length: int):
+    """Call judge(bodies, copies, windows) -> spans of each body, on the distinct variants of a shard; hash those of a key that is dealt again."""
 
     def run(shard: pa.Table) -> pa.Table:
         seen: dict[tuple[int, int], int] = {}
@@ -95,11 +116,33 @@ def _settle(judge: Callable):
         for i, pair in enumerate(zip(key, content, strict=True)):
             seen.setdefault(pair, i)
         shard = shard.take(pa.array(list(seen.values())))
-        found = judge(shard.column("body").to_pylist(), shard.column("copies").to_numpy(), shard.column("n").to_numpy())
-        keep = [i for i, x in enumerate(found) if x]
-        columns = [shard.column("key").take(pa.array(keep, pa.int64())), shard.column("content").take(pa.array(keep, pa.int64()))]
-        spans = pa.array([[{"start": a, "end": b} for a, b in found[i]] for i in keep], _SPANS)
-        return pa.Table.from_arrays([*columns, spans], names=["key", "content", "spans"])
+        bodies, copies, n = shard.column("body").to_pylist(), shard.column("copies").to_numpy(), shard.column("n").to_numpy()
+        if shard.column("hot")[0].as_py():
+            row, at, a, b = _windows(bodies, n, by_words, length)
+            spans, rest = pa.nulls(len(row), _SPANS), [pa.array(at.astype(np.int32)), pa.array(a), pa.array(b), pa.array(copies[row])]
+        else:
+            found = judge(bodies, copies, n)
+            row = np.array([i for i, x in enumerate(found) if x], dtype=np.int64)
+            spans = pa.array([[{"start": a, "end": b} for a, b in found[i]] for i in row], _SPANS)
+            rest = [pa.nulls(len(row), kind) for kind in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+        columns = [shard.column("key").take(pa.array(row)), shard.column("content").take(pa.array(row)), spans, *rest]
+        return pa.Table.from_arrays(columns, names=["key", "content", "spans", "at", "a", "b", "copies"])
+
+    return run
+
+
+def _joined(length: int):
+    """The spans that the recurring windows of each variant cover."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for places in batch.column(2).to_pylist():
+                at = np.unique(places)
+                cut = np.flatnonzero(np.diff(at) > length)
+                first, last = at[np.concatenate(([0], cut + 1))], at[np.append(cut, len(at) - 1)] + length
+                out.append([{"start": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _SPANS)], names=["key", "content", "spans"])
 
     return run
 
@@ -115,14 +158,28 @@ def find(docs: DataFrame, key: str, text: str, by_words: bool, length: int, k: i
     recurring = emitted.groupBy("key").count().filter("count > 1").select("key")
     places = _store.table(emitted.join(recurring, "key").select("_rid", "key", "content", "start", "n"), "places")
     variants = places.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("_rid", "start", "n")).alias("first"))
-    total = variants.agg(F.sum(F.col("first.n") + length - 1)).first()[0] or 0
-    shards = max(1, -(-total // shard_units))
+    units = variants.groupBy("key").agg(F.sum(F.col("first.n") + length - 1).alias("units"))
+    # Of keys that exceed a shard there are at most as many as shards.
+    total, large = units.agg(F.sum("units"), F.collect_list(F.when(F.col("units") > shard_units, F.col("key")))).first()
+    shards = max(1, -(-(total or 0) // shard_units))
+    if large:
+        hot = docs.sparkSession.createDataFrame([(k, True) for k in large], "key long, hot boolean")
+        variants = variants.join(F.broadcast(hot), "key", "left")
+    else:
+        variants = variants.withColumn("hot", F.lit(False))
     chosen = variants.groupBy(F.col("first._rid").alias("_rid")).agg(
-        F.collect_list(F.struct("key", "content", "copies", F.col("first.start").alias("start"), F.col("first.n").alias("n"))).alias("_variants")
+        F.collect_list(F.struct("key", "content", "copies", F.col("first.start").alias("start"), F.col("first.n").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_variants")
     )
     bodies = texts.join(chosen, "_rid").select("_rid", "_text", "_variants").mapInArrow(_cut(by_words, length), _VARIANT)
-    verdicts = bodies.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInArrow(_settle(judge), VERDICT)
-    verdicts = _store.table(verdicts, "verdicts")
+    shard = F.when(F.col("hot"), -1 - F.pmod("content", F.lit(shards))).otherwise(F.pmod("key", F.lit(shards))).alias("shard")
+    settled = _store.table(bodies.groupBy(shard).applyInArrow(_settle(judge, by_words, length), _SETTLED), "verdicts")
+    verdicts = settled.filter("spans is not null").select("key", "content", "spans")
+    if large:
+        windows = settled.filter("at is not null").select("key", "content", "at", "a", "b", "copies")
+        again = windows.groupBy("key", "a", "b").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("key", "a", "b")
+        again = _store.table(again, "recurring-windows")  # so that the join reads tables alone, whose hot keys Spark splits
+        found = windows.drop("copies").join(again, ["key", "a", "b"]).groupBy("key", "content").agg(F.collect_list("at").alias("at"))
+        verdicts = verdicts.unionByName(_store.table(found.mapInArrow(_joined(length), VERDICT), "dealt-verdicts"))
     spans = places.join(verdicts, ["key", "content"]).select("_rid", "start", F.explode("spans").alias("s"))
     spans = spans.groupBy("_rid").agg(
         F.collect_list(F.struct((F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"))).alias("_spans")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from notequery.llm import phrases, suffixes
+from notequery.llm import _repeats, phrases, suffixes
 
 
 def covered(units, length, counts):
@@ -96,3 +96,30 @@ def test_odd_rows(odd, empty, remove):
     assert len(rows) == odd.count()
     assert all(r["n_removed"] == 0 for r in rows if r["doc_id"] in (0, 1, 2))
     assert remove(empty).count() == 0
+
+
+@pytest.mark.parametrize("by_words", [True, False])
+def test_a_phrase_in_many_contexts_exceeds_no_shard(spark, by_words):
+    rng = random.Random(7)
+    make = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    phrase, tails = make(9), [make(12) for _ in range(40)]
+    texts = [f"{make(12)} {phrase} {rng.choice(tails) if i % 3 == 0 else make(12)}" for i in range(300)] + [f"{make(3)} {phrase}"] * 2
+    length, k, most, method = (12, 6, 400, phrases) if by_words else (60, 24, 3000, suffixes)
+    inner = method.judge(length)
+
+    def judge(bodies, copies, windows):
+        held = sum(len(b.split()) if by_words else len(b) for b in bodies)
+        if held > 4 * most:
+            raise ValueError(f"{held} units in a shard of {most}")
+        return inner(bodies, copies, windows)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["_spans"] for r in _repeats.find(docs, "doc_id", "text", by_words, length, k, most, judge).collect()}
+    units = [t.encode().split() if by_words else list(t.encode()) for t in texts]
+    counts = Counter(tuple(u[i : i + length]) for u in units for i in range(len(u) - length + 1))
+    assert sum(map(bool, found.values())) > 80
+    for i, own in enumerate(units):
+        gone = [False] * len(own)
+        for s in found[i] or ():
+            gone[s["start"] : s["end"]] = [True] * (s["end"] - s["start"])
+        assert gone == covered(own, length, counts)
