@@ -154,15 +154,13 @@ def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return pairs.groupBy("group", "i", "j").applyInArrow(_compare(percent), "a long, b long")
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """All rows with ``n_shingles``, ``component_id`` and ``kept``.
+def _classes(rows: DataFrame, key: str, text: str, size: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with ``_rid``, ``n_shingles``, ``_class`` and ``_least``, and the table of the last by class.
 
-    Rows are linked if 100 * common shingles >= percent * all shingles of both.  ``component_id`` is the least key
-    that a chain of links reaches, the row's own included; ``kept`` marks the rows whose key that is.  A null key is
-    never the least unless there is no other; null and empty texts are linked with nothing.
+    Rows are linked if 100 * common shingles >= percent * all shingles of both; a text without shingles has no
+    class.  ``_least`` is the class's least (null key, key, ``_rid``) and ``n``, the rows that are equal to it.
     """
-    added = ("n_shingles", "component_id", "kept")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).withColumn("_rid", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    rows = rows.withColumn("_rid", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
     texts = rows.select("_rid", F.col(f"`{text}`").alias("_text"))
     sketches = _store.table(sketch(texts, size, band_count(percent)), "sketches")
     nodes = sketches.filter("node is not null").groupBy("node").agg(F.min("_rid").alias("_rid"), F.first("bands").alias("bands"))
@@ -189,7 +187,35 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         labels = _store.table(components(links.unionByName(more)).withColumnRenamed("node", "_node"), "labels")
     placed = sketches.select("_rid", "n_shingles", "node").distinct().join(labels, F.col("node") == F.col("_node"), "left")
     placed = placed.select("_rid", "n_shingles", F.coalesce("component", "node").alias("_class"))
-    own = rows.join(placed, "_rid")
-    least = rows.select("_rid", F.col(f"`{key}`").alias("_key")).join(placed.filter("_class is not null"), "_rid").groupBy(F.col("_class").alias("_c")).agg(F.min("_key").alias("_least"))
-    out = own.join(least, F.col("_class") == F.col("_c"), "left").withColumn("component_id", F.when(F.col("_class").isNull(), F.col(f"`{key}`")).otherwise(F.col("_least")))
-    return out.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("component_id"))).drop("_rid", "_class", "_c", "_least")
+    alike = rows.groupBy("_rid").agg(F.min(F.col(f"`{key}`")).alias("_key"), F.count("*").alias("_n"))
+    alike = alike.join(placed.filter("_class is not null"), "_rid")
+    first = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_rid").alias("rid"), F.col("_n").alias("n")))
+    least = _store.table(alike.groupBy(F.col("_class").alias("_c")).agg(first.alias("_least")), "classes")
+    return rows.join(placed, "_rid").join(least, F.col("_class") == F.col("_c"), "left").drop("node", "_c"), least
+
+
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """All rows with ``n_shingles``, ``component_id`` and ``kept``.
+
+    Rows are linked if 100 * common shingles >= percent * all shingles of both.  ``component_id`` is the least key
+    that a chain of links reaches, the row's own included; ``kept`` marks the rows whose key that is.  A null key is
+    never the least unless there is no other; null and empty texts are linked with nothing.
+    """
+    added = ("n_shingles", "component_id", "kept")
+    out, _ = _classes(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added]), key, text, size, percent, block)
+    out = out.withColumn("component_id", F.when(F.col("_class").isNull(), F.col(f"`{key}`")).otherwise(F.col("_least.key")))
+    return out.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("component_id"))).drop("_rid", "_class", "_least")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """One row of each class of linked rows, that of the least key, and all rows whose text has no shingle.
+
+    Rows of different classes stay whatever their keys; of rows with the least key but different texts the one of
+    the least hash stays, of equal rows any.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    out, least = _classes(rows, "key", "text", size, percent, block)
+    one = out.filter("_class is null or _rid = _least.rid")
+    if least.filter("_least.n > 1").limit(1).count():
+        one = one.filter("_class is null or _least.n = 1").unionByName(one.filter("_least.n > 1").dropDuplicates(["_class"]))
+    return one.select("_row.*")
