@@ -17,9 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language: without a letter, or without text."""
-    found = language.identify(docs, language.fit(docs, "text", "lang"))
-    return found.filter(F.col("lang_pred") != language.UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Drop documents of no language: without a letter, or without text.
+
+    Where no row has a lang nothing can be learned, and all other documents stay.
+    """
+    found = language.identify(docs, language.fit(docs, "text", "lang"), lettered="_lettered")
+    return found.filter("_lettered").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,13 +111,14 @@ def fit(labelled: DataFrame, text: str, lang: str, texts: int = TEXTS) -> Model:
     return Model(languages, counts)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", lettered: str | None = None) -> DataFrame:
     """All rows with ``lang_pred``, ``score`` (its share) and ``languages``, a list of (lang, share).
 
-    ``und`` with score 0 and no languages if the text is null or has no letter, or nothing was learned.
+    ``und`` with score 0 and no languages if the text is null or has no letter, or nothing was learned.  A column
+    named by ``lettered`` tells, whatever was learned, whether the text has a letter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = ("lang_pred", "score", "languages")
+    added = ("lang_pred", "score", "languages", *([lettered] if lettered else []))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches):
@@ -125,10 +126,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("_text"))
             texts, lang, score, mixed = column.to_pylist(), [], [], []
+            has = [bool(x and _LETTER.search(x)) for x in texts]
             for low, high, data, offsets in t.slices(column):
                 found = _buckets(data)
                 for i in range(low, high):
-                    if not own.languages or not texts[i] or not _LETTER.search(texts[i]):
+                    if not own.languages or not has[i]:
                         lang.append(UNDETERMINED), score.append(0.0), mixed.append([])
                         continue
                     chosen, share = own.mixture(_counts(found, offsets[i - low], offsets[i - low + 1]))
@@ -136,11 +138,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     score.append(min(1.0, float(share[0])))
                     mixed.append([{"lang": own.languages[k], "share": float(s)} for k, s in zip(chosen, share, strict=True)])
             kept = [i for i, c in enumerate(batch.schema.names) if c != "_text"]
-            columns = [*(batch.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, kind)]
+            columns = [*(batch.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, kind), *([pa.array(has, pa.bool_())] if lettered else [])]
             yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[i] for i in kept), *added])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    schema = _store.extended(rows, "lang_pred string, score double, languages array<struct<lang: string, share: double>>")
+    schema = _store.extended(rows, "lang_pred string, score double, languages array<struct<lang: string, share: double>>" + (f", `{lettered}` boolean" if lettered else ""))
     return rows.withColumn("_text", docs[text]).mapInArrow(run, schema)
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
@@ -27,3 +29,31 @@ def test_near_dedup_of_one_doc_id_with_linked_texts(spark):
     rows = [(1, a), (1, a.rsplit(" ", 1)[0] + " other"), (4, a)]
     found = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert len(found) == 1 and found[0]["doc_id"] == 1
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_language_stage_drops_only_texts_without_a_letter(spark, lang):
+    rows = [(1, "some words", lang, "s", "own"), (None, "é", lang, None, "own"), (3, "12 34 !", lang, "s", "own"), (4, "", lang, "s", "own"), (5, None, lang, "s", "own")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert sorted(r["text"] for r in found) == ["some words", "é"]
+    assert found[0].__fields__ == docs.columns
+
+
+def test_other_stages_equal_brute_force(spark, tmp_path):
+    own = texts(3, 60)
+    own[7] += " " + " ".join(f"b{i}" for i in range(10))
+    own[8] += " " + " ".join(f"b{i}" for i in range(9))
+    spark.createDataFrame([(1, "x " + " ".join(f"b{i}" for i in range(12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    item = ("x " + " ".join(f"b{i}" for i in range(12))).split()
+    runs = {tuple(item[i : i + 10]) for i in range(len(item) - 9)}
+    rows = [(i % 50 if i % 9 else None, t, None, "abc"[i % 3], "own") for i, t in enumerate(own)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    want = [t for t in own if not any(tuple(t.split()[i : i + 10]) in runs for i in range(len(t.split()) - 9))]
+    assert len(want) == 59 and sorted(r["text"] for r in clean.collect()) == sorted(want)
+    mixed = [r["text"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    assert set(mixed) <= set(own) and max(map(mixed.count, mixed)) <= 2
+    shards = [r["shard"] for r in corpus_pipeline.assign_shards(spark, docs.drop("shard"), "").collect()]
+    sizes = [shards.count(k) for k in range(corpus_pipeline.N_SHARDS)]
+    assert len(shards) == 60 and max(sizes) - min(sizes) <= 1
