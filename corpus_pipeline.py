@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 from notequery.llm import _store, decontaminate, language, minhash, mix, ring
 
 N_SHARDS = 16
+#: Nats by which noise must explain a text better for it to go.
+NOISE = 10.0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language: without a letter, or without text.
+    """Drop documents that are in no language.
 
-    Where no row has a lang nothing can be learned, and all other documents stay.
+    These are documents without a letter or without text, and those that uniform noise explains better, by a factor
+    of e ** NOISE at least, than any mixture of the languages that the corpus names.  Where no row has a lang nothing
+    can be learned, and all documents with a letter stay.
     """
     found = language.identify(docs, language.fit(docs, "text", "lang"), lettered="_lettered")
-    return found.filter("_lettered").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.filter(F.col("_lettered") & (F.col("evidence") > -NOISE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

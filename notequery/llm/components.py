@@ -1,40 +1,69 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components of an edge table by union-find within partitions and hops between them.
 
-Each round hangs the neighbours of every node below the least node it can see; rounds are written as tables, and
-the count and a checksum of the edges tell when nothing changes.  No node's neighbours are gathered in one task:
-minima are partial aggregations and the rest are joins.
+A round deals edges by their greater node, so that a task sees every way down from its nodes; union-find within
+the task hangs all that its edges connect below one least node.  Before the next round every node hops on to the
+parent of its parent.  Rounds are written as tables; a few numbers a partition tell when nothing changes.  Edges
+never become more, no node's children are gathered in one task, and the hop is a join of two tables, whose hot
+parents Spark splits.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notequery.llm import _store
 
+#: A node, its parent, whether the node's own task says so, and, in one row a task, what changed and how many rows are not a task's own.
+_STAR = "a long, b long, own boolean, changed long, foreign long"
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted nodes of some edges, the place of each node's least connected one, and the places of a."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        if (low == high).all():
+            return nodes, root, i
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _union(batches):
+    parts = list(batches)
+    if not sum(x.num_rows for x in parts):
+        return
+    a, b, moved = (np.concatenate([x.column(k).to_numpy(zero_copy_only=False) for x in parts]) for k in range(3))
+    nodes, root, at = _forest(a, b)
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    mine = np.zeros(len(nodes), dtype=bool)
+    mine[at] = True
+    own = mine[child]
+    counts = [np.zeros(len(child), dtype=np.int64) for _ in range(2)]
+    if len(child):
+        counts[0][0] = int(moved.sum()) + int((nodes[root[at]] != b).sum())
+        counts[1][0] = int((~own).sum())
+    columns = [pa.array(nodes[child]), pa.array(nodes[root[child]]), pa.array(own), *map(pa.array, counts)]
+    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "own", "changed", "foreign"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of (a, b), the component being its least node.  Loops (a = a) don't matter."""
-    edges = _store.table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        edges = _store.table(small.filter("a <> b").distinct(), "edges")
-        new = _state(edges)
-        if new == state:
-            break
-        state = new
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    """(node, component), the component's least node, of every node of (a, b) that is not itself the least.
+
+    Loops (a = a) and repeated edges don't matter; no edges make an empty table.
+    """
+    rows = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(False).alias("moved"))
+    foreign = 1
+    while True:
+        stars = _store.table(rows.repartition("a").mapInArrow(_union, _STAR), "stars")
+        row = stars.agg(F.coalesce(F.sum("changed"), F.lit(0)), F.coalesce(F.sum("foreign"), F.lit(0))).first()
+        if not row[0] and not row[1] and not foreign:
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        foreign = row[1]
+        up = stars.filter("own").select(F.col("a").alias("_c"), F.col("b").alias("_up"))
+        rows = stars.join(up, F.col("b") == F.col("_c"), "left").select("a", F.coalesce("_up", "b").alias("b"), F.col("_up").isNotNull().alias("moved"))

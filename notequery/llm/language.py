@@ -2,7 +2,8 @@
 
 A language is a distribution over hashed n-grams of bytes.  A document is a mixture of languages: expectation
 maximisation finds the shares that make its n-grams likeliest, and languages leave the set one by one as long as
-that raises the likelihood less half of log(n-grams) for each language kept.
+that raises the likelihood less half of log(n-grams) for each language kept.  How much likelier the chosen mixture
+makes a document than uniform noise is the evidence that it is text in any of the languages.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from notequery.llm import _store
 from notequery.llm import _text as t
 
-#: Fitting looks at this many texts of a language at most, and at this many languages; the model is this many numbers a language.
-TEXTS, LANGUAGES, BUCKETS = 1500, 256, 8192
+#: Fitting looks at about this many distinct texts of a language at most; the model is this many 4-byte numbers a language.
+TEXTS, BUCKETS = 1500, 8192
 UNDETERMINED = "und"
 _ROUNDS, _LETTER = 12, regex.compile(r"\p{L}")
 _FOLD = np.where(t.ALNUM, t.LOWER, 0x20).astype(np.uint8)
@@ -42,15 +43,15 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
-        self.p = (counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS) if len(languages) else counts
+        self.p = ((counts + 0.5) / (counts.sum(axis=0) + 0.5 * BUCKETS) if len(languages) else counts).astype(np.float32)
 
-    def mixture(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Languages of the chosen set and their shares, largest first."""
+    def mixture(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Languages of the chosen set and their shares, largest first, and the evidence against uniform noise in nats."""
         used = np.flatnonzero(counts)
         chosen = np.arange(len(self.languages))
         if not len(used):
-            return chosen[:1], np.full(1, 1.0 / max(1, len(chosen)))
-        c, p = counts[used].astype(np.float64), self.p[used]
+            return chosen[:1], np.full(1, 1.0 / max(1, len(chosen))), 0.0
+        c, p = counts[used].astype(np.float64), self.p[used].astype(np.float64)
         n = c.sum()
         share, fit = self._fit(c, p, np.full(len(chosen), 1.0 / len(chosen)))
         price = 0.5 * np.log(n + 1)
@@ -61,7 +62,7 @@ class Model:
                 break
             chosen, share, p, fit = chosen[keep], less, p[:, keep], worse
         order = np.argsort(-share, kind="stable")
-        return chosen[order], share[order]
+        return chosen[order], share[order], float(fit + n * np.log(BUCKETS))
 
     @staticmethod
     def _fit(c: np.ndarray, p: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
@@ -78,18 +79,20 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str, lang: str, texts: int = TEXTS) -> Model:
-    """Learn from (text, lang); rows without either don't count.  A language's texts are chosen by their hash.
+    """Learn from (text, lang); rows without either don't count.  A language's distinct texts are chosen by their hash.
 
-    The bound on texts is the only thing that doesn't grow with the data; n-grams are counted by Spark.
+    About ``texts`` distinct texts of each language are looked at, which is the only thing that doesn't grow with the
+    data; every language that stands in ``lang`` is learned.  N-grams are counted by Spark, and the model takes 32 KB
+    a language.  A text that repeats counts once; an empty table gives a model without languages.
     """
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.empty((BUCKETS, 0)))
-    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    chance = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, texts / sizes[k]))]), F.col("lang"))
-    sample = rows.filter(F.col("lang").isin(languages)).filter(place < chance).orderBy(F.xxhash64("text")).limit(2 * texts * len(languages))
+    chances = labelled.sparkSession.createDataFrame([(k, min(1.0, texts / sizes[k])) for k in languages], "lang string, chance double")
+    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000_007)) / 1_000_000_007.0
+    sample = rows.join(F.broadcast(chances), "lang").filter(place < F.col("chance")).select("text", "lang").dropDuplicates(["lang", "text"])
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -112,38 +115,41 @@ def fit(labelled: DataFrame, text: str, lang: str, texts: int = TEXTS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lettered: str | None = None) -> DataFrame:
-    """All rows with ``lang_pred``, ``score`` (its share) and ``languages``, a list of (lang, share).
+    """All rows with ``lang_pred``, ``score`` (its share), ``languages``, a list of (lang, share), and ``evidence``.
 
-    ``und`` with score 0 and no languages if the text is null or has no letter, or nothing was learned.  A column
-    named by ``lettered`` tells, whatever was learned, whether the text has a letter.
+    ``evidence`` tells by how many nats the mixture makes the whole text likelier than uniform noise does; it is below
+    0 for what is no text in any learned language.  ``und`` with score and evidence 0 and no languages if the text is
+    null or has no letter, or nothing was learned.  A column named by ``lettered`` tells, whatever was learned,
+    whether the text has a letter.  Equal texts get equal results; a text of any length is counted as a whole; an
+    empty table stays empty; columns of the input with the added names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = ("lang_pred", "score", "languages", *([lettered] if lettered else []))
+    added = ("lang_pred", "score", "languages", "evidence", *([lettered] if lettered else []))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("_text"))
-            texts, lang, score, mixed = column.to_pylist(), [], [], []
-            has = [bool(x and _LETTER.search(x)) for x in texts]
+            column = batch.column(batch.num_columns - 1)
+            lang, score, mixed, evidence = [], [], [], []
+            has = [bool(x and _LETTER.search(x)) for x in column.to_pylist()]
             for low, high, data, offsets in t.slices(column):
                 found = _buckets(data)
                 for i in range(low, high):
                     if not own.languages or not has[i]:
-                        lang.append(UNDETERMINED), score.append(0.0), mixed.append([])
+                        lang.append(UNDETERMINED), score.append(0.0), mixed.append([]), evidence.append(0.0)
                         continue
-                    chosen, share = own.mixture(_counts(found, offsets[i - low], offsets[i - low + 1]))
+                    chosen, share, gain = own.mixture(_counts(found, offsets[i - low], offsets[i - low + 1]))
                     lang.append(own.languages[chosen[0]])
                     score.append(min(1.0, float(share[0])))
                     mixed.append([{"lang": own.languages[k], "share": float(s)} for k, s in zip(chosen, share, strict=True)])
-            kept = [i for i, c in enumerate(batch.schema.names) if c != "_text"]
-            columns = [*(batch.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, kind), *([pa.array(has, pa.bool_())] if lettered else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[i] for i in kept), *added])
+                    evidence.append(gain)
+            columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, kind), pa.array(evidence, pa.float64()), *([pa.array(has, pa.bool_())] if lettered else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *added])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    schema = _store.extended(rows, "lang_pred string, score double, languages array<struct<lang: string, share: double>>" + (f", `{lettered}` boolean" if lettered else ""))
-    return rows.withColumn("_text", docs[text]).mapInArrow(run, schema)
+    schema = _store.extended(rows, "lang_pred string, score double, languages array<struct<lang: string, share: double>>, evidence double" + (f", `{lettered}` boolean" if lettered else ""))
+    return docs.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
 
 
 def held_out(key: Column) -> Column:
