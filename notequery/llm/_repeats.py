@@ -7,14 +7,17 @@ windows have equal keys, so only keys that occur twice can hold repeats:
 2. keys are counted (a partial aggregation) and runs whose key occurs once are dropped by a join;
 3. runs with equal content become one variant with its number of copies, and the text of one copy of each
    variant is cut out of its document and sent to the shard of its key;
-4. each shard settles which windows of its variants recur, by the method that the operator names; a key whose
-   variants hold more than a shard is dealt again: its variants go to shards by their content, every window of
-   theirs is hashed to 128 bits, hashes are counted (a partial aggregation) and joined back to the windows;
+4. each shard settles which windows of its variants recur, by the method that the operator names;
 5. the verdicts are joined to all places of each variant and gathered by document.
 
-Shards hold about the same amount of text whatever the corpus holds.  The joins that touch all runs are
-plain equi-joins, whose hot keys Spark splits.  Runs and surviving places are kept as tables, so that lost
-executors cost one step.
+A key whose variants hold more than a shard, as of a short phrase in very many contexts, is dealt again: its
+variants pass through the same steps as documents with their copies as weights, and another order of the k-grams
+gives them other keys.  What still exceeds a shard after ``ORDERS`` orders, text of very few different k-grams, goes
+to shards by content: every window is hashed to 128 bits, hashes are counted (a partial aggregation) and joined back.
+
+Shards hold about the same amount of text whatever the corpus holds.  Joins that touch all runs join two tables, so
+that Spark splits their hot keys; rows and variants are known by 128 bits.  Runs, places and verdicts are kept as
+tables, so that lost executors cost one step.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ from pyspark.sql import functions as F
 from notequery.llm import _store
 from notequery.llm import _text as t
 
-_RUN = "_rid long, key long, content long, start int, n int"
+#: Orders of the k-grams by which keys are dealt before windows are hashed one by one.
+ORDERS = 2
+_RUN = "_rid long, _sid long, key long, content long, start int, n int, many long"
 _VARIANT = "key long, content long, copies long, n int, hot boolean, body binary"
 VERDICT = "key long, content long, spans array<struct<start: int, end: int>>"
-#: A shard's verdicts, and the windows of the variants whose key is dealt again: ``at``, two hashes and the copies.
+#: A shard's verdicts, and the windows of variants that are dealt by content: ``at``, two hashes and the copies.
 _SETTLED = f"{VERDICT}, at int, a long, b long, copies long"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -46,15 +51,16 @@ def _units(data, offsets, by_words: bool):
     return t.prefix(t.span(sums, starts, ends)), bounds, starts, ends
 
 
-def _emit(by_words: bool, length: int, k: int):
+def _emit(by_words: bool, length: int, k: int, seed: int):
     def run(batches):
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            for low, _, data, offsets in t.slices(batch.column(1)):
+            rid, sid, many = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            for low, _, data, offsets in t.slices(batch.column(2)):
                 sums, bounds, _, _ = _units(data, offsets, by_words)
-                row, key, content, start, n = t.chunks(sums, bounds, length, k)
-                columns = [pa.array(rid[low + row]), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["_rid", "key", "content", "start", "n"])
+                row, key, content, start, n = t.chunks(sums, bounds, length, k, seed)
+                row += low
+                columns = [rid[row], sid[row], key.view(np.int64), content.view(np.int64), start.astype(np.int32), n.astype(np.int32), many[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_rid", "_sid", "key", "content", "start", "n", "many"])
 
     return run
 
@@ -65,14 +71,14 @@ def _cut(by_words: bool, length: int):
     def run(batches):
         last = None
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            lists = batch.column(2)
+            rid = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            lists = batch.column(3)
             counts = np.diff(lists.offsets.to_numpy())
             values = lists.flatten()
             first = np.cumsum(counts) - counts
             key, content, copies, start, n = (values.field(c).to_numpy() for c in ("key", "content", "copies", "start", "n"))
             hot = values.field("hot")
-            for low, high, data, offsets in t.slices(batch.column(1)):
+            for low, high, data, offsets in t.slices(batch.column(2)):
                 begins, finishes, bounds = t.words(data, offsets, t.SPACED) if by_words else (None, None, offsets)
                 raw, bodies, at = data.tobytes(), [], []
                 for i in range(low, high):
@@ -108,7 +114,7 @@ def _windows(bodies: list[bytes], windows: np.ndarray, by_words: bool, length: i
 
 
 def _settle(judge: Callable, by_words: bool, length: int):
-    """Call judge(bodies, copies, windows) -> spans of each body, on the distinct variants of a shard; hash those of a key that is dealt again."""
+    """Call judge(bodies, copies, windows) -> spans of each body, on the distinct variants of a shard; hash those that are dealt by content."""
 
     def run(shard: pa.Table) -> pa.Table:
         seen: dict[tuple[int, int], int] = {}
@@ -147,41 +153,53 @@ def _joined(length: int):
     return run
 
 
-def find(docs: DataFrame, key: str, text: str, by_words: bool, length: int, k: int, shard_units: int, judge: Callable) -> DataFrame:
-    """(own columns, ``_spans``): the units of each row's text that recurring windows cover, as a list of (start, end).
-
-    A null text has no windows; equal rows find each other; an empty table stays empty.
-    """
-    rows = docs.withColumn("_rid", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
-    texts = rows.select("_rid", F.col(f"`{text}`").alias("_text"))
-    emitted = _store.table(texts.mapInArrow(_emit(by_words, length, k), _RUN), "runs")
-    recurring = emitted.groupBy("key").count().filter("count > 1").select("key")
-    places = _store.table(emitted.join(recurring, "key").select("_rid", "key", "content", "start", "n"), "places")
-    variants = places.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("_rid", "start", "n")).alias("first"))
-    units = variants.groupBy("key").agg(F.sum(F.col("first.n") + length - 1).alias("units"))
-    # Of keys that exceed a shard there are at most as many as shards.
-    total, large = units.agg(F.sum("units"), F.collect_list(F.when(F.col("units") > shard_units, F.col("key")))).first()
-    shards = max(1, -(-(total or 0) // shard_units))
-    if large:
-        hot = docs.sparkSession.createDataFrame([(k, True) for k in large], "key long, hot boolean")
-        variants = variants.join(F.broadcast(hot), "key", "left")
-    else:
-        variants = variants.withColumn("hot", F.lit(False))
-    chosen = variants.groupBy(F.col("first._rid").alias("_rid")).agg(
-        F.collect_list(F.struct("key", "content", "copies", F.col("first.start").alias("start"), F.col("first.n").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_variants")
-    )
-    bodies = texts.join(chosen, "_rid").select("_rid", "_text", "_variants").mapInArrow(_cut(by_words, length), _VARIANT)
+def _spans(texts: DataFrame, by_words: bool, length: int, k: int, shard_units: int, judge: Callable, seed: int = 0) -> DataFrame:
+    """(_rid, _sid, _spans) of the rows (_rid, _sid, _text, _many) that recurring windows cover in part."""
+    ids = ["_rid", "_sid"]
+    emitted = _store.table(texts.mapInArrow(_emit(by_words, length, k, seed), _RUN), "runs")
+    recurring = _store.table(emitted.groupBy("key").agg(F.sum("many").alias("n")).filter("n > 1").select("key"), "recurring")
+    places = _store.table(emitted.join(recurring, "key").select(*ids, "key", "content", "start", "n", "many"), "places")
+    # Of a variant any copy will do; the values of one row stay together.
+    variants = places.groupBy("key", "content").agg(F.sum("many").alias("copies"), *[F.first(c).alias(c) for c in (*ids, "start", "n")])
+    variants = _store.table(variants, "variants")
+    units = variants.groupBy("key").agg(F.sum(F.col("n") + length - 1).alias("units"))
+    large = _store.table(units.filter(F.col("units") > shard_units).select(F.col("key").alias("_k")), "large-keys")
+    shards = max(1, -(-(variants.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0) // shard_units))
+    variants = variants.join(large, F.col("key") == F.col("_k"), "left").withColumn("hot", F.col("_k").isNotNull())
+    chosen = variants.groupBy(*ids).agg(F.collect_list(F.struct("key", "content", "copies", "start", "n", "hot")).alias("_variants"))
+    bodies = texts.join(chosen, ids).select(*ids, "_text", "_variants").mapInArrow(_cut(by_words, length), _VARIANT)
+    again = seed + 1 < ORDERS and bool(large.limit(1).count())
+    if again:
+        bodies = _store.table(bodies, "bodies")
+        hot = bodies.filter("hot").select(F.col("key").alias("_rid"), F.col("content").alias("_sid"), F.col("body").alias("_text"), F.col("copies").alias("_many"))
+        dealt = _spans(hot.dropDuplicates(ids), by_words, length, k, shard_units, judge, seed + 1)
+        bodies = bodies.filter("not hot")
     shard = F.when(F.col("hot"), -1 - F.pmod("content", F.lit(shards))).otherwise(F.pmod("key", F.lit(shards))).alias("shard")
     settled = _store.table(bodies.groupBy(shard).applyInArrow(_settle(judge, by_words, length), _SETTLED), "verdicts")
     verdicts = settled.filter("spans is not null").select("key", "content", "spans")
-    if large:
+    if again:
+        verdicts = verdicts.unionByName(dealt.select(F.col("_rid").alias("key"), F.col("_sid").alias("content"), F.col("_spans").alias("spans")))
+    elif large.limit(1).count():
         windows = settled.filter("at is not null").select("key", "content", "at", "a", "b", "copies")
-        again = windows.groupBy("key", "a", "b").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("key", "a", "b")
-        again = _store.table(again, "recurring-windows")  # so that the join reads tables alone, whose hot keys Spark splits
-        found = windows.drop("copies").join(again, ["key", "a", "b"]).groupBy("key", "content").agg(F.collect_list("at").alias("at"))
+        seen = windows.groupBy("key", "a", "b").agg(F.sum("copies").alias("copies")).filter("copies > 1").select("key", "a", "b")
+        found = windows.drop("copies").join(_store.table(seen, "recurring-windows"), ["key", "a", "b"]).groupBy("key", "content").agg(F.collect_list("at").alias("at"))
         verdicts = verdicts.unionByName(_store.table(found.mapInArrow(_joined(length), VERDICT), "dealt-verdicts"))
-    spans = places.join(verdicts, ["key", "content"]).select("_rid", "start", F.explode("spans").alias("s"))
-    spans = spans.groupBy("_rid").agg(
+    spans = places.join(verdicts, ["key", "content"]).select(*ids, "start", F.explode("spans").alias("s"))
+    spans = spans.groupBy(*ids).agg(
         F.collect_list(F.struct((F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"))).alias("_spans")
     )
-    return rows.join(spans, "_rid", "left").drop("_rid")
+    return _store.table(spans, "spans")
+
+
+def find(docs: DataFrame, key: str, text: str, by_words: bool, length: int, k: int, shard_units: int, judge: Callable) -> DataFrame:
+    """(own columns, ``_spans``): the units of each row's text that recurring windows cover, as a list of (start, end).
+
+    A null text has no windows; equal rows find each other; a text of any length is cut as a whole; an empty table
+    stays empty.  Columns of the input that start with an underscore keep their values but for ``_spans``.
+    """
+    own = [c for c in docs.columns if c != "_spans"]
+    names = [F.col(f"`{key}`"), F.col(f"`{text}`")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), names[1].alias("_text"), F.xxhash64(*names).alias("_rid"), F.xxhash64(F.lit(1), *names).alias("_sid"))
+    texts = rows.select("_rid", "_sid", "_text", F.lit(1).cast("long").alias("_many"))
+    spans = _spans(texts, by_words, length, k, shard_units, judge)
+    return rows.drop("_text").join(spans, ["_rid", "_sid"], "left").select("_row.*", "_spans")

@@ -79,11 +79,11 @@ def grams(sums: np.ndarray, k: int) -> np.ndarray:
 
 
 def slices(column, limit: int = SLICE):
-    """Yield (first row, last row + 1, bytes, offsets) of runs of rows; null counts as empty."""
+    """Yield (first row, last row + 1, bytes, offsets) of runs of rows of text or bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, pa.scalar("", column.type))
     n = len(column)
     if not n:
         return
@@ -132,15 +132,19 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - first, counts)
 
 
-def chunks(sums: np.ndarray, bounds: np.ndarray, length: int, k: int):
+def chunks(sums: np.ndarray, bounds: np.ndarray, length: int, k: int, seed: int = 0):
     """Cut the windows of `length` units of each row into runs by the place of the least hash of their k-grams.
 
+    Each seed orders the k-grams anew.
+
     `bounds` holds the first unit of each row (one more than rows).  Of ties the last place counts, so that equal
     windows, wherever they stand and however often within one row, have equal least hashes at different places
     and fall into different runs with the same key.  Returns the row, key, content hash, first window within the
     row and number of windows of each run.
     """
     own = grams(sums, k)
+    if seed:
+        own = mix(own ^ np.uint64(seed * _BASE & (2**64 - 1)))
     low = np.uint64((1 << max(1, len(own).bit_length())) - 1)
     ranked = (own & ~low) | (low - np.arange(len(own), dtype=np.uint64))
     least = sliding_min(ranked, length - k + 1)

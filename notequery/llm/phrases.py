@@ -1,9 +1,11 @@
 """Substring dedup by repeated-phrase automata.
 
-Passages that recur are confirmed shard by shard: a window of words counts as recurring if it starts at two
-places at least, and maximal stretches of recurring windows form passages.  Each shard compiles its passages
-into one Aho-Corasick automaton and streams every stretch of every document that can hold them through it; each
-occurrence that the automaton reports is covered.
+Passages that recur are confirmed shard by shard (see ``_repeats``): a window of words counts as recurring if it
+starts at two places at least, and maximal stretches of recurring windows form passages, each window in the passage
+of the first text that holds it.  Each shard compiles its passages into one Aho-Corasick automaton, as pieces of
+half a window, and streams every stretch of every document that can hold them through it.  Every window holds a
+whole piece of its passage, so each occurrence, in whatever text, shows as a hit; hits are extended both ways as far
+as text and passage agree, and stretches of at least a window are covered.  Equal stretches are streamed once.
 """
 
 from __future__ import annotations
@@ -25,38 +27,71 @@ SHARD_WORDS, K = 150_000, 6
 _FIRST = 0x10000
 
 
+def _passages(coded: list[str], copies: np.ndarray, windows: np.ndarray, length: int) -> list[str]:
+    """Stretches of recurring windows; each distinct window that recurs stands in one of them."""
+    counts: Counter[str] = Counter()
+    for code, n, many in zip(coded, windows.tolist(), copies.tolist(), strict=True):
+        for i in range(n):
+            counts[code[i : i + length]] += many
+    out = []
+    for code, n in zip(coded, windows.tolist(), strict=True):
+        flags = np.fromiter((counts[code[i : i + length]] > 1 for i in range(n)), dtype=bool, count=n)
+        for a, b in zip(*t.runs(flags), strict=True):
+            out.append(code[a : b + length - 1])
+            for i in range(a, b):
+                counts[code[i : i + length]] = 0  # it has its passage
+    return out
+
+
+def _agree(a: str, i: int, b: str, j: int) -> int:
+    """How far two texts agree from two places on."""
+    n, most = 0, min(len(a) - i, len(b) - j)
+    while n + 32 <= most and a[i + n : i + n + 32] == b[j + n : j + n + 32]:
+        n += 32
+    while n < most and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
 def judge(length: int):
     """Spans of words that recurring windows of `length` words cover, for the variants of one shard."""
+    piece = (length + 1) // 2
 
     def run(bodies: list[bytes], copies: np.ndarray, windows: np.ndarray) -> list[list[tuple[int, int]]]:
         ids: dict[bytes, int] = {}
-        coded = []
-        for body in bodies:
-            coded.append("".join(map(chr, (ids.setdefault(w, len(ids) + _FIRST) for w in body.split()))))
-        counts: Counter[str] = Counter()
-        for code, n, many in zip(coded, windows.tolist(), copies.tolist(), strict=True):
-            for i in range(n):
-                counts[code[i : i + length]] += many
-        passages = ahocorasick.Automaton()
-        for code, n in zip(coded, windows.tolist(), strict=True):
-            flags = np.fromiter((counts[code[i : i + length]] > 1 for i in range(n)), dtype=bool, count=n)
-            for a, b in zip(*t.runs(flags), strict=True):
-                passage = code[a : b + length - 1]
-                passages.add_word(passage, len(passage))
-        if not len(passages):
+        coded = ["".join(map(chr, (ids.setdefault(w, len(ids) + _FIRST) for w in body.split()))) for body in bodies]
+        passages = _passages(coded, copies, windows, length)
+        places: dict[str, list[tuple[int, int]]] = {}
+        for no, passage in enumerate(passages):
+            for at in range(0, len(passage) - piece + 1, piece):
+                places.setdefault(passage[at : at + piece], []).append((no, at))
+        if not places:
             return [[] for _ in bodies]
-        passages.make_automaton()
+        automaton = ahocorasick.Automaton()
+        for text, found in places.items():
+            automaton.add_word(text, found)
+        automaton.make_automaton()
         out = []
         for code in coded:
             spans: list[tuple[int, int]] = []
-            for last, size in passages.iter(code):
-                start = last - size + 1
-                while spans and spans[-1][0] >= start:
-                    spans.pop()
-                if spans and spans[-1][1] >= start:
-                    start = spans.pop()[0]
-                spans.append((start, last + 1))
-            out.append(spans)
+            reached: dict[tuple[int, int], int] = {}
+            for last, found in automaton.iter(code):
+                for no, place in found:
+                    start, passage = last - piece + 1, passages[no]
+                    if reached.get((no, start - place), 0) > last:
+                        continue
+                    end = last + 1 + _agree(code, last + 1, passage, place + piece)
+                    reached[no, start - place] = end
+                    while start and place and code[start - 1] == passage[place - 1]:
+                        start, place = start - 1, place - 1
+                    if end - start >= length:
+                        spans.append((start, end))
+            joined: list[tuple[int, int]] = []
+            for start, end in sorted(spans):
+                if joined and joined[-1][1] >= start:
+                    start, end = joined[-1][0], max(joined.pop()[1], end)
+                joined.append((start, end))
+            out.append(joined)
         return out
 
     return run
@@ -66,7 +101,8 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     """All rows with ``_spans``, the (first word, last word + 1) that windows of `length` words cover which also start elsewhere.
 
     Words are what space and \\t \\n \\v \\f \\r separate, unchanged.  Windows are judged on the input.  Null and
-    empty texts and texts of fewer words have no spans; a repeated row makes all its windows recur.
+    empty texts and texts of fewer words have no spans; a repeated row makes all its windows recur; a text of any
+    length is streamed as a whole; an empty table stays empty.  A column ``_spans`` of the input is replaced.
     """
     return _repeats.find(docs, key, text, True, length, K, SHARD_WORDS, judge(length))
 

@@ -1,10 +1,10 @@
 """Suffix-array dedup.
 
-Shards of candidate text (see ``_repeats``) get a suffix array each, by Larsson-Sadakane refinement in numpy:
-suffixes are sorted by their first bytes and groups that still tie are refined by the ranks of the suffixes
-further on, until ties are longer than a window.  Kasai's rule gives the common prefixes of neighbours, walked
-in many lanes at once.  A shard beyond ``BLOCK`` bytes is sorted in blocks, which are merged by binary search of
-each block's windows in the suffix arrays of the others.
+Candidate text is dealt to bins in which equal windows meet (see ``_repeats``).  Within a bin it lies in plain
+shards of ``SHARD`` bytes, each with a suffix array by Larsson-Sadakane refinement in numpy: suffixes are sorted by
+their first bytes and groups that still tie are refined by the ranks of the suffixes further on, until ties are
+longer than a window.  Kasai's rule gives the common prefixes of neighbours, walked in many lanes at once.  Shards
+are merged by binary search of each one's windows in the suffix arrays of the others.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from notequery.llm import _repeats
 from notequery.llm import _text as t
 
-#: Bytes of a shard, of a block of one, and of the k-grams that choose a window's shard.
-SHARD_BYTES, BLOCK, K = 1 << 20, 1 << 21, 24
+#: Bytes of a bin, of a shard within it, and of the k-grams that choose a window's bin.
+BIN, SHARD, K = 1 << 20, 1 << 18, 24
 _LANES = 4096
 
 
@@ -115,41 +115,37 @@ def common_prefixes(order: np.ndarray, known: np.ndarray, tied: np.ndarray, eigh
     return out
 
 
-class _Block:
-    """Some variants of a shard with their suffix array."""
+class _Shard:
+    """Some variants of a bin with their suffix array."""
 
     def __init__(self, bodies: list[bytes], copies: np.ndarray, windows: np.ndarray, length: int):
         data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
         size = np.array([len(b) for b in bodies])
-        self.first, self.windows, self.length = np.cumsum(size) - size, windows, length
+        self.first, self.length = np.cumsum(size) - size, length
         self.weight = np.zeros(len(data), dtype=np.int64)
         self.weight[t.ranges(self.first, windows)] = np.repeat(copies, windows)
         self.eight = heads(data, 2 * length + 16)
         self.order, known, tied = suffix_array(data, length, self.eight)
         shared = common_prefixes(self.order, known, tied, self.eight, length)
-        self.begin = np.flatnonzero(shared < length)  # suffixes that share a window's length stand together
-        self.flags = np.zeros(len(data), dtype=bool)
-        weights = self.weight[self.order]
-        self.total = np.add.reduceat(weights, self.begin)
-        self.group = np.repeat(np.arange(len(self.begin)), np.diff(np.append(self.begin, len(data))))
-        self.mark(self.total > 1)
-
-    def mark(self, groups: np.ndarray) -> None:
-        self.flags[self.order[groups[self.group]]] = True
-        self.flags &= self.weight > 0
-
-    def open(self) -> tuple[np.ndarray, np.ndarray]:
-        """One window of each group that stands alone here, and the group."""
-        groups = np.flatnonzero(self.total == 1)
-        at = np.flatnonzero((self.weight[self.order] > 0) & (self.total[self.group] == 1))
-        return self.order[at], groups
-
-    def less(self, mine: np.ndarray, other: _Block, its: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether windows of this block sort before those of another, and whether they are equal."""
+        begin = np.flatnonzero(shared < length)  # suffixes that share a window's length stand together
+        self.group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(data))))
+        self.recurs = np.add.reduceat(self.weight[self.order], begin) > 1
+        at = np.flatnonzero(self.weight[self.order] > 0)
+        at = at[np.concatenate(([True], self.group[at[1:]] != self.group[at[:-1]]))] if len(at) else at
+        #: One window of each group that has any, in order, the group, and the window's first bytes.
+        self.places, self.groups = self.order[at], self.group[at]
+        self.heads = self.eight[self.places] & self._mask(0)
+
+    def _mask(self, j: int) -> np.uint64:
+        """What counts of the eight bytes from place j of a window on."""
+        return np.uint64((~0 << 8 * max(0, j + 8 - self.length)) & (2**64 - 1))
+
+    def less(self, mine: np.ndarray, other: _Shard, its: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether windows of this shard sort before those of another, and whether they are equal."""
         below, equal = np.zeros(len(mine), dtype=bool), np.ones(len(mine), dtype=bool)
         todo = np.arange(len(mine))
         for j in range(0, self.length, 8):
-            keep = np.uint64((~0 << 8 * max(0, j + 8 - self.length)) & (2**64 - 1))
+            keep = self._mask(j)
             a, b = self.eight[mine[todo] + j] & keep, other.eight[its[todo] + j] & keep
             below[todo[a < b]] = True
             equal[todo[a != b]] = False
@@ -158,28 +154,26 @@ class _Block:
                 break
         return below, equal
 
-    def merge(self, other: _Block) -> None:
-        """Find the windows that stand alone in another block in this one, by binary search, and mark both."""
-        places, groups = other.open()
-        # Only groups that hold a window count; within them order is by the window, so places of `begin` are sorted.
-        mine = self.order[self.begin]
-        low, high = np.zeros(len(places), dtype=np.int64), np.full(len(places), len(mine))
+    def merge(self, other: _Shard) -> None:
+        """Find the other's windows in this shard's by binary search, first of their heads; what both hold recurs."""
+        low, high = (np.searchsorted(self.heads, other.heads, side) for side in ("left", "right"))
+        some = np.flatnonzero(low < high)
+        low, high, last = low[some], high[some], high[some]
         while (go := np.flatnonzero(low < high)).size:
             middle = (low[go] + high[go]) // 2
-            below, _ = self.less(mine[middle], other, places[go])
+            below, _ = self.less(self.places[middle], other, other.places[some[go]])
             low[go[below]] = middle[below] + 1
             high[go[~below]] = middle[~below]
-        inside = np.flatnonzero(low < len(mine))
-        _, equal = self.less(mine[low[inside]], other, places[inside])
+        inside = np.flatnonzero(low < last)
+        _, equal = self.less(self.places[low[inside]], other, other.places[some[inside]])
         hit = inside[equal]
-        hit = hit[self.total[low[hit]] > 0]
-        for block, found in ((self, low[hit]), (other, groups[hit])):
-            chosen = np.zeros(len(block.begin), dtype=bool)
-            chosen[found] = True
-            block.mark(chosen)
+        self.recurs[self.groups[low[hit]]] = True
+        other.recurs[other.groups[some[hit]]] = True
 
     def spans(self) -> list[list[tuple[int, int]]]:
-        begin, end = t.runs(self.flags)
+        flags = np.zeros(len(self.weight), dtype=bool)
+        flags[self.order] = self.recurs[self.group]
+        begin, end = t.runs(flags & (self.weight > 0))
         row = np.searchsorted(self.first, begin, side="right") - 1
         out: list[list[tuple[int, int]]] = [[] for _ in self.first]
         for r, a, b in zip(row.tolist(), (begin - self.first[row]).tolist(), (end - self.first[row] + self.length - 1).tolist(), strict=True):
@@ -189,22 +183,20 @@ class _Block:
         return out
 
 
-def judge(length: int, block: int = BLOCK):
-    """Spans of bytes that recurring windows of `length` bytes cover, for the variants of one shard."""
+def judge(length: int, shard: int = SHARD):
+    """Spans of bytes that recurring windows of `length` bytes cover, for the variants of one bin."""
 
     def run(bodies: list[bytes], copies: np.ndarray, windows: np.ndarray) -> list[list[tuple[int, int]]]:
-        blocks, low, size = [], 0, 0
-        for i, body in enumerate(bodies):
-            if size and size + len(body) >= block:
-                blocks.append(_Block(bodies[low:i], copies[low:i], windows[low:i], length))
+        shards, low, size = [], 0, 0
+        for i, body in enumerate([*bodies, b""]):
+            if size and (size + len(body) > shard or i == len(bodies)):
+                shards.append(_Shard(bodies[low:i], copies[low:i], windows[low:i], length))
                 low, size = i, 0
             size += len(body)
-        blocks.append(_Block(bodies[low:], copies[low:], windows[low:], length))
-        for one in blocks:
-            for other in blocks:
-                if one is not other:
-                    one.merge(other)
-        return [x for b in blocks for x in b.spans()]
+        for i, one in enumerate(shards):
+            for other in shards[:i]:
+                one.merge(other)
+        return [x for s in shards for x in s.spans()]
 
     return run
 
@@ -213,9 +205,10 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     """All rows with ``_spans``, the (first byte, last byte + 1) in UTF-8 that strings of `length` bytes cover which also start elsewhere.
 
     Strings are judged on the input and never cross rows; overlaps count.  Null, empty and shorter texts have no
-    spans; a repeated row makes all its strings recur.
+    spans; a repeated row makes all its strings recur; a text of any length is taken whole; an empty table stays
+    empty.  A column ``_spans`` of the input is replaced.
     """
-    return _repeats.find(docs, key, text, False, length, K, SHARD_BYTES, judge(length))
+    return _repeats.find(docs, key, text, False, length, K, BIN, judge(length))
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
