@@ -1,9 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against windows of training words.
 
-The windows of all benchmark items are hashed into a sorted set that is broadcast, a bounded part at a time: a
-benchmark beyond ``MOST_WINDOWS`` windows goes in several parts, each scanned in turn by the same narrow pass.
-Tasks hash every window of words of whole documents, look the hashes up, and verify each hit word by word.
-No shuffle takes place; memory is a slice of text and one part of the set.
+The windows of all benchmark items are hashed into a sorted set that is broadcast.  Tasks hash every window of words
+of whole documents, look the hashes up, and verify each hit word by word, without a shuffle; memory is a slice of
+text and the set.  A benchmark beyond ``MOST_WINDOWS`` windows goes in parts, one at a time on the driver and in the
+tasks: each part's hits are kept as a table, and hits, which are few, are joined to the documents at the end.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from notequery.llm import _store
 from notequery.llm import _text as t
 
 #: Windows in one broadcast part (about 200 bytes each).
-MOST_WINDOWS = 500_000
+MOST_WINDOWS = 250_000
 _FOLD = np.where(t.ALNUM, t.LOWER, 0x20).astype(np.uint8).tobytes()
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string())]))
 HITS = "array<struct<start: int, length: int, item: string>>"
@@ -31,7 +31,7 @@ def normalise(text: str | None) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """(part key, length, words, item) of the windows of every item: n words each, or the whole of a shorter item."""
+    """(length, words, item) of the windows of every item: n words each, or the whole of a shorter item."""
 
     def cut(batches):
         for batch in batches:
@@ -49,11 +49,11 @@ def windows(benchmark: DataFrame, n: int) -> DataFrame:
 class _Part:
     """One part of the set, as tasks use it: by length, sorted hashes with their words and items."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: pa.Table | None):
         self.by_length: dict[int, tuple] = {}
         grouped: dict[int, dict[bytes, list]] = {}
-        for length, words, item in rows:
-            grouped.setdefault(length, {}).setdefault(bytes(words), []).append(item)
+        for length, words, item in zip(*(rows[c].to_pylist() for c in ("length", "words", "item")), strict=True) if rows else ():
+            grouped.setdefault(length, {}).setdefault(words, []).append(item)
         for length, texts in grouped.items():
             found = list(texts)
             data = np.frombuffer(b" ".join(found), dtype=np.uint8)
@@ -65,17 +65,17 @@ class _Part:
             self.by_length[length] = (hashes[order], [found[i] for i in order], [texts[found[i]] for i in order], seen)
 
 
-def _scan(part):
-    """Add the verified hits of one part to the hits column."""
+def _scan(part, kept: list[int], only_hits: bool):
+    """The kept columns with the number of words and the verified hits of one part of the set; the text is the last column."""
 
     def run(batches):
         lookup = part.value.by_length
         for batch in batches:
-            at = batch.schema.get_field_index("_hits")
-            hits = batch.column(at).to_pylist()
-            for low, high, raw, offsets in t.slices(batch.column(batch.schema.get_field_index("_text"))):
+            counts, hits = np.zeros(batch.num_rows, dtype=np.int64), [[] for _ in range(batch.num_rows)]
+            for low, high, raw, offsets in t.slices(batch.column(batch.num_columns - 1)):
                 data = t.LOWER[raw]
                 starts, ends, bounds = t.words(data, offsets, t.ALNUM)
+                counts[low:high] = np.diff(bounds)
                 sums = t.prefix(t.span(t.prefix(data), starts, ends))
                 for length, (hashes, texts, items, seen) in lookup.items():
                     own = t.grams(sums, length)
@@ -89,59 +89,78 @@ def _scan(part):
                         found = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + length))
                         while k < len(hashes) and hashes[k] == own[i]:
                             if texts[k] == found:
-                                start = int(i - bounds[row])
-                                hits[low + row] = (hits[low + row] or []) + [{"start": start, "length": length, "item": item} for item in items[k]]
+                                hits[low + row] += [{"start": int(i - bounds[row]), "length": length, "item": item} for item in items[k]]
                             k += 1
-            columns = list(batch.columns)
-            columns[at] = pa.array(hits, _HITS)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(counts), pa.array([h or None for h in hits], _HITS)], names=[*(batch.schema.names[i] for i in kept), "_words", "_hits"])
+            yield out.filter(out.column(out.num_columns - 1).is_valid()) if only_hits else out
 
     return run
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, text: str, most: int) -> DataFrame:
+    """(_row, _words, _hits) of all rows of docs."""
+    spark = docs.sparkSession
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    grams = _store.table(windows(benchmark, n).withColumn("_h", F.xxhash64("length", "words")), "windows")
+    parts = -(-grams.count() // most)
+    schema = _store.extended(rows.select("_row"), f"_words long, _hits {HITS}")
+
+    def part(i: int):
+        return spark.sparkContext.broadcast(_Part(grams.filter(F.pmod("_h", F.lit(parts)) == i).select("length", "words", "item").toArrow() if parts else None))
+
+    if parts < 2:
+        return rows.mapInArrow(_scan(part(0), [0], False), schema)
+    ids = [F.xxhash64(F.lit(k), "_row") for k in range(2)]
+    known = rows.select(ids[0].alias("_a"), ids[1].alias("_b"), "_text")
+    found = []
+    for i in range(parts):
+        shared = part(i)
+        found.append(_store.table(known.mapInArrow(_scan(shared, [0, 1], True), f"_a long, _b long, _words long, _hits {HITS}"), "hits"))
+        shared.unpersist()
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    # Equal rows bring their hits once each, the same ones.
+    hits = every.select("_a", "_b", F.explode("_hits").alias("h")).distinct().groupBy("_a", "_b").agg(F.collect_list("h").alias("_found"))
+    out = rows.mapInArrow(_scan(spark.sparkContext.broadcast(_Part(None)), [0], False), schema).withColumns({"_x": ids[0], "_y": ids[1]})
+    return out.join(_store.table(hits, "hits-by-row"), (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left").select("_row", "_words", F.col("_found").alias("_hits"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", most: int = MOST_WINDOWS) -> DataFrame:
     """All rows and columns of docs, with ``_hits``: (first word, words, item) of every occurrence of an item's window.
 
     Null and empty texts have no hits; items without words match nothing; items of fewer than n words match
-    whole.  A null item_id gives hits whose item is null.  An empty benchmark gives no hits.
+    whole.  A null item_id gives hits whose item is null.  An empty benchmark gives no hits, an empty table stays
+    empty, repeated rows have the same hits each, and a text of any length is scanned whole.  A column ``_hits`` of
+    the input is replaced; all others keep their values.
     """
-    spark = docs.sparkSession
-    grams = windows(benchmark, n).withColumn("_h", F.xxhash64("length", "words")).cache()
-    total = grams.count()
-    parts = max(1, -(-total // most))
-    df = docs.withColumn("_text", F.col(text)).withColumn("_hits", F.lit(None).cast(HITS))
-    for part in range(parts if total else 0):
-        rows = grams.filter(F.pmod("_h", F.lit(parts)) == part).select("length", "words", "item").collect()
-        df = df.mapInArrow(_scan(spark.sparkContext.broadcast(_Part(rows))), df.schema)
-    grams.unpersist()
-    return df.drop("_text")
+    own = [c for c in docs.columns if c != "_hits"]
+    out = _found(docs.select(*[F.col(f"`{c}`") for c in own]), benchmark, n, text, most)
+    return out.select(*[F.col(f"_row.`{c}`") for c in own], "_hits")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text") -> DataFrame:
-    """All columns of docs with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    found = find(docs, benchmark, n, text)
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", most: int = MOST_WINDOWS) -> DataFrame:
+    """All columns of docs with n_words, n_hit, n_items, items_sha256 and contaminated, as ``find`` has the hits.
+
+    Columns of the input with these names are replaced.
+    """
+    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    own = [c for c in docs.columns if c not in added]
 
     def digest(batches):
         for batch in batches:
-            hits = batch.column(batch.schema.get_field_index("_hits")).to_pylist()
-            counts = np.zeros(len(hits), dtype=np.int64)
-            for low, high, data, offsets in t.slices(batch.column(batch.schema.get_field_index("_text"))):
-                counts[low:high] = np.diff(t.words(data, offsets, t.ALNUM)[2])
             n_hit, n_items, sha = [], [], []
-            for own in hits:
+            for hits in batch.column(2).to_pylist():
                 covered: set[int] = set()
-                for h in own or ():
+                for h in hits or ():
                     covered.update(range(h["start"], h["start"] + h["length"]))
-                items = sorted({h["item"] for h in own or () if h["item"] is not None})
+                items = sorted({h["item"] for h in hits or () if h["item"] is not None})
                 n_hit.append(len(covered))
                 n_items.append(len(items))
                 sha.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("_hits", "_text")]
-            names = [c for c in batch.schema.names if c not in ("_hits", "_text")]
-            new = [pa.array(counts), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha), pa.array([x > 0 for x in n_hit], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*kept, *new], names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    added = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_hits", "_text")]
-    schema = _store.extended(docs.select(*[f"`{c}`" for c in own]), added)
-    return found.select(*[F.col(f"`{c}`") for c in own], "_hits", F.col(text).alias("_text")).mapInArrow(digest, schema)
+            new = [batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["_row", *added])
+
+    found = _found(docs.select(*[F.col(f"`{c}`") for c in own]), benchmark, n, text, most)
+    schema = _store.extended(found.select("_row"), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(digest, schema).select(*[F.col(f"_row.`{c}`") for c in own], *added)

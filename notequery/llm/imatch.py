@@ -2,7 +2,8 @@
 
 The lexicon is the terms whose document frequency lies within a band.  A document keeps its distinct lexicon
 terms; each of several random subsets of the lexicon, from half of it down to one term in 512, gives a hash of
-the terms it keeps.  Documents are alike as far as subsets of the most telling size agree.
+the sorted terms it keeps (a sum of their hashes, which no order changes).  Documents are alike as far as subsets of
+the most telling size agree.
 """
 
 from __future__ import annotations
@@ -14,18 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from notequery.llm import _store
 from notequery.llm import _text as t
 
-#: Band of document frequencies (shares of all documents), and terms that a lexicon holds at most (8 bytes each).
-LOW, HIGH, TERMS = 0.0005, 0.05, 1_000_000
+#: Band of document frequencies, as shares of all documents.
+LOW, HIGH = 0.0005, 0.05
 #: A subset of scale i keeps a term with chance 2 ** -(2 * i + 1); each scale has so many subsets.
 SCALES, SUBSETS = 5, 12
 #: Documents with fewer lexicon terms are told by all their terms; scales with fewer non-empty subsets don't tell.
 FEWEST, TELLING = 5, 4
 #: Buckets into which rows are dealt by key, to find each row's successor.
-BUCKETS, BUCKET_ROWS = 4096, 2000
+BUCKETS, BUCKET_ROWS, STEP = 4096, 2000, 64
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +45,9 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> np.ndarray:
     """Sorted hashes of the terms that stand in at least two documents and in ``low`` to ``high`` of all.
 
-    Frequencies cover all documents.  Documents have so many distinct terms on average, so at most 1 / low times
-    that many terms reach the lower end; should they exceed ``TERMS``, it is raised twofold until they don't.
+    Frequencies cover all documents.  At most (mean distinct terms of a document) / ``low`` terms reach the lower
+    end, at 8 bytes each, however many documents there are: 300,000 where documents have 150 distinct terms.
+    Null and empty texts have no terms but count as documents; an empty table makes an empty lexicon.
     """
 
     def run(batches):
@@ -55,11 +58,8 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
 
     n = docs.count()
     counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = _store.table(counts.filter((F.col("n") >= max(2, low * n)) & (F.col("n") <= max(2, high * n))), "frequencies")
-    while counts.filter(F.col("n") >= max(2, low * n)).count() > TERMS:
-        low *= 2
-    found = counts.filter(F.col("n") >= max(2, low * n)).select("term").toArrow()["term"].to_numpy()
-    return np.sort(found.view(np.uint64))
+    counts = counts.filter((F.col("n") >= max(2, low * n)) & (F.col("n") <= max(2, high * n)))
+    return np.sort(counts.select("term").toArrow()["term"].to_numpy().view(np.uint64))
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -124,34 +124,55 @@ def _of(texts: list[str], known: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def _bucket(cuts: list[int], place: str):
+    """How many cuts are at most a place; ``STEP`` by ``STEP``, so that a row is compared with few of them."""
+    if not cuts:
+        return F.lit(0)
+    groups = [cuts[i : i + STEP] for i in range(0, len(cuts), STEP)]
+    upto = lambda a: F.size(F.filter(a, lambda c: c <= F.col(place)))
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    group = upto(longs([g[0] for g in groups]))
+    return F.when(group == 0, 0).otherwise((group - 1) * STEP + upto(F.element_at(F.array(*[longs(g) for g in groups]), F.greatest(group, F.lit(1)))))
+
+
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, _text, _last) dealt into key ranges that are sorted, each ended by a copy (_last) of the row that follows it.
 
-    After the greatest key comes the least.  Ranges are cut at quantiles of the keys, so that none is large, and
-    rows with one key stay together, in order of a hash of their text; null keys come first.
+    The key is an integer.  After the greatest key comes the least.  Ranges are cut at quantiles of the keys, so that
+    none is large; rows with one key are in order of a hash of their text, and where they exceed a range they are
+    cut by that hash; null keys come first.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} is no integer column")
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_place", F.coalesce(F.col("_key").cast("long"), F.lit(-(2**63))))
+    rows = rows.withColumn("_place", F.coalesce(F.col("_key").cast("long"), F.lit(-(2**63)))).withColumn("_hash", F.xxhash64("_text"))
     n = min(BUCKETS, -(-rows.count() // BUCKET_ROWS))
-    cuts = sorted(set(rows.approxQuantile("_place", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    cuts = [int(c) for c in cuts]
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c <= F.col("_place"))) if cuts else F.lit(0)
-    rows = rows.withColumn("_bucket", bucket)
-    first = sorted((r["_bucket"], r["p"]) for r in rows.groupBy("_bucket").agg(F.min("_place").alias("p")).collect())
-    follow = [(first[i][0], first[(i + 1) % len(first)][1]) for i in range(len(first))]
-    ends = spark.createDataFrame(follow, "_into int, _from long")
-    lasts = rows.join(F.broadcast(ends), F.col("_place") == F.col("_from"))
-    lasts = lasts.groupBy("_into").agg(F.min_by(F.struct("_key", "_text", "_place"), F.xxhash64("_text")).alias("r")).select("r.*", F.col("_into").alias("_bucket"), F.lit(True).alias("_last"))
+    cuts = sorted({int(c) for c in rows.approxQuantile("_place", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
+    rows = rows.withColumn("_bucket", _bucket(cuts, "_place"))
+    sizes = rows.groupBy("_bucket").agg(F.min("_place").alias("low"), F.max("_place").alias("high"), F.count("*").alias("n")).collect()
+    hot = {r["_bucket"]: -(-r["n"] // BUCKET_ROWS) for r in sizes if r["low"] == r["high"] and r["n"] > 4 * BUCKET_ROWS}
+    part = F.lit(0)
+    for bucket, pieces in hot.items():
+        part = F.when(F.col("_bucket") == bucket, F.floor((F.col("_hash") / float(2**64) + 0.5) * min(pieces, BUCKETS)).cast("int")).otherwise(part)
+    rows = rows.withColumn("_part", part)
+    first = sorted(tuple(r) for r in rows.groupBy("_bucket", "_part").agg(F.min(F.struct("_place", "_hash")).alias("f")).select("_bucket", "_part", "f._place", "f._hash").collect())
+    follow = [(*first[i][:2], *first[(i + 1) % len(first)][2:]) for i in range(len(first))]
+    ends = spark.createDataFrame(follow, "_into int, _into_part int, _from long, _from_hash long")
+    lasts = rows.join(F.broadcast(ends), (F.col("_place") == F.col("_from")) & (F.col("_hash") == F.col("_from_hash")))
+    lasts = lasts.groupBy("_into", "_into_part").agg(F.first(F.struct("_key", "_text", "_place", "_hash")).alias("r"))
+    lasts = lasts.select("r.*", F.col("_into").alias("_bucket"), F.col("_into_part").alias("_part"), F.lit(True).alias("_last"))
     every = rows.withColumn("_last", F.lit(False)).unionByName(lasts)
-    return every.repartition("_bucket").sortWithinPartitions("_bucket", "_last", "_place", F.xxhash64("_text")).select("_key", "_text", "_last")
+    return every.repartition("_bucket", "_part").sortWithinPartitions("_bucket", "_part", "_last", "_place", "_hash").select("_key", "_text", "_last")
 
 
 def against_edits(docs: DataFrame, known: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text is the text whose last floor(n_chars / 2) code points give way to as many of the next row's
-    first ones, or all it has.  A null text counts as empty; a lone row is its own next.
+    first ones, or all it has.  A null text counts as empty; a lone row is its own next; of rows with one key the next
+    is the one of the next hash; equal texts have equal fingerprints wherever they stand; an empty table stays empty;
+    a text of any length is taken whole.  Only the key is kept of the other columns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
