@@ -1,9 +1,9 @@
 """Toxicity by a linear-chain conditional random field.
 
 Documents carry labels, words don't: words that stand in toxic documents far more often than in clean ones are
-labelled there, and a two-label chain learns from these sequences, so that its word weights and transitions tell
-how sure each word is.  Forward-backward marginals of a document's words add up to its score and show the
-offending offsets.
+labelled there, and a two-label chain learns from these labelled words.  A word's features are itself, its first
+and its last bytes, so that the chain knows such words by their spelling too, and by their company through its
+transitions (neighbours as features were tried and made held-out scores worse).  Forward-backward marginals over whole documents add up to a document's score and show the offending offsets.
 """
 
 from __future__ import annotations
@@ -12,67 +12,94 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from notequery.llm import _store
 from notequery.llm import _text as t
 
-#: Labelled documents of each class that fitting looks at, word weights, and words of a sequence.
-DOCUMENTS, BUCKETS, LENGTH = 3000, 1 << 18, 64
-_ROUNDS, _PENALTY = 60, 2e-4
+#: Labelled documents of each class that fitting looks at, bytes of their texts, feature weights, and words that are swept together.
+DOCUMENTS, BYTES, BUCKETS, SWEEP = 3000, 2_000_000, 1 << 18, 64
+#: Features of a word: itself, its first and its last three bytes.
+FEATURES = 3
+_ROUNDS, _PENALTY, _BIAS = 60, 2e-4, -3.0
 
 
 def words(data: np.ndarray, offsets: np.ndarray):
-    """Bucket, start and end of each word in lower case, and the first word of each row."""
+    """Features (FEATURES by words), start and end of each word in lower case, and the first word of each row."""
     starts, ends, bounds = t.words(data, offsets, t.ALNUM)
-    hashes = t.span(t.prefix(t.LOWER[data]), starts, ends)
-    return (hashes >> np.uint64(46)).astype(np.int64), starts, ends, bounds
+    sums = t.prefix(t.LOWER[data])
+    own = t.span(sums, starts, ends)
+    kinds = (own, t.span(sums, starts, np.minimum(starts + 3, ends)), t.span(sums, np.maximum(ends - 3, starts), ends))
+    found = [(t.mix(x ^ np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(46)).astype(np.int32) for k, x in enumerate(kinds)]
+    return np.stack(found), starts, ends, bounds
 
 
-def _sequences(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the word at each place of each sequence (a row's words, LENGTH at a time), and which places hold one."""
-    counts = np.diff(bounds)
-    pieces = -(-counts // LENGTH)
-    row = np.repeat(np.arange(len(counts)), pieces)
-    first = bounds[:-1][row] + LENGTH * t.ranges(np.zeros(len(counts), dtype=np.int64), pieces)
-    at = first.astype(np.int32)[:, None] + np.arange(LENGTH, dtype=np.int32)
-    return at, at < bounds[1:][row][:, None]
+def chain(emission: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals by forward-backward over whole documents that follow each other; ``first`` marks where each begins.
+
+    Returns for each word the chance that it is toxic, the odds of toxic to clean by all words up to it, and those by
+    it and all after it.  Words are swept ``SWEEP`` at a time in many places at once: the transition matrices of
+    each stretch are multiplied first, and the products carry the messages from stretch to stretch, so that no
+    document is cut.  A beginning is a matrix that forgets what was before.
+    """
+    n, a = len(emission), np.exp(moves)
+    rows = -(-n // SWEEP)
+    e, new = np.ones((rows, SWEEP)), np.ones((rows, SWEEP), dtype=bool)
+    e.ravel()[:n] = np.exp(np.clip(emission, -30, 30))
+    new.ravel()[:n] = first
+    m = np.zeros((rows, 4))
+    m[:, [0, 3]] = 1.0
+    for j in range(SWEEP):
+        x, s = e[:, j], new[:, j]
+        t00, t01 = np.where(s, 1.0, a[0, 0]), np.where(s, 1.0, a[0, 1]) * x
+        t10, t11 = np.where(s, 1.0, a[1, 0]), np.where(s, 1.0, a[1, 1]) * x
+        m = np.stack((m[:, 0] * t00 + m[:, 1] * t10, m[:, 0] * t01 + m[:, 1] * t11, m[:, 2] * t00 + m[:, 3] * t10, m[:, 2] * t01 + m[:, 3] * t11), axis=1)
+        m /= m.max(axis=1, keepdims=True)
+    into, out = np.ones(rows), np.ones(rows)  # odds before each stretch, and of what follows it
+    odds = 1.0
+    for i, (m00, m01, m10, m11) in enumerate(m.tolist()):
+        into[i] = odds
+        odds = min(max((m01 + odds * m11) / (m00 + odds * m10), 1e-30), 1e30)
+    odds = 1.0
+    for i in range(rows - 1, -1, -1):
+        out[i] = odds
+        m00, m01, m10, m11 = m[i].tolist()
+        odds = min(max((m10 + odds * m11) / (m00 + odds * m01), 1e-30), 1e30)
+    forward, ahead = np.empty_like(e), np.empty_like(e)
+    r = into
+    for j in range(SWEEP):
+        step = np.where(new[:, j], 1.0, (a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0]))
+        forward[:, j] = r = np.clip(e[:, j] * step, 1e-30, 1e30)
+    b = out
+    for j in range(SWEEP - 1, -1, -1):
+        ahead[:, j] = g = e[:, j] * b
+        b = np.where(new[:, j], 1.0, (a[1, 0] + g * a[1, 1]) / (a[0, 0] + g * a[0, 1]))
+    odds = forward * ahead / e
+    return tuple(x.ravel()[:n] for x in (odds / (1 + odds), forward, ahead))
+
+
+def begins(bounds: np.ndarray) -> np.ndarray:
+    """Which words begin a row."""
+    out = np.zeros(bounds[-1], dtype=bool)
+    out[bounds[:-1][np.diff(bounds) > 0]] = True
+    return out
 
 
 class Model:
-    """Word weights, transition weights (from, to) and the weights of the document score."""
+    """Feature weights, transition weights (from, to) and the weights of the document score."""
 
     def __init__(self, weights, moves, score):
         self.weights, self.moves, self.score = weights, moves, score
 
-    def marginals(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The chance that each word is toxic."""
-        at, real = _sequences(bounds)
-        out = np.zeros(len(words))
-        if len(at):
-            found, _, _ = chain(self.weights[np.append(words, 0)[np.minimum(at, len(words))]], real, self.moves)
-            out[at[real]] = found[real]
+    def emission(self, found: np.ndarray) -> np.ndarray:
+        out = np.full(found.shape[1], _BIAS)
+        for kind in found:
+            out += self.weights[kind]
         return out
 
-
-def chain(emission: np.ndarray, real: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals by forward-backward, as odds of toxic to clean: (sequences, places); and the odds themselves.
-
-    Places that hold no word stand at the end of a sequence and change nothing.
-    """
-    a = np.exp(moves)
-    e = np.exp(np.clip(emission, -30, 30)).astype(np.float64)
-    n = e.shape[1]
-    forward, backward = np.empty_like(e), np.ones_like(e)
-    forward[:, 0] = e[:, 0]
-    for i in range(1, n):
-        r = forward[:, i - 1]
-        forward[:, i] = np.clip(e[:, i] * (a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0]), 1e-30, 1e30)
-    for i in range(n - 2, -1, -1):
-        g = e[:, i + 1] * backward[:, i + 1]
-        b = (a[1, 0] + g * a[1, 1]) / (a[0, 0] + g * a[0, 1])
-        backward[:, i] = np.where(real[:, i + 1], b, 1.0)
-    odds = forward * backward
-    return odds / (1 + odds), forward, e * backward
+    def marginals(self, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The chance that each word is toxic."""
+        return chain(self.emission(found), begins(bounds), self.moves)[0] if found.shape[1] else np.empty(0)
 
 
 def features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -87,43 +114,36 @@ def features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), np.log(top / (1 - top)), np.log1p(total), 10 * total / np.maximum(n, 20)], axis=1)
 
 
-def _learn(words: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, share: float) -> Model:
+def _learn(found: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, share: float) -> Model:
     """Fit on the words of a bounded sample of documents; share is that of toxic ones among all labelled."""
     rows = np.repeat(np.arange(len(toxic)), np.diff(bounds))
-    pairs = np.unique(rows * BUCKETS + words)
+    pairs = np.unique(rows * BUCKETS + found[0])
     known = [np.bincount(pairs[toxic[pairs // BUCKETS] == label] % BUCKETS, minlength=BUCKETS) for label in (0, 1)]
+    del pairs
     size = [max(1, int((toxic == label).sum())) for label in (0, 1)]
     odds = [np.log((k + 0.5) / (s - k + 0.5)) for k, s in zip(known, size, strict=True)]
     suspects = (odds[1] - odds[0] > 1.2) & (known[1] >= max(3, 0.004 * size[1]))
-    labels = suspects[words] & (toxic[rows] == 1)
-    at, real = _sequences(bounds)
-    # All sequences with a suspect, and as many others.
-    has = (np.append(suspects[words], False)[np.minimum(at, len(words))] & real).any(axis=1)
-    others = np.flatnonzero(~has)
-    pick = np.sort(np.concatenate((np.flatnonzero(has), others[:: max(1, len(others) // max(1, int(has.sum())))])))
-    at, real = at[pick], real[pick]
-    ids = np.append(words, 0)[np.minimum(at, len(words))].astype(np.int32)
-    y = np.append(labels, False)[np.minimum(at, len(words))] & real
-    del at, pairs
-    n = max(1, int(real.sum()))
-    weights, moves = np.full(BUCKETS, -3.0), np.zeros((2, 2))
-    state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
-    follow = real[:, 1:]
-    from_to = lambda a, b: float((((y[:, :-1] == a) & (y[:, 1:] == b)) & follow).sum())
-    seen = np.array([[from_to(a, b) for b in (0, 1)] for a in (0, 1)])
-    for step in range(1, _ROUNDS + 1):
-        p, forward, ahead = chain(weights[ids], real, moves)
-        slope_w = np.bincount(ids[real], weights=(p - y)[real], minlength=BUCKETS) / n + _PENALTY * (weights + 3.0) / BUCKETS
-        a, r, g = np.exp(moves), forward[:, :-1], ahead[:, 1:]
+    y = suspects[found[0]] & (toxic[rows] == 1)
+    first, n = begins(bounds), max(1, found.shape[1])
+    model = Model(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(4))
+    state = [np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros((2, 2))]
+    inner = np.flatnonzero(~first[1:])
+    seen = np.bincount(2 * y[inner] + y[inner + 1], minlength=4).reshape(2, 2)
+    for step in range(1, _ROUNDS + 1 if n > 1 else 1):
+        p, forward, ahead = chain(model.emission(found), first, model.moves)
+        slope_w = _PENALTY * model.weights / BUCKETS
+        for kind in found:
+            slope_w += np.bincount(kind, weights=p - y, minlength=BUCKETS) / n
+        a, r, g = np.exp(model.moves), forward[inner], ahead[inner + 1]
         both = np.stack([np.full_like(r, a[0, 0]), a[0, 1] * g, a[1, 0] * r, a[1, 1] * r * g])
         both /= both.sum(axis=0)
-        slope_m = (both[:, follow].sum(axis=1).reshape(2, 2) - seen) / n + _PENALTY * moves
-        for value, slope, i, rate in ((weights, slope_w, 0, 0.3), (moves, slope_m, 2, 0.05)):
+        slope_m = (both.sum(axis=1).reshape(2, 2) - seen) / n + _PENALTY * model.moves
+        for value, slope, i, rate in ((model.weights, slope_w, 0, 0.15), (model.moves, slope_m, 2, 0.05)):
             state[i] = 0.8 * state[i] + 0.2 * slope
             state[i + 1] = 0.95 * state[i + 1] + 0.05 * slope**2
-            value -= rate * (state[i] / (1 - 0.8**step)) / (np.sqrt(state[i + 1] / (1 - 0.95**step)) + 1e-9)
-    model = Model(weights.astype(np.float32), moves, np.zeros(4))
-    x = features(model.marginals(words, bounds), bounds)
+            value -= rate * (state[i] / (1 - 0.8**step)) / (np.sqrt(state[i + 1] / (1 - 0.95**step)) + 1e-7)
+    model.weights = model.weights.astype(np.float32)
+    x = features(model.marginals(found, bounds), bounds)
     theta = np.zeros(4)
     for _ in range(25):  # Newton's method for the document score
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
@@ -136,44 +156,45 @@ def _learn(words: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, share: floa
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = DOCUMENTS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = DOCUMENTS, size: int = BYTES) -> Model:
     """Learn from labels (key, label 0 or 1) joined to docs; rows with nulls don't count.
 
-    At most ``documents`` labels of each class are looked at, chosen by the hash of their key, so what reaches the
-    driver (4 bytes a word) is bounded.  Without labels of both classes every document scores 0.
+    Of each class, documents are taken whole in order of the hash of their key, at most ``documents`` of them and
+    while their texts fit into ``size`` bytes (the first one always), so what reaches the driver is bounded.  A key
+    with several labels counts as toxic if any says so, one with several texts by the one of the least hash.
+    Without labelled texts of both classes every document scores 0.
     """
-    known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
+    known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(f"`{key}`").alias("_k"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.octet_length(F.col(f"`{text}`")).cast("long").alias("_size"))
+    known = known.join(texts, F.col("_key") == F.col("_k")).groupBy("_key", "_label").agg(F.min(F.struct("_hash", "_size")).alias("_t"))
+    known = _store.table(known.select("_key", "_label", "_t._hash", "_t._size"), "labelled")
     sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(BUCKETS, dtype=np.float32), np.zeros((2, 2)), np.array([-30.0, 0, 0, 0]))
-    order = F.xxhash64("_key")
-    chosen = known.filter("_label = 1").orderBy(order, "_key").limit(documents).unionByName(known.filter("_label = 0").orderBy(order, "_key").limit(documents))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for _, _, data, offsets in t.slices(batch.column(0)):
-                found, _, _, bounds = words(data, offsets)
-                found = found.astype(np.int32)
-                out += [found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["label", "words"])
-
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("_key")).select(F.col(text).alias("text"), "_label", "_key")
-    found = rows.select("text", "_label").mapInArrow(run, "label int, words binary").toArrow()
-    parts = [np.frombuffer(x, dtype=np.int32) for x in found["words"].to_pylist()]
-    toxic = found["label"].to_numpy()
-    # The order in which tasks end must not matter.
-    order = sorted(range(len(parts)), key=lambda i: (int(toxic[i]), parts[i].tobytes()))
-    parts, toxic = [parts[i] for i in order], toxic[order]
-    bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
-    return _learn(np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64), bounds, toxic, sizes[1] / (sizes[0] + sizes[1]))
+    order = [F.xxhash64("_key"), F.col("_key")]
+    chosen = known.filter("_label = 1").orderBy(*order).limit(documents).unionByName(known.filter("_label = 0").orderBy(*order).limit(documents))
+    each = Window.partitionBy("_label").orderBy(*order)
+    chosen = chosen.withColumn("_upto", F.sum("_size").over(each)).withColumn("_n", F.row_number().over(each)).filter((F.col("_upto") <= size) | (F.col("_n") == 1))
+
+    rows = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen.select("_key", "_label", "_hash")), (F.col("_k") == F.col("_key")) & (F.xxhash64("_text") == F.col("_hash")))
+    found = rows.select(F.xxhash64("_key").alias("_h"), "_key", "_label", "_text").toArrow().to_pylist()
+    # One row a key; the order in which tasks end must not matter.
+    once = sorted({r["_key"]: r for r in found}.values(), key=lambda r: (r["_label"], r["_h"], r["_text"]))
+    toxic = np.array([r["_label"] for r in once], dtype=np.int64)
+    parts, bounds = [np.empty((FEATURES, 0), dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+    for _, _, data, offsets in t.slices(pa.array([r["_text"] for r in once], pa.large_string())):
+        own, _, _, rows_ = words(data, offsets)
+        parts.append(own)
+        bounds.append(rows_[1:] + bounds[-1][-1])
+    return _learn(np.concatenate(parts, axis=1), np.concatenate(bounds), toxic, sizes[1] / (sizes[0] + sizes[1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """All rows with ``score`` (0 to 1), ``predicted`` (1 if score >= 0.5) and ``spans``.
 
     Spans are (start, end) in UTF-8 bytes of neighbouring words that are toxic with a chance of ``limit`` or more.
-    Null and empty texts have no words, no spans and the score of a text without any suspicion.
+    Null and empty texts have no words, no spans and the score of a text without any suspicion; equal texts score
+    alike; a text of any length is one chain; an empty table stays empty; columns with the added names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = ("score", "predicted", "spans")
@@ -183,7 +204,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5)
         own = shared.value
         for batch in batches:
             chance, spans = [], [[] for _ in range(batch.num_rows)]
-            for low, _, data, offsets in t.slices(batch.column(batch.schema.get_field_index("_text"))):
+            for low, _, data, offsets in t.slices(batch.column(batch.num_columns - 1)):
                 found, starts, ends, bounds = words(data, offsets)
                 p = own.marginals(found, bounds)
                 chance.append(1 / (1 + np.exp(-np.clip(features(p, bounds) @ own.score, -30, 30))))
@@ -197,10 +218,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5)
                         spans[low + row].append({"start": a, "end": b})
                     last = i
             chance = np.concatenate(chance) if chance else np.empty(0)
-            kept = [i for i, c in enumerate(batch.schema.names) if c != "_text"]
-            columns = [*(batch.column(i) for i in kept), pa.array(chance), pa.array((chance >= 0.5).astype(np.int32)), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[i] for i in kept), *added])
+            columns = [*batch.columns[:-1], pa.array(chance), pa.array((chance >= 0.5).astype(np.int32)), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *added])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     schema = _store.extended(rows, "score double, predicted int, spans array<struct<start: bigint, end: bigint>>")
-    return rows.withColumn("_text", docs[text]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)

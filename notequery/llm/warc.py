@@ -168,7 +168,10 @@ def _checked(head: dict, block: bytes) -> tuple[dict, bytes]:
 
 
 def read(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that an index names, frame by frame; the digest of each response is checked."""
+    """Every record of the bundles that an index names, frame by frame; the digest of each response is checked.
+
+    Each bundle is a task of its own, as far as their names' hashes part them.
+    """
 
     def run(batches):
         for batch in batches:
@@ -184,7 +187,8 @@ def read(spark: SparkSession, index: DataFrame) -> DataFrame:
                             found.append(_checked(head, block))
                         yield _rows(found)
 
-    return index.select("bundle").distinct().mapInArrow(run, RECORD)
+    bundles = _store.table(index.select("bundle").distinct(), "bundles")
+    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(run, RECORD)
 
 
 def fetch(index: DataFrame) -> DataFrame:
@@ -211,13 +215,15 @@ def records(pages: DataFrame, key: Column, uri: Column, text: Column, least: int
 
     Of rows with equal payloads of at least ``least`` bytes the one with the largest key is the response and the
     others revisit it; rows that share that key too are all responses.  A null key never is the largest unless
-    all are null.  Hot payloads are settled by digest in a partial aggregation, before rows are shuffled.
+    all are null.  Payloads are settled by digest in a partial aggregation and joined back from a table, so that
+    Spark splits hot ones; a revisit carries no payload.  A payload of any length is one record, repeated rows are
+    records of their own, other columns are left out, and an empty table makes no records.
     """
     payload = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
     rows = pages.select(key.alias("_key"), uri.alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     same = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("_key").alias("_last"), F.count("*").alias("_n"))
-    same = same.filter("_n > 1").select("payload_digest", "_last")
+    same = _store.table(same.filter("_n > 1").select("payload_digest", "_last"), "payload-keys")
     rows = rows.join(same, "payload_digest", "left")
     revisit = F.coalesce((F.col("payload_bytes") >= least) & F.col("_last").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_last")), F.lit(False))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
@@ -228,5 +234,5 @@ def records(pages: DataFrame, key: Column, uri: Column, text: Column, least: int
         F.when(revisit, name(F.col("_last"))).alias("refers_to"),
         "payload_digest",
         "payload_bytes",
-        "payload",
+        F.when(~revisit, F.col("payload")).alias("payload"),
     )
