@@ -84,8 +84,8 @@ def title(block: Column, text: Column, path: Column) -> Column:
 
 def slug(name: Column) -> Column:
     """A safe file name of 80 characters at most: lower case, runs of space and _ as one -, no control characters or separators."""
-    x = F.regexp_replace(name, r"[\x00-\x08\x0E-\x1F\x7F<>:\"/|?*\\]", "")
-    x = F.lower(F.regexp_replace(F.regexp_replace(x, r"^[\s_]+", ""), r"[\s_]+", "-"))
+    x = F.regexp_replace(F.regexp_replace(name, r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", ""), r"[\p{Cc}<>:\"/|?*\\]", "")
+    x = F.lower(F.regexp_replace(F.regexp_replace(x, r"^[\p{Z}_]+", ""), r"[\p{Z}_]+", "-"))
     x = F.regexp_replace(x, r"[.\- ]+$", "")
     x = F.when(x == "", F.lit("untitled")).otherwise(x)
     x = F.when(x.isin(RESERVED), F.concat(x, F.lit("-note"))).otherwise(x)
@@ -107,34 +107,38 @@ def path_problem(path: Column) -> Column:
 
 
 def quoted(value: Column) -> Column:
-    """A value as frontmatter holds it: quoted only if it would be read otherwise."""
-    risky = F.regexp_like(value, F.lit(r"^[\s\"'\[\]{}#&*!|>%@`,?:-]|: | #|:$|\s$|^$"))
-    return F.when(risky, F.concat(F.lit('"'), F.regexp_replace(value, r'"', "'"), F.lit('"'))).otherwise(value)
+    """A value as frontmatter holds it: quoted, with \\ and " escaped, only if it would be read otherwise."""
+    risky = F.regexp_like(value, F.lit(r"^$|^[ \[{\"'&*!|>%@`#]|: |:$| #| $"))
+    return F.when(risky, F.concat(F.lit('"'), F.regexp_replace(value, r'([\\"])', r"\\$1"), F.lit('"'))).otherwise(value)
 
 
 def _set(lines: Column, key: str, value: Column) -> Column:
-    """Frontmatter lines with one key set, or dropped where the value is null."""
+    """Frontmatter lines with one key set wherever it stands, or dropped where the value is null; appended if absent."""
 
     def mine(x: Column) -> Column:
-        return F.regexp_like(x, F.lit(rf"^{key}[ \t]*:"))
+        return F.regexp_like(x, F.lit(rf"^{key}\s*:"))
 
-    line = F.concat(F.lit(f"{key}: "), quoted(value))
-    at = F.array_position(F.transform(lines, lambda x: mine(x)), True)
-    others = F.array_compact(F.transform(lines, lambda x, i: F.when(~mine(x), x).when(i + 1 == at, line)))
-    dropped = F.filter(lines, lambda x: ~mine(x))
-    return F.when(value.isNull(), dropped).when(at > 0, others).otherwise(F.array_append(lines, line))
+    line = F.concat(F.lit(f"{key}: "), value)
+    there = F.exists(lines, mine)
+    replaced = F.transform(lines, lambda x: F.when(mine(x), line).otherwise(x))
+    return F.when(value.isNull(), F.filter(lines, lambda x: ~mine(x))).when(there, replaced).otherwise(F.array_append(lines, line))
 
 
-def rewrite(content: Column, changes: dict[str, Column]) -> Column:
+def rewrite(content: Column, changes: dict[str, Column], lists: dict[str, Column] | None = None) -> Column:
     """Content with keys of its frontmatter set, or dropped where the value is null; all other lines stay as they are.
 
-    A key is replaced where it first stands, its later occurrences go, and missing keys are appended in the order
-    given.  A note without frontmatter gets one if a key has a value.
+    A key is replaced wherever it stands, and missing keys are appended in the order given.  ``lists`` are keys with
+    arrays of texts, written inline as [a, b]; a null or empty one leaves the key alone.  Line ends are those of the
+    frontmatter, or of the body where there is none.  A note without frontmatter gets some if a key has a value, and
+    one whose frontmatter comes out empty loses it.
     """
     block, rest = frontmatter(content), body(content)
-    ending = F.when(F.regexp_like(content, F.lit(r"^[^\n]*\r\n")), "\r\n").otherwise("\n")
-    lines = F.filter(_lines(block), lambda x: x != "")
+    ending = F.when(F.contains(F.coalesce(block, rest), F.lit("\r\n")), "\r\n").otherwise("\n")
+    lines = F.when(F.coalesce(block, F.lit("")) == "", F.array().cast("array<string>")).otherwise(_lines(F.regexp_replace(block, r"\r?\n\z", "")))
     for key, value in changes.items():
-        lines = _set(lines, key, value)
+        lines = _set(lines, key, quoted(value))
+    for key, values in (lists or {}).items():
+        inline = F.concat(F.lit("["), F.array_join(F.transform(values, quoted), ", "), F.lit("]"))
+        lines = F.when(F.size(values) > 0, _set(lines, key, inline)).otherwise(lines)
     head = F.concat(F.lit("---"), ending, F.array_join(F.transform(lines, lambda x: F.concat(x, ending)), ""), F.lit("---"), ending)
-    return F.when((F.size(lines) > 0) | block.isNotNull(), F.concat(head, rest)).otherwise(content)
+    return F.when(F.size(lines) > 0, F.concat(head, rest)).when(block.isNotNull(), rest).otherwise(content)

@@ -1,31 +1,55 @@
-"""Notes to passages: sections under headings, merged when short and split when long."""
+"""Notes to passages: sections under headings, merged when short and split when long.
+
+A note is parsed within its row, by patterns over its text and functions over the array of its lines, so that no
+line is ever shuffled.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Characters below which a section joins the passage before it, and above which it is split at sentences.
 SHORT, LONG = 40, 1200
-LEVELS = 6
-_FENCE, _HEADING = r"^ {0,3}(?:```|~~~)", r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
+#: A fenced block: opened by three marks or more, closed by as many of the same kind, or open to the end.
+_FENCED = r"(?m)^ {0,3}(?:(`{3,})[^`\n]*|(~{3,})[^\n]*)$(?:\n(?s:.*?))?(?:^ {0,3}(?:\1`*|\2~*)[ \t]*$|\z)"
+_FENCE = r"^ {0,3}(?:`{3,}|~{3,})"
+_HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
+#: A line of text with a line of = or - below it.
+_UNDERLINED = r"(?m)^ {0,3}((?![#>*+|`~-]|\d+[.)])[^\s][^\n]*)\n {0,3}%s[ \t]*$"
+#: Characters that texts don't keep: where fenced blocks begin and end, and before each of their lines.
+_OPEN, _CLOSE, _CODE = "\u0001", "\u0002", "\u0003"
+
+
+def lines(body: Column) -> Column:
+    """The lines of a text, those of fenced code after a mark and its fences blank; underlined headings as # ones.
+
+    Every line keeps its place; a final newline starts no line.
+    """
+    text = F.translate(F.regexp_replace(F.regexp_replace(body, r"\r\n?", "\n"), r"\n\z", ""), _OPEN + _CLOSE + _CODE, "   ")
+    parts = F.split(F.regexp_replace(text, _FENCED, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]")
 
+    def part(x: Column, i: Column) -> Column:
+        code = F.transform(F.split(x, "\n"), lambda y, j: F.concat(F.lit(_CODE), F.when((j == 0) | F.regexp_like(y, F.lit(_FENCE + "[ \\t]*$")), F.lit("")).otherwise(y)))
+        plain = F.regexp_replace(F.regexp_replace(x, _UNDERLINED % "=+", "# $1\n"), _UNDERLINED % "-+", "## $1\n")
+        return F.when(i % 2 == 1, F.array_join(code, "\n")).otherwise(plain)
 
-def lines(notes: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
-    """(key, line, text) with lines from 1 on; a final newline starts no line."""
-    text = F.regexp_replace(F.col(body), r"\r?\n\z", "")
-    return notes.select(key, F.posexplode(F.split(text, "\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return F.split(F.array_join(F.transform(parts, part), ""), "\n")
 
 
 def clean(text: Column) -> Column:
-    """A line without marks of emphasis, links, tables and lists; link texts, image texts and code stay."""
-    x = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    x = F.regexp_replace(x, r"^[ \t]*(?:[-*+][ \t]+(?:\[[ xX]\][ \t]+)?|\d+[.)][ \t]+|>[ \t]?)", "")
-    x = F.regexp_replace(x, r"\*\*|__|~~|`+", "")
-    x = F.regexp_replace(x, r"(^|[^\w*])\*([^\s*][^*]*)\*", "$1$2")
-    x = F.regexp_replace(x, r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$", "")
-    return F.when(F.regexp_like(text, F.lit(r"^[ \t]*\|.*\|[ \t]*$")), F.translate(x, "|", " ")).otherwise(x)
+    """A line without marks of emphasis, links, notes, tags, tables and lists; link texts, image texts and code stay."""
+    x = F.regexp_replace(text, r"^ {0,3}\[(?!\^)[^\]]+\]:[ \t]*\S.*$", "")
+    x = F.regexp_replace(x, r"\[\^[^\]\s]+\]:?", "")
+    x = F.regexp_replace(x, r"!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "$1")
+    x = F.regexp_replace(x, r"<!--.*?-->|<(?![A-Za-z][A-Za-z0-9+.-]*:|[^\s<>]+@)/?[A-Za-z][^<>]*>", "")
+    x = F.regexp_replace(x, r"^[ \t]*(?:>[ \t]?)*[ \t]*(?:(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)?", "")
+    x = F.regexp_replace(x, r"(?<!\\)(?:\*\*|__|~~|`+)", "")
+    x = F.regexp_replace(x, r"(^|[^\w*\\])\*([^\s*][^*]*)\*", "$1$2")
+    x = F.regexp_replace(x, r"(^|[^\w\\])_([^\s_](?:[^_]*[^\s_])?)_(?!\w)", "$1$2")
+    x = F.regexp_replace(x, r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$|^[ \t]*(?:\*[ \t]*){3,}$", "")
+    x = F.when(F.regexp_like(text, F.lit(r"^[ \t]*\|.*\|[ \t]*$")), F.translate(x, "|", " ")).otherwise(x)
+    return F.regexp_replace(x, r"\\([!-/:-@\[-`{-~])", "$1")
 
 
 def sections(notes: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
@@ -34,43 +58,45 @@ def sections(notes: DataFrame, key: str = "path", body: str = "body") -> DataFra
     A heading within fenced code is none; fence lines are dropped and their contents stay.  The path joins the
     headings a section stands under, blank ones left out; its text is its heading and body on one line.
     """
-    order = Window.partitionBy(key).orderBy("line")
-    rows = lines(notes, key, body).withColumn("fence", F.regexp_like("text", F.lit(_FENCE)))
-    opened = F.sum(F.col("fence").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("coded", F.coalesce(opened, F.lit(0)) % 2 == 1)
-    heading = ~F.col("fence") & ~F.col("coded") & F.regexp_like("text", F.lit(_HEADING))
-    rows = rows.withColumn("level", F.when(heading, F.length(F.regexp_extract("text", _HEADING, 1))).otherwise(0))
-    rows = rows.withColumn("plain", F.when(F.col("level") > 0, clean(F.regexp_extract("text", _HEADING, 2))).when(F.col("fence"), "").when(F.col("coded"), F.col("text")).otherwise(clean(F.col("text"))))
-    rows = rows.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(order))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    for n in range(1, LEVELS + 1):
-        here = F.when(F.col("level") == n, F.struct(F.col("section").alias("s"), F.trim("plain").alias("h")))
-        rows = rows.withColumn(f"h{n}", F.last(here, ignorenulls=True).over(upto))
-    # A heading counts until one of its level or above follows.
-    steps = []
-    for n in range(1, LEVELS + 1):
-        above = F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.col(f"h{m}.s"), F.lit(0)) for m in range(1, n)])
-        steps.append(F.when((F.col(f"h{n}.s") > above) & (F.col(f"h{n}.h") != ""), F.col(f"h{n}.h")))
-    rows = rows.withColumn("heading_path", F.array_join(F.array_compact(F.array(*steps)), " > "))
-    rows = rows.filter(F.trim("plain") != "")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line", "plain"))), lambda x: x["plain"])
-    text = F.trim(F.regexp_replace(F.array_join(parts, " "), r"\s+", " "))
-    return rows.groupBy(key, "section").agg(
-        F.min("heading_path").alias("heading_path"), F.min("line").cast("int").alias("line_start"), F.max("line").cast("int").alias("line_end"), text.alias("text")
-    )
+
+    def read(x: Column, i: Column) -> Column:
+        coded = F.startswith(x, F.lit(_CODE))
+        level = F.when(~coded & F.regexp_like(x, F.lit(_HEADING)), F.length(F.regexp_extract(x, _HEADING, 1))).otherwise(0)
+        plain = F.when(coded, F.substring(x, 2, 1 << 30)).when(level > 0, F.trim(clean(F.regexp_extract(x, _HEADING, 2)))).otherwise(clean(x))
+        return F.struct((i + 1).alias("n"), level.alias("level"), plain.alias("plain"))
+
+    rows = notes.select(key, F.transform(lines(F.col(body)), read).alias("lines"))
+    rows = rows.select(key, "lines", F.filter("lines", lambda x: x["level"] > 0).alias("heads"))
+    step = "struct<level: int, plain: string>"
+    start = F.struct(F.array().cast(f"array<{step}>").alias("stack"), F.array(F.lit("")).alias("paths"))
+
+    def under(s: Column, x: Column) -> Column:
+        # A heading counts until one of its level or above follows.
+        stack = F.array_append(F.filter(s["stack"], lambda h: h["level"] < x["level"]), F.struct(x["level"].alias("level"), x["plain"].alias("plain")))
+        path = F.array_join(F.transform(F.filter(stack, lambda h: h["plain"] != ""), lambda h: h["plain"]), " > ")
+        return F.struct(stack.alias("stack"), F.array_append(s["paths"], path).alias("paths"))
+
+    paths = F.aggregate("heads", start, under, lambda s: s["paths"])
+    bounds = F.concat(F.array(F.lit(1)), F.transform("heads", lambda h: h["n"]), F.array(F.size("lines") + 1))
+    rows = rows.select(key, "lines", paths.alias("paths"), bounds.alias("bounds"))
+    # Each section's lines that say something; bounds stand twice so that no line array is built anew for each.
+    each = F.transform("paths", lambda p, i: F.struct(i.alias("section"), p.alias("heading_path"), F.filter(F.slice("lines", F.get("bounds", i), F.get("bounds", i + 1) - F.get("bounds", i)), lambda x: F.trim(x["plain"]) != "").alias("lines")))
+    rows = rows.select(key, F.explode(each).alias("s")).filter(F.size("s.lines") > 0)
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("s.lines", lambda x: x["plain"]), " "), r"\s+", " "))
+    return rows.select(key, "s.section", "s.heading_path", F.get("s.lines", F.lit(0))["n"].alias("line_start"), F.element_at("s.lines", -1)["n"].alias("line_end"), text.alias("text"))
 
 
 def split_long(text: Column, most: int = LONG) -> Column:
-    """Parts of a text cut after . ! or ?, packed greedily to ``most`` characters; a longer sentence stays whole."""
-    pieces = F.filter(F.split(text, r"(?<=[.!?])"), lambda x: F.trim(x) != "")
+    """Parts of a text cut after . ! or ?, packed greedily to ``most`` characters with their spaces; a longer sentence stays whole."""
+    pieces = F.split(text, r"(?<=[.!?])")
     empty = F.array().cast("array<string>")
 
     def pack(state: Column, piece: Column) -> Column:
         last = F.element_at(state, -1)
-        fits = (F.size(state) > 0) & (F.char_length(F.trim(F.concat(last, piece))) <= most)
-        return F.when(fits, F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.concat(last, piece)))).otherwise(F.concat(state, F.array(piece)))
+        fits = (F.size(state) > 0) & (F.char_length(last) + F.char_length(piece) <= most)
+        return F.when(fits, F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.concat(last, piece)))).otherwise(F.array_append(state, piece))
 
-    packed = F.transform(F.aggregate(pieces, empty, pack), lambda p: F.trim(p))
+    packed = F.filter(F.transform(F.aggregate(pieces, empty, pack), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.char_length(text) <= most, F.array(text)).otherwise(packed)
 
 
@@ -78,18 +104,24 @@ def passages(notes: DataFrame, key: str = "path", body: str = "body") -> DataFra
     """(key, ordinal, heading_path, line_start, line_end, text): the passages of every note, numbered from 0.
 
     Long sections are split, all parts keeping the section's lines; a section under ``SHORT`` characters is appended
-    to the passage before it, which then reaches to its last line.  A short section at the start stands alone.
+    to the passage before it, which then reaches to its last line.  A short section at the start stands alone.  A
+    note's sections meet in one row, as they did when it was read.
     """
-    parts = sections(notes, key, body).select(key, "section", "heading_path", "line_start", "line_end", F.posexplode(split_long(F.col("text"))).alias("part", "text"))
-    order = Window.partitionBy(key).orderBy("section", "part")
-    parts = parts.withColumn("stub", (F.char_length("text") < SHORT) & (F.row_number().over(order) > 1))
-    parts = parts.withColumn("island", F.sum((~F.col("stub")).cast("int")).over(order))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("section", "part", "text"))), lambda x: x["text"])
-    first = F.struct("section", "part")
-    merged = parts.groupBy(key, "island").agg(
-        F.min_by("heading_path", first).alias("heading_path"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.array_join(whole, " ").alias("text")
-    )
-    return merged.select(key, (F.col("island") - 1).cast("int").alias("ordinal"), "heading_path", "line_start", "line_end", "text")
+    one = F.struct("section", "heading_path", "line_start", "line_end", "text", split_long(F.col("text")).alias("parts"))
+    rows = sections(notes, key, body).groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("found"))
+    made = "array<struct<heading_path: string, line_start: int, line_end: int, text: string>>"
+
+    def passage(s: Column, text: Column) -> Column:
+        return F.struct(s["heading_path"].alias("heading_path"), s["line_start"].alias("line_start"), s["line_end"].alias("line_end"), text.alias("text"))
+
+    def add(state: Column, s: Column) -> Column:
+        last = F.element_at(state, -1)
+        longer = F.struct(last["heading_path"].alias("heading_path"), last["line_start"].alias("line_start"), F.greatest(last["line_end"], s["line_end"]).alias("line_end"), F.concat(last["text"], F.lit(" "), s["text"]).alias("text"))
+        stub = (F.char_length(s["text"]) < SHORT) & (F.size(state) > 0)
+        return F.when(stub, F.array_append(F.slice(state, 1, F.size(state) - 1), longer)).otherwise(F.concat(state, F.transform(s["parts"], lambda p: passage(s, p))))
+
+    rows = rows.select(key, F.posexplode(F.aggregate("found", F.array().cast(made), add)).alias("ordinal", "p"))
+    return rows.select(key, "ordinal", "p.heading_path", "p.line_start", "p.line_end", "p.text")
 
 
 def note_text(found: DataFrame, key: str = "path") -> DataFrame:

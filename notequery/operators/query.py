@@ -29,20 +29,25 @@ STOP_WORDS = [
 def clauses(queries: DataFrame) -> DataFrame:
     """(qid, clause, negated, prefix, tokens) of every (qid, text).
 
-    Words are joined by and; "phrases" are one clause, open quotes run to the end; a leading - negates, a trailing *
-    asks for a prefix, and what holds no letter or digit is dropped.  A query of negations only has no clauses.
+    Words are joined by and; "phrases" are one clause, open quotes run to the end; before a word a leading - negates,
+    after it a trailing * asks for a prefix (around a phrase they say nothing), and what holds no letter or digit is
+    dropped.  A query of negations only has no clauses.
     """
-    found = F.slice(F.regexp_extract_all("text", F.lit(r'-?"[^"]*"?\*?|[^\s"]+'), 0), 1, MOST_TOKENS)
-    rows = queries.select("qid", F.posexplode(found).alias("clause", "raw"))
+    found = F.filter(F.regexp_extract_all("text", F.lit(r'"[^"]*"?|[^\s"]+'), 0), lambda t: ~F.regexp_like(t, F.lit(r'^"\s*"?$')))
+    rows = queries.select("qid", F.posexplode(F.slice(found, 1, MOST_TOKENS)).alias("clause", "raw"))
+    word = ~F.startswith("raw", F.lit('"'))
     rows = rows.select(
-        "qid", "clause", F.startswith("raw", F.lit("-")).alias("negated"), F.endswith("raw", F.lit("*")).alias("prefix"), x.words(F.translate("raw", '():^"*', "")).alias("tokens")
+        "qid", "clause", (word & F.regexp_like("raw", F.lit("^-."))).alias("negated"), (word & F.regexp_like("raw", F.lit(r"[^-]\*$|-.*.\*$"))).alias("prefix"), x.words(F.translate("raw", '():^"*', "")).alias("tokens")
     ).filter(F.size("tokens") > 0)
     positive = F.max((~F.col("negated")).cast("int")).over(Window.partitionBy("qid"))
     return rows.withColumn("_p", positive).filter("_p = 1").drop("_p")
 
 
-def question_terms(question: Column) -> Column:
-    """The terms of a question: without its frame, stop words and closing punctuation; all words if none is left."""
+def question_terms(question: Column, keep_phrases: bool = False) -> Column:
+    """The terms of a question: without its frame, stop words and closing punctuation; all words if none is left.
+
+    Quoted phrases count as their words, stop words among them too; with ``keep_phrases`` each is one term in quotes.
+    """
     cleaned = F.trim(F.regexp_replace(F.lower(F.trim(question)), r"[?!.,]+$", ""))
     phrases = F.flatten(F.transform(F.regexp_extract_all(cleaned, F.lit(r'"([^"]*)"'), 1), lambda p: F.split(F.trim(p), r"\s+")))
     frames = "|".join(sorted(FRAMES, key=len, reverse=True))
@@ -52,5 +57,10 @@ def question_terms(question: Column) -> Column:
         bare = F.transform(F.split(text, r'[\s"]+'), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}\-'.]+|[^\p{L}\p{N}\-'.]+$", ""))
         return F.filter(bare, lambda w: w != "")
 
-    kept = F.filter(tokens(rest), lambda w: ~w.isin(STOP_WORDS) | F.array_contains(phrases, w))
+    if keep_phrases:
+        whole = F.transform(F.regexp_extract_all(rest, F.lit(r'"[^"\s][^"]*"'), 0), lambda p: p)
+        loose = F.filter(tokens(F.regexp_replace(rest, r'"[^"]*"?', " ")), lambda w: ~w.isin(STOP_WORDS))
+        kept = F.concat(whole, loose)
+    else:
+        kept = F.filter(tokens(rest), lambda w: ~w.isin(STOP_WORDS) | F.array_contains(phrases, w))
     return F.when(F.size(kept) > 0, kept).otherwise(tokens(cleaned))

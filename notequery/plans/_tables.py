@@ -86,14 +86,14 @@ hp AS (
 sec AS (
   SELECT path, section, min(line)::INT AS line_start, max(line)::INT AS line_end, trim(regexp_replace(string_agg(plain, ' ' ORDER BY line), '\s+', ' ', 'g')) AS text
   FROM pl WHERE trim(plain) <> '' GROUP BY ALL),
+st AS (SELECT *, length(text) < 40 AND row_number() OVER (PARTITION BY path ORDER BY section) > 1 AS stub FROM sec),
 cut AS (
-  SELECT *, CASE WHEN length(text) <= 1200 THEN [text] ELSE string_split(list_reduce(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+'), lambda acc, x:
-    CASE WHEN trim(x) = '' THEN acc WHEN length(trim(string_split(acc, chr(1))[-1] || x)) <= 1200 THEN acc || x ELSE acc || chr(1) || x END), chr(1)) END AS parts FROM sec),
-part AS (SELECT path, section, line_start, line_end, trim(unnest(parts)) AS text, generate_subscripts(parts, 1) AS part FROM cut),
-st AS (SELECT *, length(text) < 40 AND row_number() OVER (PARTITION BY path ORDER BY section, part) > 1 AS stub FROM part),
-isl AS (SELECT *, sum((NOT stub)::INT) OVER (PARTITION BY path ORDER BY section, part) AS island FROM st),
+  SELECT *, CASE WHEN length(text) <= 1200 THEN [text] ELSE list_filter(list_transform(string_split(list_reduce(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+'), lambda acc, x:
+    CASE WHEN length(string_split(acc, chr(1))[-1]) + length(x) <= 1200 THEN acc || x ELSE acc || chr(1) || x END), chr(1)), lambda x: trim(x)), lambda x: x <> '') END AS parts FROM st),
+part AS (SELECT path, section, line_start, line_end, stub, unnest(parts) AS text, generate_subscripts(parts, 1) AS part FROM cut),
+isl AS (SELECT *, sum((NOT stub)::INT) OVER (PARTITION BY path ORDER BY section, part) AS island FROM part),
 passages AS (
-  SELECT isl.path, (island - 1)::INT AS ordinal, coalesce(arg_min(heading_path, (isl.section, part)), '') AS heading_path, min(line_start) AS line_start, max(line_end) AS line_end,
+  SELECT isl.path, (island - 1)::INT AS ordinal, arg_min(coalesce(heading_path, ''), (isl.section, part)) AS heading_path, min(line_start) AS line_start, max(line_end) AS line_end,
          string_agg(text, ' ' ORDER BY isl.section, part) AS text
   FROM isl LEFT JOIN (SELECT * FROM hp) hp ON hp.path = isl.path AND hp.section = isl.section GROUP BY isl.path, island)"""
 )

@@ -36,11 +36,11 @@ NOTE_ROWS = notes_sql("SELECT path, title, folder, created, modified, size_bytes
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", n.slug(F.regexp_replace("text", r"\s+", " ")).alias("slug"), n.path_problem(F.col("text")).alias("problem"))
+    return d.select("doc_id", n.slug(F.col("text")).alias("slug"), n.path_problem(F.col("text")).alias("problem"))
 
 
 SLUGS = r"""
-WITH a AS (SELECT doc_id, text, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[\x00-\x08\x0E-\x1F\x7F<>:"/|?*\\]', '', 'g'), '^[\s_]+', ''), '[\s_]+', '-', 'g')), '[.\- ]+$', '') AS s FROM documents),
+WITH a AS (SELECT doc_id, text, rtrim(regexp_replace(ltrim(lower(array_to_string(list_filter(string_split(trim(text, E' \n\t\r'), ''), lambda c: c >= ' ' AND NOT contains('<>:"/|?*\', c)), '')), ' _'), '[ _]+', '-', 'g'), '.- ') AS s FROM documents),
 b AS (SELECT doc_id, text, CASE WHEN s = '' THEN 'untitled' WHEN regexp_full_match(s, 'con|prn|aux|nul|(com|lpt)[1-9]') THEN s || '-note' ELSE s END AS s FROM a),
 p AS (SELECT doc_id, s, text, string_split(replace(text, '\', '/'), '/') AS q FROM b)
 SELECT doc_id, CASE WHEN length(s) > 80 THEN regexp_replace(substr(s, 1, 80), '-+$', '') ELSE s END AS slug,
@@ -140,9 +140,9 @@ def query_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERY_CLAUSES = (
     r"""
-WITH q AS (SELECT conv_id * 1000 + turn AS qid, list_slice(regexp_extract_all(replace(replace(text, ',', '*'), '. ', ' -"'), '-?"[^"]*"?\*?|[^\s"]+'), 1, 32) AS r FROM conversations),
+WITH q AS (SELECT conv_id * 1000 + turn AS qid, list_slice(list_filter(regexp_extract_all(replace(replace(text, ',', '*'), '. ', ' -"'), '"[^"]*"?|[^\s"]+'), lambda t: trim(replace(t, '"', '')) <> '' OR NOT starts_with(t, '"')), 1, 32) AS r FROM conversations),
 c AS (SELECT qid, unnest(r) AS raw, generate_subscripts(r, 1) - 1 AS clause FROM q),
-t AS (SELECT qid, clause, starts_with(raw, '-') AS negated, ends_with(raw, '*') AS prefix, """
+t AS (SELECT qid, clause, starts_with(raw, '-') AND length(raw) > 1 AS negated, ends_with(raw, '*') AND NOT starts_with(raw, '"') AND length(ltrim(raw, '-')) > 1 AS prefix, """
     + WORDS.format("translate(raw, '():^\"*', '')")
     + r""" AS tokens FROM c)
 SELECT qid, clause, negated, prefix, array_to_string(tokens, ' ') AS tokens FROM (

@@ -1,4 +1,4 @@
-"""Every query of the library against its SQL over the smallest tables."""
+"""Every query of the library against its SQL over small tables."""
 
 import math
 import os
@@ -8,15 +8,22 @@ import pytest
 
 from notequery.plans import catalog
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDERS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 QUERIES = catalog()
 
 
+@pytest.fixture(scope="module", params=FOLDERS, ids=os.path.basename)
+def folder(request):
+    if not os.path.isdir(request.param):
+        pytest.skip("no tables")
+    return request.param
+
+
 @pytest.fixture(scope="module")
-def db():
+def db(folder):
     con = duckdb.connect()
-    for name in os.listdir(FOLDER):
-        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{FOLDER}/{name}'")
+    for name in os.listdir(folder):
+        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{folder}/{name}'")
     return con
 
 
@@ -26,11 +33,10 @@ def plain(v):
     return f"{v:.6g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, db, name):
+def test_query(spark, db, folder, name):
     run, sql = QUERIES[name]
-    found = run(spark, FOLDER)
+    found = run(spark, folder)
     columns = sorted(found.columns)
     rows = sorted([plain(r[c]) for c in columns] for r in found.collect())
     assert rows
