@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,9 @@ from pyspark.sql.window import Window
 #: Points: a run of letters, the first letter, the start of a word, shortness at most, titles, paths, and recent notes.
 RUN, START, WORD, SHORT, TITLE, PATH, RECENT, STEP = 12, 40, 25, 60, 1000, 300, 400, 20
 
+#: Queries that are broadcast at once.
+BLOCK = 1000
+
 
 def fuzzy(query: Column, text: Column) -> Column:
     """Points of a greedy subsequence match in any case; null where the letters don't follow each other in the text."""
@@ -30,11 +35,13 @@ def fuzzy(query: Column, text: Column) -> Column:
 def quick_open(queries: DataFrame, notes: DataFrame, recent: DataFrame, limit: int = 50) -> DataFrame:
     """(qid, path, points, rank): the best notes of each query, ties by title; a title that matches beats any path.
 
-    ``queries`` (qid, query) are typed by people and few beside the notes, so they are broadcast; ``recent`` is
-    (path, position) with the last opened at 0.  An empty query lists the recent notes.
+    Every query (qid, query) is held against every note, in blocks of ``BLOCK`` queries that are broadcast; ``recent``
+    is (path, position) with the last opened at 0.  An empty query lists the recent notes.
     """
     known = notes.select("path", "title").join(recent, "path", "left")
-    rows = known.join(F.broadcast(queries.withColumn("query", F.trim("query"))))
+    typed, blocks = queries.withColumn("query", F.trim("query")), max(1, -(-queries.count() // BLOCK))
+    met = [known.crossJoin(F.broadcast(typed.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))) for i in range(blocks)]
+    rows = reduce(DataFrame.unionByName, met)
     letters = F.array_join(F.transform(F.filter(F.split(F.lower("query"), ""), lambda c: c != ""), lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1")), ".*")
     gate = F.regexp_like(F.lower(F.col("title")), letters) | F.regexp_like(F.lower(F.col("path")), letters)
     bonus = F.when(F.col("position").isNotNull(), F.greatest(F.lit(0), RECENT - STEP * F.col("position"))).otherwise(0)

@@ -14,14 +14,16 @@ from notequery.functions import text as x
 from notequery.operators.passages import note_text, passages
 
 TABLES = ("notes", "passages", "postings", "doc_stats")
+#: Parts of a stored table by path, the least that an update rewrites.
+BUCKETS = 64
 
 
 def parse_notes(raw: DataFrame) -> DataFrame:
     """Rows of (path, content, modified) as notes: identity, title, dates, tags, exclusion, hash and body."""
-    path, content = n.normal_path(F.col("path")), F.col("content")
-    block, rest = n.frontmatter(content), n.body(content)
-    return raw.select(
-        path.alias("path"),
+    rows = raw.select(n.normal_path(F.col("path")).alias("path"), "content", "modified", n.frontmatter(F.col("content")).alias("frontmatter"), n.body(F.col("content")).alias("body"))
+    path, content, block, rest = (F.col(c) for c in ("path", "content", "frontmatter", "body"))
+    return rows.select(
+        "path",
         n.title(block, rest, path).alias("title"),
         n.folder(path).alias("folder"),
         n.created(block).alias("created"),
@@ -30,10 +32,10 @@ def parse_notes(raw: DataFrame) -> DataFrame:
         F.sha2(F.encode(content, "UTF-8"), 256).alias("content_hash"),
         n.tags(block).alias("tags"),
         n.ai_excluded(block).alias("ai_excluded"),
-        block.alias("frontmatter"),
-        F.size(F.split(F.coalesce(block, F.lit("")), "\n")).alias("_lines"),
-        rest.alias("body"),
-    ).withColumn("body_line_offset", F.when(F.col("frontmatter").isNull(), 0).otherwise(F.col("_lines") + 1)).drop("_lines")
+        "frontmatter",
+        "body",
+        F.when(block.isNull(), 0).otherwise(F.size(F.split(block, "\n")) + 1).alias("body_line_offset"),
+    )
 
 
 def _measure(word: str) -> int:
@@ -165,26 +167,45 @@ def rebuild(raw: DataFrame, folder: str, stemming: bool = False) -> Index:
     return load(raw.sparkSession, folder, stemming)
 
 
+def bucket(path: Column) -> Column:
+    """The part of every stored table that a note's rows lie in."""
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
+def write_table(table: DataFrame, path: str, touched: list[int] | None = None) -> None:
+    """Write a table in buckets of paths, or only those that are touched; rows lie sorted by term, so that readers skip files.
+
+    Rows are dealt by ranges of path within their bucket, so that a stop word's rows spread like all others.
+    """
+    rows = table.withColumn("bucket", bucket(F.col("path"))).repartitionByRange("bucket", "path")
+    rows = rows.sortWithinPartitions("bucket", *(["term"] if "term" in table.columns else []), "path")
+    mode = "static" if touched is None else "dynamic"
+    rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(path)
+
+
 def write(index: Index, folder: str) -> None:
-    """A full rebuild: every table overwritten; postings lie sorted by term, so that readers skip files."""
+    """A full rebuild: every table overwritten, each made from the one before it."""
     spark = index.notes.sparkSession
-    index.notes.write.mode("overwrite").parquet(f"{folder}/notes")
-    notes = spark.read.parquet(f"{folder}/notes")
-    found = passages(notes) if index.passages is None else index.passages
-    found.write.mode("overwrite").parquet(f"{folder}/passages")
+    write_table(index.notes, f"{folder}/notes")
+    notes = spark.read.parquet(f"{folder}/notes").drop("bucket")
+    write_table(passages(notes) if index.passages is None else index.passages, f"{folder}/passages")
     if index.postings is None:
-        tokens = _tokens(notes, spark.read.parquet(f"{folder}/passages"), index.stemming)
-        index = Index(notes, found, postings(tokens, KEYS), doc_stats(tokens, KEYS), index.stemming)
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
+        tokens = _tokens(notes, spark.read.parquet(f"{folder}/passages").drop("bucket"), index.stemming)
+        index = Index(notes, None, postings(tokens, KEYS), doc_stats(tokens, KEYS), index.stemming)
+    write_table(index.postings, f"{folder}/postings")
+    write_table(index.doc_stats, f"{folder}/doc_stats")
 
 
-def load(spark: SparkSession, folder: str, stemming: bool = False) -> Index:
-    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in TABLES], stemming)
+def load(spark: SparkSession, folder: str, stemming: bool = False, touched: list[int] | None = None) -> Index:
+    """A stored index, or some of its buckets."""
+    rows = [spark.read.parquet(f"{folder}/{t}") for t in TABLES]
+    return Index(*[(r if touched is None else r.filter(F.col("bucket").isin(touched))).drop("bucket") for r in rows], stemming)
 
 
-def statistics(index: Index, skipped: DataFrame | None = None) -> DataFrame:
-    """One row: notes, passages, stored bytes and skipped files."""
+def statistics(index: Index, skipped: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """One row: notes, passages, stored bytes, skipped files, and notes that are stale by the states (path, state) of ``reconcile``."""
     out = index.notes.agg(F.count("*").alias("n_notes"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("n_bytes"))
     out = out.crossJoin(index.passages.agg(F.count("*").alias("n_passages")))
-    return out.crossJoin(skipped.agg(F.count("*").alias("n_skipped"))) if skipped is not None else out
+    if skipped is not None:
+        out = out.crossJoin(skipped.agg(F.count("*").alias("n_skipped")))
+    return out.crossJoin(states.agg(F.count_if(F.col("state") != "unchanged").alias("n_stale"))) if states is not None else out

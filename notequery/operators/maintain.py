@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notequery.functions.notes import folder, normal_path
-from notequery.operators.index import Index, index_notes
+from notequery.operators.index import TABLES, Index, bucket, index_notes, load, write_table
+from notequery.sources.tables import stored as kept_table
 
 
 def reconcile(stored: DataFrame, found: DataFrame, mode: str = "time") -> DataFrame:
@@ -44,18 +45,37 @@ def rename(index: Index, moves: DataFrame, notes: DataFrame) -> Index:
     return upsert(remove(index, moves.select("path")), notes)
 
 
+def update(spark: SparkSession, folder: str, gone: DataFrame, notes: DataFrame, stemming: bool = False) -> int:
+    """Take paths out of a stored index and put parsed notes in; only the buckets of these paths are read and written.
+
+    Returns how many buckets that were.  Each bucket's new rows are staged as a table before they replace the old
+    ones, so that a job that fails midway is run again from what is stored.
+    """
+    paths = gone.select("path").unionByName(notes.select("path")).distinct()
+    touched = sorted(r["b"] for r in paths.select(bucket(F.col("path")).alias("b")).distinct().collect())
+    if touched:
+        new = upsert(remove(load(spark, folder, stemming, touched), paths), notes)
+        staged = [kept_table(getattr(new, name), name) for name in TABLES]
+        for name, table in zip(TABLES, staged, strict=True):
+            write_table(table, f"{folder}/{name}", touched)
+    return len(touched)
+
+
 def apply_changes(notes: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Notes after changes (path, action, new_path, body, expected, at), at most one a path, and the changes refused.
 
     Actions: create (refused if the path is taken), save (refused if absent, or if the stored time is not the
     expected one), move (refused if absent or if the new path is taken or claimed twice), delete (refused if absent).
-    Refused rows say why.
+    Refused rows say why.  Only changes that name a target meet by it.
     """
     target = F.when(F.col("action") == "move", normal_path(F.col("new_path"))).when(F.col("action") == "create", F.col("path"))
     rows = changes.withColumn("path", normal_path(F.col("path"))).withColumn("target", target)
     own = notes.select(F.col("path").alias("_p"), F.col("modified").alias("_m"))
-    rows = rows.join(own, F.col("path") == F.col("_p"), "left").join(notes.select(F.col("path").alias("_t")), F.col("target") == F.col("_t"), "left")
-    claim = F.count("target").over(Window.partitionBy("target"))
+    rows = rows.join(own, F.col("path") == F.col("_p"), "left")
+    aimed = rows.filter("target is not null").join(notes.select(F.col("path").alias("_t")), F.col("target") == F.col("_t"), "left")
+    aimed = aimed.withColumn("_claims", F.count("*").over(Window.partitionBy("target")))
+    rows = rows.filter("target is null").withColumn("_t", F.lit(None).cast("string")).withColumn("_claims", F.lit(0)).unionByName(aimed)
+    claim = F.col("_claims")
     reason = (
         F.when((F.col("action") != "create") & F.col("_p").isNull(), "absent")
         .when(F.col("target").isNotNull() & F.col("_t").isNotNull(), "taken")

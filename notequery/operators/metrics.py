@@ -81,8 +81,8 @@ def tally(redacted: DataFrame, key: str) -> DataFrame:
 
 
 def false_positives(found: DataFrame, width: int = 60) -> DataFrame:
-    """(rule, total, previews): every match by rule, with what it begins with."""
-    return found.groupBy("rule").agg(F.count("*").alias("total"), F.array_sort(F.collect_set(F.substring("match", 1, width))).alias("previews"))
+    """(rule, preview, n): matches by rule and by what they begin with."""
+    return found.groupBy("rule", F.substring("match", 1, width).alias("preview")).agg(F.count("*").alias("n"))
 
 
 def outcome(status: Column, connected: Column) -> tuple[Column, Column]:

@@ -47,7 +47,7 @@ def clean(text: Column) -> Column:
     x = F.regexp_replace(x, r"(?<!\\)(?:\*\*|__|~~|`+)", "")
     x = F.regexp_replace(x, r"(^|[^\w*\\])\*([^\s*][^*]*)\*", "$1$2")
     x = F.regexp_replace(x, r"(^|[^\w\\])_([^\s_](?:[^_]*[^\s_])?)_(?!\w)", "$1$2")
-    x = F.regexp_replace(x, r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$|^[ \t]*(?:\*[ \t]*){3,}$", "")
+    x = F.regexp_replace(x, r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$|^[ \t]*\|(?:[ \t]*:?-+:?[ \t]*\|)+[ \t]*$|^[ \t]*(?:\*[ \t]*){3,}$", "")
     x = F.when(F.regexp_like(text, F.lit(r"^[ \t]*\|.*\|[ \t]*$")), F.translate(x, "|", " ")).otherwise(x)
     return F.regexp_replace(x, r"\\([!-/:-@\[-`{-~])", "$1")
 

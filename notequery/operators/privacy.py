@@ -9,36 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notequery.functions.text import entropy, looks_random, placeholder
+from notequery.operators.rules import RULES
 
 RULE = "rule string, ord int, pattern string, confidence string, min_entropy double, keywords array<string>"
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
-def _rule(name: str, pattern: str, keywords: list[str], confidence: str = "shape", least: float = 0.0) -> dict:
-    return {"rule": name, "pattern": pattern, "confidence": confidence, "min_entropy": least, "keywords": keywords}
-
-
-#: Shapes of well-known credentials, and general ones.  Longer tables are read by ``load``.
-OWN = [
-    _rule("openai-key", r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}", ["sk-"]),
-    _rule("bearer-header", r"(?i)authorization:\s*(?:bearer|token)\s+[\w.~+/=-]{8,}", ["authorization:"]),
-    _rule("basic-auth-url", r"[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s/:@]+:[^\s/@]{3,}@", ["://"]),
-    _rule("azure-connection-key", r"(?i)accountkey=[A-Za-z0-9+/=]{16,}", ["accountkey="]),
-    _rule("aws-access-token", r"\b(?:AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16}\b", ["akia", "asia", "abia", "acca"], "entropy", 3.0),
-    _rule("github-pat", r"\bgh[pousr]_[0-9A-Za-z]{36}\b", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], "entropy", 3.0),
-    _rule("gitlab-pat", r"\bglpat-[\w-]{20}", ["glpat-"], "entropy", 3.0),
-    _rule("slack-bot-token", r"\bxoxb-[0-9]{10,13}-[0-9]{10,13}[a-zA-Z0-9-]*", ["xoxb"], "entropy", 3.0),
-    _rule("gcp-api-key", r"\bAIza[\w-]{35}\b", ["aiza"], "entropy", 3.0),
-    _rule("stripe-key", r"\b(?:sk|rk)_(?:test|live|prod)_[a-zA-Z0-9]{10,99}\b", ["sk_", "rk_"], "entropy", 2.0),
-    _rule("json-web-token", r"\bey[a-zA-Z0-9]{17,}\.ey[a-zA-Z0-9/\\_-]{17,}\.[a-zA-Z0-9/\\_-]{10,}={0,2}", ["ey"], "entropy", 3.0),
-    _rule("private-key", r"(?i)-----BEGIN[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----[\s\S]{64,}?KEY(?: BLOCK)?-----", ["-----begin"]),
-    _rule(
-        "assigned-secret",
-        r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|client_secret|access_key)\b\s*[:=]\s*[\"']?([^\s\"',;]{8,})",
-        ["password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key"],
-        "random",
-    ),
-]
+OWN = RULES
 
 
 class BrokenRules(ValueError):
@@ -65,9 +42,9 @@ def load(spark: SparkSession, rules: list[dict] | None = None, disabled: list[st
     rows = [r for r in rows if r["rule"] not in set(disabled or [])]
     if not rows:
         raise BrokenRules("no rules")
-    tries = [F.regexp_like(F.lit("x"), F.lit(java_pattern(r["pattern"]))).alias(r["rule"]) for r in rows]
+    tries = spark.createDataFrame([(java_pattern(r["pattern"]),) for r in rows], "p string").select(F.max(F.regexp_like(F.lit("x"), F.col("p"))))
     try:
-        spark.range(1).select(*tries).collect()
+        tries.collect()
     except Exception as e:
         raise BrokenRules(str(e)) from e
     table = [(r["rule"], i, java_pattern(r["pattern"]), r["confidence"], float(r["min_entropy"]), [k.lower() for k in r["keywords"]]) for i, r in enumerate(rows)]
@@ -78,15 +55,29 @@ def names(rules: DataFrame) -> DataFrame:
     return rules.select("rule").orderBy("rule")
 
 
+def _any(words: list[str]) -> str:
+    """A pattern of any of the words, by common beginnings."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    if "" in heads:  # a word ends here, and whatever goes on from here holds it
+        return ""
+    escape = lambda c: "\\" + c if c in r"\.[]{}()*+?^$|-" else c
+    parts = [escape(c) + _any(rest) for c, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def matches(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, rule, ord, start, end, match) of every credential, in characters from 0.
 
-    One pattern of all keywords lets most documents go at once; those that hold a rule's keyword meet that rule.
-    The rule table is a parameter of the driver's, so it is broadcast.  Matches are set between two characters
-    that no text keeps, which gives their places without leaving Spark's own functions.
+    One pattern of all keywords, at the beginning of a word where they start with a letter or digit, lets most
+    documents go at once; those that hold a rule's keyword meet that rule.  The rule table is a parameter of the
+    driver's, so it is broadcast.  Matches are set between two characters that no text keeps, which gives their
+    places without leaving Spark's own functions.
     """
     words = sorted({k for r in rules.select("keywords").collect() for k in r["keywords"]})
-    any_word = "|".join("".join("\\" + c if c in r"\.[]{}()*+?^$|" else c for c in w) for w in words)
+    plain, other = [w for w in words if w[0].isalnum()], [w for w in words if not w[0].isalnum()]
+    any_word = "|".join(([f"(?<![a-z0-9]){_any(plain)}"] if plain else []) + ([_any(other)] if other else []))
     rows = docs.select(key, F.translate(F.col(text), _OPEN + _CLOSE, "  ").alias("_t")).withColumn("_low", F.lower("_t")).filter(F.regexp_like("_low", F.lit(any_word)))
     met = rows.join(F.broadcast(rules), F.exists("keywords", lambda k: F.contains(F.col("_low"), k))).drop("_low")
     marked = F.regexp_replace("_t", F.col("pattern"), F.lit(f"{_OPEN}$0{_CLOSE}"))
@@ -113,12 +104,28 @@ def merge(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key, "_island").agg(first.alias("rule"), F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
+def _merged(spans: Column) -> Column:
+    """``merge`` within a row: of (start, minus end, ord, rule) in order, (start, end, rule) of what overlaps as one."""
+    kind = "array<struct<start: int, end: int, rule: string>>"
+
+    def add(state: Column, x: Column) -> Column:
+        last, end = F.element_at(state, -1), -x["back"]
+        one = lambda a, b, r: F.array(F.struct(a.alias("start"), b.alias("end"), r.alias("rule")))
+        joined = F.concat(F.slice(state, 1, F.size(state) - 1), one(last["start"], F.greatest(last["end"], end), last["rule"]))
+        return F.when((F.size(state) > 0) & (x["start"] < last["end"]), joined).otherwise(F.concat(state, one(x["start"], end, x["rule"])))
+
+    return F.aggregate(spans, F.array().cast(kind), add)
+
+
 def redact(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows with ``redacted`` ([redacted: rule] in place of each span), ``counts`` (rule, n) and ``first_rule`` in table order."""
-    found = matches(docs, rules, key, text)
-    first = found.groupBy(key).agg(F.min_by("rule", "ord").alias("first_rule"))
-    spans = merge(found, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "rule"))).alias("_spans"))
-    rows = docs.join(spans, key, "left").join(first, key, "left")
+    """All rows with ``redacted`` ([redacted: rule] in place of each span), ``counts`` (rule, n) and ``first_rule`` in table order.
+
+    Texts are searched once; a document's own spans meet in one row, and documents with the same key share them.
+    """
+    found = matches(docs, rules, key, text).groupBy(key).agg(
+        F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "ord", "rule"))).alias("_found"), F.min_by("rule", "ord").alias("first_rule")
+    )
+    rows = docs.join(found, key, "left").withColumn("_spans", _merged(F.col("_found"))).drop("_found")
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     clean = F.translate(F.col(text), _OPEN + _CLOSE, "  ")
 
@@ -133,28 +140,34 @@ def redact(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "
     return rows.withColumn("redacted", whole).withColumn("counts", counts).drop("_spans")
 
 
-def gate(requests: DataFrame, rules: DataFrame, refused_sources: Column, mode: str = "redact") -> tuple[DataFrame, DataFrame]:
+def gate(requests: DataFrame, rules: DataFrame, refused_sources: Column, mode: str = "redact", granularity: str = "message") -> tuple[DataFrame, DataFrame]:
     """Requests that may leave, with ``counts`` and ``withheld``; and those refused, with the reason.
 
     In every mode a request with a source for which ``refused_sources`` (of a column ``source``) holds is refused.
-    'redact' replaces credentials, 'block' takes out whole messages that hold any, 'off' leaves messages alone; a
-    broken rule set never gets here, since ``load`` raises.
+    'redact' replaces credentials, 'block' takes out whole messages that hold any, or with granularity 'excerpt' only
+    their excerpts that do, 'off' leaves messages alone; a broken rule set never gets here, since ``load`` raises.
     """
-    if mode not in ("redact", "block", "off"):
-        raise ValueError(f"unknown mode: {mode}")
+    if mode not in ("redact", "block", "off") or granularity not in ("message", "excerpt"):
+        raise ValueError(f"unknown mode: {mode}, {granularity}")
     bad = requests.select("request_id", F.explode("sources").alias("source")).filter(refused_sources).groupBy("request_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
     refused = bad.select("request_id", F.lit("excluded source").alias("reason"), "sources")
     free = requests.join(bad.select("request_id"), "request_id", "left_anti")
     if mode == "off":
         return free.withColumn("counts", F.array().cast("array<struct<rule: string, n: int>>")).withColumn("withheld", F.array().cast("array<string>")), refused
-    each = free.select("request_id", F.posexplode("messages").alias("i", "m")).select(F.concat_ws("/", "request_id", "i").alias("_id"), "request_id", "i", "m.role", F.col("m.content").alias("text"))
+    each = free.select("request_id", F.posexplode("messages").alias("i", "m"))
+    parts = F.split("m.content", r"(?m)(?=^=== EXCERPT )") if mode == "block" and granularity == "excerpt" else F.array("m.content")
+    each = each.select("request_id", "i", "m.role", F.posexplode(parts).alias("j", "text")).withColumn("_id", F.concat_ws("/", "request_id", "i", "j"))
     seen = redact(each, rules, "_id")
     hit = F.col("first_rule").isNotNull()
-    shown = F.struct("i", F.struct("role", F.col("redacted" if mode == "redact" else "text").alias("content")).alias("m"))
-    rows = seen.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(shown if mode == "redact" else F.when(~hit, shown))).alias("_m"),
+    shown = F.struct("j", F.col("redacted" if mode == "redact" else "text").alias("text"))
+    messages = seen.groupBy("request_id", "i", "role").agg(
+        F.array_sort(F.collect_list(shown if mode == "redact" else F.when(~hit, shown))).alias("_p"),
         F.flatten(F.collect_list("counts")).alias("_c"),
-        F.array_sort(F.collect_list(F.when(hit & F.lit(mode == "block"), F.concat_ws(": ", "role", "first_rule")))).alias("withheld"),
+        F.array_sort(F.collect_list(F.when(hit & F.lit(mode == "block"), F.concat_ws(": ", "role", "first_rule")))).alias("_w"),
+    )
+    whole = F.struct("i", F.struct("role", F.array_join(F.transform("_p", lambda p: p["text"]), "").alias("content")).alias("m"))
+    rows = messages.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.when(F.size("_p") > 0, whole))).alias("_m"), F.flatten(F.collect_list("_c")).alias("_c"), F.array_sort(F.flatten(F.collect_list("_w"))).alias("withheld")
     )
     kinds = F.array_sort(F.array_distinct(F.transform("_c", lambda c: c["rule"])))
     total = F.transform(kinds, lambda r: F.struct(r.alias("rule"), F.aggregate(F.filter("_c", lambda c: c["rule"] == r), F.lit(0), lambda s, c: s + c["n"]).alias("n")))

@@ -19,6 +19,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"heading_path": 2.0, "text": 1.0, "title": 10.0, "body": 1.0}
 #: What a note found by its title and body alone gains over passages.
 NOTE_BIAS, MOST_FETCHED = -1.0, 500
+#: Parts in which a query's matches are ranked before they meet.
+PARTS = 64
 QUERY = "qid long, text string, match_mode string, folder string, modified_after timestamp, limit int, per_note_cap int, apply_exclusions boolean"
 Retriever = Callable[[DataFrame, Index], DataFrame]
 
@@ -88,6 +90,10 @@ def retrieve(queries: DataFrame, index: Index, rules: list[str] | None = None) -
     scored = scored.filter(F.col("modified_after").isNull() | (F.col("modified") >= F.col("modified_after")))
     scored = scored.filter(~F.col("apply_exclusions") | ~(F.col("ai_excluded") | excluded(F.col("path"), rules or [])))
     fetch = F.greatest(F.col("limit"), F.least(F.col("limit") * F.col("per_note_cap") * 2, F.lit(MOST_FETCHED)))
+    # A frequent word's matches are cut within parts of each query first, against the greatest number that any query fetches.
+    most = queries.agg(F.max(F.greatest(F.col("limit"), F.least(F.col("limit") * F.col("per_note_cap") * 2, F.lit(MOST_FETCHED))))).first()[0] or 0
+    part = F.row_number().over(Window.partitionBy("qid", "level", "_part").orderBy("rank", "path", "ordinal"))
+    scored = scored.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(PARTS))).withColumn("_n", part).filter(F.col("_n") <= most).drop("_part", "_n")
     best = F.row_number().over(Window.partitionBy("qid", "level").orderBy("rank", "path", "ordinal"))
     fetched = stored(scored.withColumn("_n", best).filter(F.col("_n") <= fetch), "fetched")
     inside = fetched.filter("level = 'passage'")

@@ -209,18 +209,19 @@ def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.matches(raw, privacy.load(spark), "path").select("path", "rule", "start", "end")
 
 
-#: Runs of letters and digits after a keyword, as the tables hold them; places count code points.
-SECRET = r"""
-, m AS (SELECT path, content, unnest(regexp_extract_all(content, '(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|client_secret|access_key)\b\s*[:=]\s*["'']?([^\s"'',;]{8,})')) AS hit FROM raw),
-s AS (SELECT *, regexp_extract(hit, '[:=]\s*["'']?([^\s"'',;]{8,})', 1) AS v FROM m),
+#: What is assigned to a keyword; places count code points, from the parts between matches.
+PATTERN = r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|client_secret|access_key)\b\s*[:=]\s*["'']?([^\s"'',;]{8,})"""
+SECRET = rf"""
+, m AS (SELECT path, content, unnest(regexp_extract_all(content, '{PATTERN}')) AS hit, generate_subscripts(regexp_extract_all(content, '{PATTERN}'), 1) AS i,
+         regexp_split_to_array(content, '{PATTERN}') AS parts, regexp_extract_all(content, '{PATTERN}') AS hits FROM raw),
+""" + r"""
+s AS (SELECT *, regexp_extract(hit, '[:=]\s*["'']?([^\s"'',;]{8,})', 1) AS v,
+        (coalesce(list_sum(list_transform(parts[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda p: length(p))), 0))::INT AS start FROM m),
 r AS (SELECT *, list_sum(list_transform(list_distinct(regexp_extract_all(v, '(?s).')), lambda c: -(len(list_filter(regexp_extract_all(v, '(?s).'), lambda z: z = c)) / length(v)::DOUBLE)
   * log2(len(list_filter(regexp_extract_all(v, '(?s).'), lambda z: z = c)) / length(v)::DOUBLE))) AS h FROM s),
-g AS (SELECT path, content, hit FROM r WHERE length(v) >= 12 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '\p{L}') AND (h > 3.0 OR (length(v) >= 20 AND h > 2.5)))
+g AS (SELECT path, content, hit, start FROM r WHERE length(v) >= 12 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '\p{L}') AND (h > 3.0 OR (length(v) >= 20 AND h > 2.5)))
 """
-CREDENTIALS = raw_sql(
-    SECRET
-    + """SELECT path, 'assigned-secret' AS rule, (strpos(content, hit) - 1)::INT AS start, (strpos(content, hit) - 1 + length(hit))::INT AS "end" FROM g"""
-)
+CREDENTIALS = raw_sql(SECRET + """SELECT path, 'assigned-secret' AS rule, start, (start + length(hit))::INT AS "end" FROM g""")
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,6 +365,39 @@ def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.quick_open(typed, found, recent)
 
 
+def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each rule is redacted, and what its matches begin with."""
+    raw = raw_notes(spark, sf_dir).select("path", F.col("content").alias("text"))
+    rules = privacy.load(spark)
+    counted = metrics.tally(privacy.redact(raw, rules, "path"), "path").groupBy("rule").agg(F.sum("n").alias("n"))
+    seen = metrics.false_positives(privacy.matches(raw, rules, "path"))
+    return counted.select(F.lit("redacted").alias("report"), "rule", F.lit("").alias("preview"), "n").unionByName(seen.select(F.lit("match").alias("report"), "rule", "preview", "n"))
+
+
+RULE_REPORT = raw_sql(
+    SECRET
+    + """SELECT 'redacted' AS report, 'assigned-secret' AS rule, '' AS preview, count(*) AS n FROM g
+UNION ALL SELECT 'match', 'assigned-secret', substr(hit, 1, 60), count(*) FROM g GROUP BY ALL"""
+)
+
+
+def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("at", F.concat(F.date_format("ts", "yyyyMMddHHmmss"), F.lpad(F.col("event_id").cast("string"), 12, "0")))
+    return logs.tail(e, "at", F.col("event_type") == "error", 200).select("event_id", "event_type")
+
+
+LOG_TAIL = "SELECT event_id, event_type FROM events WHERE event_type = 'error' ORDER BY date_trunc('second', ts) DESC, event_id DESC LIMIT 200"
+
+
+def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every note's predecessor in the listing of its folder, newest first."""
+    found = notes(spark, sf_dir)
+    order = Window.partitionBy("folder").orderBy(F.desc("modified"), "path")
+    return metrics.listing(found).select("path", F.lag("path").over(order).alias("before"))
+
+
+NEWEST = notes_sql("SELECT path, lag(path) OVER (PARTITION BY folder ORDER BY modified DESC, path) AS before FROM notes")
+
 QUERIES = {
     "token_measures": (token_measures, TOKEN_MEASURES),
     "snippets_and_highlights": (snippets, SNIPPETS),
@@ -387,4 +421,7 @@ QUERIES = {
     "completions": (completed, COMPLETED),
     "imports": (imported, IMPORTED),
     "quick_open": (opened, None),
+    "rule_report": (rule_report, RULE_REPORT),
+    "log_tail": (log_tail, LOG_TAIL),
+    "newest_notes": (newest, NEWEST),
 }

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from notequery.functions import notes as n
 from notequery.functions import text as x
-from notequery.operators import index, query, retrieve
+from notequery.operators import index, maintain, query, retrieve
 from notequery.operators.exclusions import excluded
 from notequery.operators.passages import note_text
 from notequery.plans._tables import indexed, notes, notes_sql, passages_sql, raw_notes, raw_sql, table
+from notequery.sources.tables import fresh
 
 EXCLUDED = ["src3/**", "**/*7.md", "src5/e?/*"]
 #: (qid, text, match_mode, folder, limit, cap, exclusions)
@@ -208,13 +209,14 @@ CLAUSES = [
     (4, 0, False, True, ["ing"]), (4, 1, False, False, ["der"]), (5, 0, False, False, ["que"]), (5, 1, False, False, ["los"]), (6, 0, False, False, ["doc"]),
     (7, 0, False, False, ["end", "doc"]), (7, 1, False, False, ["password"]), (9, 0, False, False, ["stupid"]), (9, 1, False, False, ["idiot"]), (9, 2, True, False, ["scum"]),
 ]
-SCORED = (
+def _scored_cte(searches: list, clauses: list) -> str:
+    return (
     """,
 q AS (SELECT * FROM (VALUES """
-    + ", ".join(f"({', '.join(map(_lit, r))})" for r in SEARCHES)
+    + ", ".join(f"({', '.join(map(_lit, r))})" for r in searches)
     + """) v(qid, qtext, mode, scope, lim, cap, excl)),
 cla AS (SELECT * FROM (VALUES """
-    + ", ".join(f"({q}, {c}, {_lit(neg)}, {_lit(pre)}, {toks!r})" for q, c, neg, pre, toks in CLAUSES)
+    + ", ".join(f"({q}, {c}, {_lit(neg)}, {_lit(pre)}, {toks!r})" for q, c, neg, pre, toks in clauses)
     + r""") v(qid, clause, negated, prefix, toks)),
 wt AS (SELECT *, CASE col WHEN 'title' THEN 10.0::DOUBLE WHEN 'heading_path' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS wgt FROM tokens),
 m1 AS (SELECT qid, clause, level, path, ordinal, sum(wgt) AS tf FROM cla JOIN wt ON len(toks) = 1 AND (term = toks[1] OR (prefix AND starts_with(term, toks[1]))) GROUP BY ALL),
@@ -235,11 +237,11 @@ nt AS (SELECT path, title, folder, ai_excluded OR starts_with(path, 'src3/') OR
 )
 
 
-def _scored(sql: str) -> str:
-    return with_tokens("@@").replace("@@", sql).replace(TOKENS, TOKENS + SCORED)
+def _scored(sql: str, searches: list = SEARCHES, clauses: list = CLAUSES) -> str:
+    return with_tokens("@@").replace("@@", sql).replace(TOKENS, TOKENS + _scored_cte(searches, clauses))
 
 
-RANKED = _scored("""
+BEST = """
 , al AS (SELECT ok.*, title, lim, cap FROM ok JOIN nt USING (path) JOIN q USING (qid)
   WHERE (scope IS NULL OR nt.folder = scope OR starts_with(nt.folder, scope || '/')) AND NOT (excl AND nt.out)),
 ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, level ORDER BY rank, path, ordinal) AS k FROM al) WHERE k <= greatest(lim, least(lim * cap * 2, 500))),
@@ -247,7 +249,8 @@ rw AS (SELECT qid, path, title, ordinal, rank, lim, cap FROM ft WHERE level = 'p
   UNION ALL SELECT qid, path, title, 0, rank - 1.0, lim, cap FROM ft WHERE level = 'note' AND NOT EXISTS (SELECT 1 FROM ft b WHERE b.level = 'passage' AND b.qid = ft.qid AND b.path = ft.path)),
 nm AS (SELECT *, max(rank) OVER w - min(rank) OVER w AS span, max(rank) OVER w AS worst, row_number() OVER (PARTITION BY qid, path ORDER BY rank, ordinal) AS c FROM rw WINDOW w AS (PARTITION BY qid)),
 cp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, path, ordinal) AS r FROM nm WHERE c <= cap)
-SELECT qid, r::INT AS rank, cp.path, title, coalesce(heading_path, '') AS heading_path, coalesce(line_start, 1) AS line_start, coalesce(line_end, 1) AS line_end, md5(coalesce(text, '')) AS text_md5,
+"""
+RANKED = _scored(BEST + """SELECT qid, r::INT AS rank, cp.path, title, coalesce(heading_path, '') AS heading_path, coalesce(line_start, 1) AS line_start, coalesce(line_end, 1) AS line_end, md5(coalesce(text, '')) AS text_md5,
   round(round(CASE WHEN span < 1e-9 THEN 1.0 ELSE (worst - cp.rank) / span END, 6), 4) AS score
 FROM cp LEFT JOIN passages p ON p.path = cp.path AND p.ordinal = cp.ordinal WHERE r <= lim""")
 
@@ -255,6 +258,94 @@ HELD_BACK = _scored("""
 SELECT q.qid, count(DISTINCT CASE WHEN out AND (scope IS NULL OR nt.folder = scope OR starts_with(nt.folder, scope || '/')) THEN path END) AS withheld
 FROM q LEFT JOIN ok USING (qid) LEFT JOIN nt USING (path) GROUP BY q.qid""")
 
+#: (qid, text) and their clauses (qid, clause, negated, prefix, tokens) and terms.
+KEYWORDS = [(1, "the that"), (2, "doc"), (3, '"of the" -and'), (4, "ing* der"), (5, "nosuchwordatall")]
+KEYWORD_CLAUSES = [
+    (1, 0, False, False, ["the"]), (1, 1, False, False, ["that"]), (2, 0, False, False, ["doc"]), (3, 0, False, False, ["of", "the"]), (3, 1, True, False, ["and"]),
+    (4, 0, False, True, ["ing"]), (4, 1, False, False, ["der"]), (5, 0, False, False, ["nosuchwordatall"]),
+]
+KEYWORD_TERMS = [(1, ["the", "that"]), (2, ["doc"]), (3, ["of", "the"]), (4, ["ing", "der"])]
+QUESTIONS = [(1, "What do my notes say about que los?"), (2, "Where did I mention a password?"), (3, "do i have anything about the und der?")]
+QUESTION_CLAUSES = [
+    (1, 0, False, False, ["que"]), (1, 1, False, False, ["los"]), (2, 0, False, False, ["password"]), (3, 0, False, False, ["und"]), (3, 1, False, False, ["der"]),
+]
+
+
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = retrieve.search(spark.createDataFrame(KEYWORDS, "qid long, text string"), indexed(spark, sf_dir))
+    return out.select("qid", "rank", "path", "title", "heading_path", "line_start", "modified", F.round("score", 4).alias("score"), F.md5(F.encode("snippet", "UTF-8")).alias("snippet_md5"))
+
+
+KEYWORD_SEARCH = _scored(
+    BEST
+    + """, te AS (SELECT * FROM (VALUES """
+    + ", ".join(f"({q}, {t!r})" for q, t in KEYWORD_TERMS)
+    + """) v(qid, terms)),
+sn AS (SELECT cp.*, heading_path, line_start, text, greatest(1, coalesce(list_min(list_filter(list_transform(terms, lambda t: strpos(lower(text), t)), lambda p: p > 0)), 1) - 73) AS a
+  FROM cp JOIN te USING (qid) LEFT JOIN passages p ON p.path = cp.path AND p.ordinal = cp.ordinal WHERE r <= lim)
+SELECT qid, r::INT AS rank, sn.path, sn.title, coalesce(heading_path, '') AS heading_path, coalesce(line_start, 1) AS line_start, modified,
+  round(round(CASE WHEN span < 1e-9 THEN 1.0 ELSE (worst - sn.rank) / span END, 6), 4) AS score,
+  md5(CASE WHEN a > 1 THEN '…' ELSE '' END || trim(substr(coalesce(text, ''), a, 220)) || CASE WHEN a + 220 <= length(coalesce(text, '')) THEN '…' ELSE '' END) AS snippet_md5
+FROM sn JOIN notes ON notes.path = sn.path""",
+    [(q, t, "all", None, 50, 1, False) for q, t in KEYWORDS],
+    KEYWORD_CLAUSES,
+)
+
+
+def question_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = retrieve.ask(spark.createDataFrame(QUESTIONS, "qid long, question string"), indexed(spark, sf_dir), EXCLUDED)
+    return out.select("qid", "rank", "path", "line_start", "line_end", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.round("score", 4).alias("score"))
+
+
+QUESTION_PASSAGES = _scored(
+    BEST
+    + """SELECT qid, r::INT AS rank, cp.path, coalesce(line_start, 1) AS line_start, coalesce(line_end, 1) AS line_end, md5(coalesce(text, '')) AS text_md5,
+  round(round(CASE WHEN span < 1e-9 THEN 1.0 ELSE (worst - cp.rank) / span END, 6), 4) AS score
+FROM cp LEFT JOIN passages p ON p.path = cp.path AND p.ordinal = cp.ordinal WHERE r <= lim""",
+    [(q, "", "any", None, 12, 3, True) for q, _ in QUESTIONS],
+    QUESTION_CLAUSES,
+)
+
+
+def stemmed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.document_frequency(indexed(spark, sf_dir, True).postings, ["path", "ordinal"])
+
+
+def upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index after deletions, renames and edits: its passages and sizes."""
+    folder = fresh(spark, "kept-index")
+    index.write(indexed(spark, sf_dir), folder)
+    known = notes(spark, sf_dir)
+    number = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("int")
+    moved = known.filter(number % 40 == 1).withColumn("path", F.concat(F.lit("moved/"), "path"))
+    edited = known.filter(number % 40 == 2).withColumn("body", F.concat("body", F.lit("\n# Added\nA paragraph that is long enough for a passage.")))
+    maintain.update(spark, folder, known.filter(number % 40 < 2), moved.unionByName(edited))
+    kept = index.load(spark, folder)
+    sizes = kept.doc_stats.filter("level = 'passage'").select("path", "ordinal", "n_tokens")
+    return kept.passages.join(sizes, ["path", "ordinal"], "left").select("path", "ordinal", "heading_path", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "n_tokens")
+
+
+UPKEEP = (
+    with_tokens("@@")
+    .replace("parsed AS (", "parsed0 AS (", 1)
+    .replace(
+        ",\nnotes AS (",
+        """,
+parsed AS (
+  SELECT CASE WHEN n % 40 = 1 THEN 'moved/' || path ELSE path END AS path, content, modified, frontmatter,
+    CASE WHEN n % 40 = 2 THEN body || chr(10) || '# Added' || chr(10) || 'A paragraph that is long enough for a passage.' ELSE body END AS body
+  FROM (SELECT *, regexp_extract(path, '(\\d+)\\.md$', 1)::INT AS n FROM parsed0) WHERE n % 40 <> 0),
+notes AS (""",
+        1,
+    )
+    .replace(
+        "@@",
+        """SELECT p.path, p.ordinal, heading_path, md5(text) AS text_md5, n_tokens FROM passages p
+  LEFT JOIN (SELECT path, ordinal, count(*) AS n_tokens FROM tokens WHERE level = 'passage' GROUP BY ALL) s ON s.path = p.path AND s.ordinal = p.ordinal""",
+    )
+)
+
+
 QUERIES = {
     "note_rows": (note_rows, NOTE_ROWS),
     "slugs_and_path_safety": (slugs, SLUGS),
@@ -269,4 +360,8 @@ QUERIES = {
     "note_filters": (filtered, FILTERED),
     "ranked_retrieval": (ranked, RANKED),
     "withheld_notes": (held_back, HELD_BACK),
+    "keyword_search": (keyword_search, KEYWORD_SEARCH),
+    "question_passages": (question_passages, QUESTION_PASSAGES),
+    "stemmed_frequencies": (stemmed_frequencies, None),
+    "index_upkeep": (upkeep, UPKEEP),
 }

@@ -65,6 +65,6 @@ def import_notes(incoming: DataFrame, notes: DataFrame, folder: str) -> tuple[Da
 
 
 def export(notes: DataFrame, chosen: DataFrame, target: str) -> None:
-    """Write the chosen notes as text, in one folder of the target for each folder of notes."""
+    """Write the chosen notes as rows (path, content), in one folder of the target for each folder of notes."""
     picked = notes.join(chosen.select("path").distinct(), "path", "left_semi")
     picked.select("path", "content", n.folder(F.col("path")).alias("folder")).write.partitionBy("folder").mode("overwrite").parquet(target)

@@ -50,13 +50,15 @@ def apply(index: Index, changes: DataFrame, notes: DataFrame) -> Index:
     return maintain.upsert(gone, notes.join(last.filter("not removed").select("path"), "path", "left_semi"))
 
 
-def follow(changes: DataFrame, read: Callable[[], Index], notes: Callable[[], DataFrame], store: Callable[[Index], None], checkpoint: str):
-    """A streaming query that applies every batch of changes to the stored index, and stores it anew.
+def follow(changes: DataFrame, folder: str, notes: Callable[[], DataFrame], checkpoint: str, stemming: bool = False):
+    """A streaming query that applies every batch of changes (path, removed, ts) to a stored index.
 
-    ``store`` writes a new snapshot and then moves the pointer that ``read`` follows, never what is being read.
+    A batch reads and writes only the buckets of its paths; one that fails is applied again, with the same result.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        store(apply(read(), rows, notes()))
+        last = rows.groupBy("path").agg(F.max_by("removed", "ts").alias("removed"))
+        written = notes().join(last.filter("not removed").select("path"), "path", "left_semi")
+        maintain.update(rows.sparkSession, folder, last.filter("removed"), written, stemming)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
