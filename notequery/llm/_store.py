@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Paths of the tables made within each open ``scratch``.
+_made: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one is made only where that is unset."""
+    """The folder all executors share, ``spark.checkpoint.dir``; where that is unset, a local one for a local session, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,9 +36,28 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as a Parquet table in the shared folder and read it again, which cuts its lineage."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
+    if _made:
+        _made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, all tables made within; what is still needed must have been written by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
+
+
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of a frame with further columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
