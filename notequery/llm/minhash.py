@@ -225,8 +225,8 @@ def _classes(rows: DataFrame, size: int, percent: int, block: int) -> tuple[Data
                 out += [s.tobytes() for s in shingles(data, offsets, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "set"])
 
-    # A row that repeats brings its set once: equal rows have one _rid.
-    once = texts.join(wanted, "_rid").select("node", "_text").mapInArrow(full, "node long, set binary")
+    # Texts are dealt by a merge at every size, since what is wanted grows with the data; equal rows bring one set.
+    once = texts.join(wanted.hint("merge"), "_rid").select("node", "_text").mapInArrow(full, "node long, set binary")
     sets = _store.table(once.dropDuplicates(["node"]), "sets")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     compared = _store.table(joined.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "compared")
