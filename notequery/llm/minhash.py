@@ -276,7 +276,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     first = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_rid").alias("rid"), F.col("_n").alias("n")))
     least = _store.table(alike.groupBy("_class").agg(first.alias("_least")).select(F.col("_least.rid").alias("_first"), F.col("_least.n").alias("_n")), "least-rows")
     worded = F.coalesce(F.regexp_like("_text", F.lit(WORD)), F.lit(False))
-    one = rows.filter(worded).join(least, F.col("_rid") == F.col("_first"))
+    one = rows.filter(worded).join(least.hint("merge"), F.col("_rid") == F.col("_first"))
     if least.filter("_n > 1").limit(1).count():
         one = one.filter("_n = 1").unionByName(one.filter("_n > 1").dropDuplicates(["_rid"]))
     return one.select("_row.*").unionByName(rows.filter(~worded).select("_row.*"))
