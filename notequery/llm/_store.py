@@ -61,3 +61,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of a frame with further columns."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def unused(df: DataFrame, name: str = "_text") -> str:
+    """A column name that a frame doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -109,14 +109,13 @@ def add_fingerprints(docs: DataFrame, known: np.ndarray, text: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            kept = [i for i, c in enumerate(batch.schema.names) if c != "_text"]
             out: list[str] = []
-            for _, _, data, offsets in t.slices(batch.column(batch.schema.get_field_index("_text"))):
+            for _, _, data, offsets in t.slices(batch.column(batch.num_columns - 1)):
                 out += encode(fingerprints(data, offsets, shared.value))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out, pa.string())], names=[*(batch.schema.names[i] for i in kept), "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "fingerprint"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "fingerprint"])
-    return rows.withColumn("_text", docs[text]).mapInArrow(run, _store.extended(rows, "fingerprint string"))
+    return docs.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"`{text}`").alias(_store.unused(docs))).mapInArrow(run, _store.extended(rows, "fingerprint string"))
 
 
 def _of(texts: list[str], known: np.ndarray) -> np.ndarray:

@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lettered: str |
 
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     schema = _store.extended(rows, "lang_pred string, score double, languages array<struct<lang: string, share: double>>, evidence double" + (f", `{lettered}` boolean" if lettered else ""))
-    return docs.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"`{text}`").alias(_store.unused(docs))).mapInArrow(run, schema)
 
 
 def held_out(key: Column) -> Column:

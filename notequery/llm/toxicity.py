@@ -223,4 +223,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5)
 
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     schema = _store.extended(rows, "score double, predicted int, spans array<struct<start: bigint, end: bigint>>")
-    return docs.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"`{text}`").alias(_store.unused(docs))).mapInArrow(run, schema)
