@@ -2,13 +2,15 @@
 
 A round deals edges by their greater node, so that a task sees every way down from its nodes; union-find within
 the task hangs all that its edges connect below one least node.  Before the next round every node hops on to the
-parent of its parent.  Rounds are written as tables; a few numbers a partition tell when nothing changes.  Edges
-never become more, no node's children are gathered in one task, and the hop is a join of two tables, whose hot
-parents Spark splits.
+parent of its parent.  Rounds are written as tables; a few numbers a partition tell when nothing changes.  Before
+the first round edges are contracted where they lie, a bounded number at a time.  Edges never become more, no node's
+children are gathered in one task, and the hop is a join of two tables, whose hot parents Spark splits.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from notequery.llm import _store
 
 #: A node, its parent, whether the node's own task says so, and, in one row a task, what changed and how many rows are not a task's own.
 _STAR = "a long, b long, own boolean, changed long, foreign long"
+#: Edges that are contracted at a time before the first round.
+CHUNK = 1 << 20
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,6 +38,20 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
             root = root[root]
 
 
+def _contract(batches):
+    """A forest of every ``CHUNK`` edges or so of a partition, each node below its least connected one."""
+    held, n = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            n += batch.num_rows
+        if n and (batch is None or n >= CHUNK):
+            nodes, root, _ = _forest(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2)))
+            child = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["a", "b"])
+            held, n = [], 0
+
+
 def _union(batches):
     parts = list(batches)
     if not sum(x.num_rows for x in parts):
@@ -57,7 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops (a = a) and repeated edges don't matter; no edges make an empty table.
     """
-    rows = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(False).alias("moved"))
+    rows = edges.filter("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").withColumn("moved", F.lit(False))
     foreign = 1
     while True:
         stars = _store.table(rows.repartition("a").mapInArrow(_union, _STAR), "stars")

@@ -192,7 +192,7 @@ def _residual(members: DataFrame, open_: DataFrame, labels: DataFrame, sets: Dat
     counts = members.sparkSession.sparkContext.broadcast(_counts(own))
     rare = _store.table(own.select("node", "set").mapInArrow(_rarest(counts, percent), "node long, shingle long"), "rare-shingles")
     heads = rare.groupBy("shingle").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("shingle", "head")
-    tied = rare.join(_store.table(heads, "rare-heads"), "shingle").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    tied = rare.join(_store.table(heads, "rare-heads"), "shingle").select(F.col("node").alias("a"), F.col("head").alias("b"))
     groups = components(tied)
     nodes = own.join(groups.select(F.col("node").alias("_g"), F.col("component").alias("_group")), F.col("node") == F.col("_g"), "left")
     nodes = nodes.withColumn("group", F.coalesce("_group", "node"))
