@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notequery.llm import _store, decontaminate, imatch, language, minhash, mix, phrases, ring, suffixes, toxicity, warc
+from notequery.llm import _store, decontaminate, imatch, language, lloyd, minhash, mix, phrases, ring, simhash, spelling, suffixes, toxicity, warc
 
 N_SHARDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
@@ -194,6 +194,55 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
 """
 
+
+def simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.cluster(_read(spark, sf_dir, "documents").select("doc_id", "text"), size=3, differ=2)
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lloyd.cluster(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), dims=64, k=40, rounds=5, scale=256, seed="2")
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _nearest_sql(rounds: int) -> str:
+    """Assignments a0, a1, ... and centroids c1, c2, ..., one round after the other."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS (
+  SELECT i, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT i, v.x, c, list_sum(list_transform(range(1, 65), lambda j: (v.x[j] - k.x[j]) * (v.x[j] - k.x[j])))::BIGINT AS d FROM v, c{r} k) GROUP BY i, x)""")
+        if r < rounds:
+            parts.append(f"""
+s{r} AS (SELECT c, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(j) GROUP BY c, j),
+c{r + 1} AS (
+  SELECT k.c, coalesce(m.x, k.x) AS x FROM c{r} k LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM s{r} GROUP BY c) m ON m.c = k.c)""")
+    return ",".join(parts)
+
+
+CENTROIDS_SQL = (
+    """
+WITH v AS (
+  SELECT row_number() OVER () AS i, vec_id, embedding, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, embedding) - 1 AS c, x
+  FROM (SELECT sha256('2:' || vec_id) AS h, embedding, x FROM v ORDER BY h NULLS LAST, embedding LIMIT 40)),"""
+    + _nearest_sql(5)
+    + """
+SELECT vec_id, a5.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a5.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM a5 JOIN v USING (i) JOIN c5 ON c5.c = a5.c
+"""
+)
+
+
+def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(_read(spark, sf_dir, "documents"), least=7, times=2, drop=31)
+    return spelling.variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_repeated_phrases": repeated_phrases,
     "op2_consistent_hash_sharding": sharding,
@@ -205,6 +254,9 @@ QUERIES = {
     "op8_toxicity_crf": toxic,
     "op9_benchmark_decontamination": decontamination,
     "op10_suffix_array_dedup": suffix_dedup,
+    "op11_simhash_anchors": simhash_duplicates,
+    "op12_dimension_sharded_lloyd": centroids,
+    "op13_spelling_variants": spellings,
 }
 ORACLES = {
     "op1_repeated_phrases": PHRASES_SQL,
@@ -213,4 +265,5 @@ ORACLES = {
     "op7_pareto_mixing": MIXING_SQL,
     "op9_benchmark_decontamination": DECONTAMINATION_SQL,
     "op10_suffix_array_dedup": SUFFIX_SQL,
+    "op12_dimension_sharded_lloyd": CENTROIDS_SQL,
 }
