@@ -1,4 +1,4 @@
-"""The positional inverted index: four tables that are built, kept up and measured as frames."""
+"""The positional inverted index as frames: notes, passages, postings and sizes.  ``segments`` stores and keeps it."""
 
 from __future__ import annotations
 
@@ -6,16 +6,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from notequery.functions import notes as n
 from notequery.functions import text as x
-from notequery.operators.passages import note_text, passages
+from notequery.operators.passages import passages
 
 TABLES = ("notes", "passages", "postings", "doc_stats")
-#: Parts of a stored table by path, the least that an update rewrites.
-BUCKETS = 64
+KEYS = ["level", "path", "ordinal"]
 
 
 def parse_notes(raw: DataFrame) -> DataFrame:
@@ -103,13 +103,32 @@ def stems(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("term").mapInPandas(run, "term string, stem string")
 
 
-def tokenise(rows: DataFrame, keys: list[str], columns: dict[str, Column], stemming: bool = False) -> DataFrame:
+def tokenise(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
     """(keys, col, pos, term): words of each named text with their place from 0."""
     each = F.array(*[F.struct(F.lit(name).alias("col"), x.words(F.coalesce(text, F.lit(""))).alias("words")) for name, text in columns.items()])
-    out = rows.select(*keys, F.explode(each).alias("c")).select(*keys, "c.col", F.posexplode("c.words").alias("pos", "term"))
-    if stemming:
-        out = out.join(stems(out.select("term").distinct()), "term").select(*keys, "col", "pos", F.col("stem").alias("term"))
-    return out
+    return rows.select(*keys, F.explode(each).alias("c")).select(*keys, "c.col", F.posexplode("c.words").alias("pos", "term"))
+
+
+def tokens(notes: DataFrame, found: DataFrame) -> DataFrame:
+    """(level, path, ordinal, col, pos, term) of parsed notes and their passages.
+
+    Level 'note' has title and body, level 'passage' heading_path and text.  A body is its passages in order, so each
+    passage is cut into words once, and what a note's words are grouped by lies where its passages met.
+    """
+    rows = notes.select("path", "title").join(found.select("path", "ordinal", "heading_path", "text"), "path", "left")
+    first = F.coalesce("ordinal", F.lit(0)) == 0
+    cut = lambda c: x.words(F.coalesce(c, F.lit("")))
+    rows = rows.select("path", "ordinal", cut(F.when(first, F.col("title"))).alias("title"), cut(F.col("heading_path")).alias("head"), cut(F.col("text")).alias("text"))
+    before = Window.partitionBy("path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.size("text")).over(before), F.lit(0)).cast("int"))
+    one = lambda level, ordinal, col, words, at: F.struct(F.lit(level).alias("level"), ordinal.alias("ordinal"), F.lit(col).alias("col"), F.col(words).alias("words"), at.alias("at"))
+    none = F.lit(0)
+    each = F.array(
+        one("note", F.lit(-1), "title", "title", none), one("note", F.lit(-1), "body", "text", F.col("at")),
+        one("passage", F.col("ordinal"), "heading_path", "head", none), one("passage", F.col("ordinal"), "text", "text", none),
+    )
+    rows = rows.select("path", F.explode(each).alias("c")).select("c.level", "path", "c.ordinal", "c.col", "c.at", F.posexplode("c.words").alias("pos", "term"))
+    return rows.select(*KEYS, "col", (F.col("pos") + F.col("at")).alias("pos"), "term")
 
 
 def postings(tokens: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,9 +136,16 @@ def postings(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return tokens.groupBy(*keys, "col", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def doc_stats(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_tokens)."""
-    return tokens.groupBy(*keys).agg(F.count("*").alias("n_tokens"))
+def stemmed(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Postings by the stems of their terms."""
+    known = stems(found.select("term").distinct()).withColumnRenamed("term", "_t")
+    rows = found.join(known, F.col("term") == F.col("_t"))
+    return rows.groupBy(*keys, "col", F.col("stem").alias("term")).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
+def doc_stats(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_tokens) by postings."""
+    return found.groupBy(*keys).agg(F.sum(F.size("positions")).alias("n_tokens"))
 
 
 def document_frequency(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,16 +155,18 @@ def document_frequency(found: DataFrame, keys: list[str]) -> DataFrame:
 
 @dataclass
 class Index:
-    """The four tables.  Level 'note' indexes title and body, level 'passage' heading_path and text."""
+    """The tables.  Level 'note' indexes title and body, level 'passage' heading_path and text; ``terms`` may hold more terms than occur."""
 
     notes: DataFrame
-    passages: DataFrame | None
-    postings: DataFrame | None
-    doc_stats: DataFrame | None
+    passages: DataFrame
+    postings: DataFrame
+    doc_stats: DataFrame
     stemming: bool = False
+    terms: DataFrame | None = None
 
-
-KEYS = ["level", "path", "ordinal"]
+    def vocabulary(self) -> DataFrame:
+        """Distinct terms."""
+        return (self.postings if self.terms is None else self.terms).select("term").distinct()
 
 
 def build(raw: DataFrame, stemming: bool = False) -> Index:
@@ -146,60 +174,12 @@ def build(raw: DataFrame, stemming: bool = False) -> Index:
     return index_notes(parse_notes(raw), stemming)
 
 
-def _tokens(notes: DataFrame, found: DataFrame, stemming: bool) -> DataFrame:
-    whole = notes.select("path", "title").join(note_text(found), "path", "left").select(F.lit("note").alias("level"), "path", F.lit(-1).alias("ordinal"), "title", "text")
-    parts = found.select(F.lit("passage").alias("level"), "path", "ordinal", "heading_path", "text")
-    return tokenise(whole, KEYS, {"title": F.col("title"), "body": F.col("text")}, stemming).unionByName(
-        tokenise(parts, KEYS, {"heading_path": F.col("heading_path"), "text": F.col("text")}, stemming)
-    )
-
-
 def index_notes(notes: DataFrame, stemming: bool = False) -> Index:
     """The index of parsed notes, as frames."""
     found = passages(notes)
-    tokens = _tokens(notes, found, stemming)
-    return Index(notes, found, postings(tokens, KEYS), doc_stats(tokens, KEYS), stemming)
-
-
-def rebuild(raw: DataFrame, folder: str, stemming: bool = False) -> Index:
-    """Index (path, content, modified) rows and write the tables; each table is made from the one before it."""
-    write(Index(parse_notes(raw), None, None, None, stemming), folder)
-    return load(raw.sparkSession, folder, stemming)
-
-
-def bucket(path: Column) -> Column:
-    """The part of every stored table that a note's rows lie in."""
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
-
-
-def write_table(table: DataFrame, path: str, touched: list[int] | None = None) -> None:
-    """Write a table in buckets of paths, or only those that are touched; rows lie sorted by term, so that readers skip files.
-
-    Rows are dealt by ranges of path within their bucket, so that a stop word's rows spread like all others.
-    """
-    rows = table.withColumn("bucket", bucket(F.col("path"))).repartitionByRange("bucket", "path")
-    rows = rows.sortWithinPartitions("bucket", *(["term"] if "term" in table.columns else []), "path")
-    mode = "static" if touched is None else "dynamic"
-    rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(path)
-
-
-def write(index: Index, folder: str) -> None:
-    """A full rebuild: every table overwritten, each made from the one before it."""
-    spark = index.notes.sparkSession
-    write_table(index.notes, f"{folder}/notes")
-    notes = spark.read.parquet(f"{folder}/notes").drop("bucket")
-    write_table(passages(notes) if index.passages is None else index.passages, f"{folder}/passages")
-    if index.postings is None:
-        tokens = _tokens(notes, spark.read.parquet(f"{folder}/passages").drop("bucket"), index.stemming)
-        index = Index(notes, None, postings(tokens, KEYS), doc_stats(tokens, KEYS), index.stemming)
-    write_table(index.postings, f"{folder}/postings")
-    write_table(index.doc_stats, f"{folder}/doc_stats")
-
-
-def load(spark: SparkSession, folder: str, stemming: bool = False, touched: list[int] | None = None) -> Index:
-    """A stored index, or some of its buckets."""
-    rows = [spark.read.parquet(f"{folder}/{t}") for t in TABLES]
-    return Index(*[(r if touched is None else r.filter(F.col("bucket").isin(touched))).drop("bucket") for r in rows], stemming)
+    held = postings(tokens(notes, found), KEYS)
+    held = stemmed(held, KEYS) if stemming else held
+    return Index(notes, found, held, doc_stats(held, KEYS), stemming)
 
 
 def statistics(index: Index, skipped: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ WEIGHTS = {"heading_path": 2.0, "text": 1.0, "title": 10.0, "body": 1.0}
 NOTE_BIAS, MOST_FETCHED = -1.0, 500
 #: Parts in which a query's matches are ranked before they meet.
 PARTS = 64
+#: Up to so many words or prefixes of a batch are looked up by filters that skip files; more are joined.
+LOOKED_UP = 200
 QUERY = "qid long, text string, match_mode string, folder string, modified_after timestamp, limit int, per_note_cap int, apply_exclusions boolean"
 Retriever = Callable[[DataFrame, Index], DataFrame]
 
@@ -30,28 +34,50 @@ def in_folder(folder: Column, scope: Column) -> Column:
     return scope.isNull() | (folder == scope) | F.startswith(folder, F.concat(scope, F.lit("/")))
 
 
+def _looked_up(rows: DataFrame, column: str, wanted: DataFrame, prefix: bool = False) -> DataFrame:
+    """Rows whose column is one of the wanted terms, or starts with one; all rows where there are more than ``LOOKED_UP``.
+
+    The filter only spares reading what a join afterwards leaves out.
+    """
+    some = [r[0] for r in wanted.select("term").distinct().limit(LOOKED_UP + 1).collect()]
+    if not some or len(some) > LOOKED_UP:
+        return rows if some else rows.limit(0)
+    return rows.filter(reduce(or_, [F.startswith(F.col(column), F.lit(t)) if prefix else F.col(column) == t for t in some]))
+
+
+def opened(prefixes: DataFrame, index: Index) -> DataFrame:
+    """``prefixes`` with, in place of ``term``, every word of the vocabulary that starts with it: words meet prefixes by each of their beginnings."""
+    words_ = _looked_up(index.vocabulary().withColumnRenamed("term", "word"), "word", prefixes, prefix=True)
+    most = F.lit(prefixes.agg(F.max(F.char_length("term"))).first()[0] or 0)
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.char_length("word"), most)), lambda i: F.substring(F.col("word"), F.lit(1), i))
+    begun = words_.select("word", F.explode(starts).alias("start"))
+    return prefixes.join(begun, F.col("term") == F.col("start")).drop("term", "start").withColumnRenamed("word", "term")
+
+
 def matches(terms: DataFrame, index: Index) -> DataFrame:
     """(qid, clause, level, path, ordinal, tf) of every clause in every document.
 
-    A clause of several tokens matches where they follow each other within one column; the last token of a prefix
-    clause stands for every word of the vocabulary that starts with it, found by an equi-join on its first letter.
+    A clause of several tokens matches where they follow each other within one column, which the positions of a
+    document's words tell within its row; the last token of a prefix clause stands for every word that starts with it.
     """
     tokens = terms.select("qid", "clause", "prefix", F.size("tokens").alias("m"), F.posexplode("tokens").alias("i", "term"))
+    last = F.col("prefix") & (F.col("i") == F.col("m") - 1)
     if index.stemming:
         known = stems(tokens.select("term").distinct())
-        tokens = tokens.join(known, "term").withColumn("term", F.when(F.col("prefix") & (F.col("i") == F.col("m") - 1), F.col("term")).otherwise(F.col("stem"))).drop("stem")
-    open_ = tokens.filter(F.col("prefix") & (F.col("i") == F.col("m") - 1))
-    vocabulary = index.postings.select(F.col("term").alias("word"), F.substring("term", 1, 1).alias("letter")).distinct()
-    opened = open_.join(vocabulary, (F.substring("term", 1, 1) == F.col("letter")) & F.startswith("word", F.col("term")))
-    exact = tokens.filter(~(F.col("prefix") & (F.col("i") == F.col("m") - 1)))
-    every = exact.select("qid", "clause", "m", "i", "term").unionByName(opened.select("qid", "clause", "m", "i", F.col("word").alias("term")))
+        tokens = tokens.join(known, "term").withColumn("term", F.when(last, F.col("term")).otherwise(F.col("stem"))).drop("stem")
+    tokens = stored(tokens, "clauses")
+    every, open_ = tokens.filter(~last).drop("prefix"), tokens.filter(last).drop("prefix")
+    if open_.limit(1).count():
+        every = stored(every.unionByName(opened(open_, index)), "clause-terms")
     weight = F.create_map(*[F.lit(v) for pair in WEIGHTS.items() for v in pair])[F.col("col")]
-    found = every.join(index.postings, "term")
+    found = every.join(_looked_up(index.postings, "term", every), "term")
     doc = ["qid", "clause", *KEYS]
     single = found.filter("m = 1").groupBy(*doc).agg(F.sum(F.size("positions") * weight).alias("tf"))
-    placed = found.filter("m > 1").select(*doc, "col", "m", "i", F.explode("positions").alias("p")).withColumn("at", F.col("p") - F.col("i"))
-    whole = placed.groupBy(*doc, "col", "m", "at").agg(F.countDistinct("i").alias("n")).filter("n = m")
-    return single.unionByName(whole.groupBy(*doc).agg(F.sum(weight).alias("tf")))
+    placed = found.filter("m > 1").groupBy(*doc, "col", "m").agg(F.collect_list(F.struct("i", "positions")).alias("at"), F.countDistinct("i").alias("n")).filter("n = m")
+    starts = lambda i: F.flatten(F.transform(F.filter("at", lambda x: x["i"] == i), lambda x: F.transform(x["positions"], lambda p: p - i)))
+    both = F.aggregate(F.sequence(F.lit(1), F.col("m") - 1), F.array_distinct(starts(F.lit(0))), lambda s, i: F.array_intersect(s, starts(i)))
+    whole = placed.withColumn("n", F.size(both)).filter("n > 0")
+    return single.unionByName(whole.groupBy(*doc).agg(F.sum(F.col("n") * weight).alias("tf")))
 
 
 def score(hits: DataFrame, terms: DataFrame, index: Index) -> DataFrame:

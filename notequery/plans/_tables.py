@@ -7,8 +7,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notequery.operators import index
-from notequery.sources.tables import fresh
+from notequery.operators import index, segments
+from notequery.sources.tables import fresh, state
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,17 +103,17 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.parse_notes(raw_notes(spark, sf_dir))
 
 
-_built: dict[tuple[str, str, bool], str] = {}
+_built: dict[tuple, str] = {}
 
 
 def indexed(spark: SparkSession, sf_dir: str, stemming: bool = False) -> index.Index:
-    """The index over all notes, built once for a session and folder and read from its tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, stemming)
+    """The index over all notes, built once for a session and the files as they are, and read from its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, f"{sf_dir}/documents.parquet"), stemming)
     if key not in _built:
         folder = fresh(spark, "index")
-        index.rebuild(raw_notes(spark, sf_dir), folder, stemming)
+        segments.rebuild(raw_notes(spark, sf_dir), folder, stemming)
         _built[key] = folder
-    return index.load(spark, _built[key], stemming)
+    return segments.load(spark, _built[key])
 
 
 raw_sql = partial("WITH {0} {1}".format, RAW)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notequery.functions import notes as n
 from notequery.functions import text as x
-from notequery.operators import index, maintain, query, retrieve
+from notequery.operators import index, query, retrieve, segments
 from notequery.operators.exclusions import excluded
 from notequery.operators.passages import note_text
 from notequery.plans._tables import indexed, notes, notes_sql, passages_sql, raw_notes, raw_sql, table
@@ -314,13 +314,13 @@ def stemmed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored index after deletions, renames and edits: its passages and sizes."""
     folder = fresh(spark, "kept-index")
-    index.write(indexed(spark, sf_dir), folder)
+    segments.write(indexed(spark, sf_dir), folder)
     known = notes(spark, sf_dir)
     number = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("int")
     moved = known.filter(number % 40 == 1).withColumn("path", F.concat(F.lit("moved/"), "path"))
     edited = known.filter(number % 40 == 2).withColumn("body", F.concat("body", F.lit("\n# Added\nA paragraph that is long enough for a passage.")))
-    maintain.update(spark, folder, known.filter(number % 40 < 2), moved.unionByName(edited))
-    kept = index.load(spark, folder)
+    segments.update(spark, folder, known.filter(number % 40 < 2), moved.unionByName(edited))
+    kept = segments.load(spark, folder)
     sizes = kept.doc_stats.filter("level = 'passage'").select("path", "ordinal", "n_tokens")
     return kept.passages.join(sizes, ["path", "ordinal"], "left").select("path", "ordinal", "heading_path", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "n_tokens")
 

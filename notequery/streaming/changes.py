@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notequery.functions.notes import normal_path
-from notequery.operators import maintain
+from notequery.operators import maintain, segments
 from notequery.operators.index import Index
 
 QUIET, OWN = "500 milliseconds", "2 seconds"
@@ -50,15 +50,15 @@ def apply(index: Index, changes: DataFrame, notes: DataFrame) -> Index:
     return maintain.upsert(gone, notes.join(last.filter("not removed").select("path"), "path", "left_semi"))
 
 
-def follow(changes: DataFrame, folder: str, notes: Callable[[], DataFrame], checkpoint: str, stemming: bool = False):
+def follow(changes: DataFrame, folder: str, notes: Callable[[], DataFrame], checkpoint: str):
     """A streaming query that applies every batch of changes (path, removed, ts) to a stored index.
 
-    A batch reads and writes only the buckets of its paths; one that fails is applied again, with the same result.
+    A batch writes one segment of its notes and paths; one that fails is applied again, with the same result.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
         last = rows.groupBy("path").agg(F.max_by("removed", "ts").alias("removed"))
         written = notes().join(last.filter("not removed").select("path"), "path", "left_semi")
-        maintain.update(rows.sparkSession, folder, last.filter("removed"), written, stemming)
+        segments.update(rows.sparkSession, folder, last.filter("removed"), written)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

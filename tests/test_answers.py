@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from notequery.operators import context, grounding, index, maintain, privacy, query, retrieve
+from notequery.operators import context, grounding, index, maintain, privacy, query, retrieve, segments
 from notequery.streaming import changes, completions
 
 NOW = dt.datetime(2024, 5, 1)
@@ -20,7 +20,7 @@ CORPUS = [
 @pytest.fixture(scope="module")
 def notes(spark, tmp_path_factory):
     raw = spark.createDataFrame([(p, c, NOW) for p, c in CORPUS], "path string, content string, modified timestamp")
-    return index.rebuild(raw, str(tmp_path_factory.mktemp("index")), stemming=True)
+    return segments.rebuild(raw, str(tmp_path_factory.mktemp("index")), stemming=True)
 
 
 def paths(rows):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notequery.functions import notes as n
-from notequery.operators import fuzzy, index, maintain, passages, privacy, query
+from notequery.operators import fuzzy, maintain, passages, privacy, query
 from notequery.operators.rules import ASSIGNED, PREFIXED, RULES
 
 LONG = "a text of more than forty characters that makes a passage"
@@ -145,23 +145,6 @@ def test_excerpts_are_withheld_one_by_one(spark):
     assert [m["role"] for m in whole.first()["messages"]] == ["user"]
 
 
-def test_an_update_touches_its_buckets_alone(spark, tmp_path):
-    raw = spark.createDataFrame([(f"f/{i}.md", f"# N{i}\n{LONG} word{i}", None) for i in range(30)], "path string, content string, modified timestamp")
-    folder = str(tmp_path / "index")
-    index.rebuild(raw, folder)
-    before = {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
-    new = index.parse_notes(spark.createDataFrame([("f/1.md", f"# New\n{LONG} fresh", None), ("g/x.md", LONG, None)], "path string, content string, modified timestamp"))
-    touched = maintain.update(spark, folder, spark.createDataFrame([("f/2.md",)], "path string"), new)
-    assert 1 <= touched <= 3
-    got = index.load(spark, folder)
-    want = maintain.upsert(maintain.remove(index.build(raw), spark.createDataFrame([("f/2.md",)], "path string")), new)
-    for name in index.TABLES:
-        a, b = getattr(got, name), getattr(want, name)
-        assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
-    after = {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
-    assert sum(before.get(k) == v for k, v in after.items()) >= len(before) - 4 * touched
-
-
 def test_a_move_onto_a_claimed_place_is_refused(spark):
     notes = spark.createDataFrame([(f"a/{i}.md", "a", "b", None) for i in range(4)], "path string, folder string, body string, modified timestamp")
     rows = [("a/0.md", "move", "z.md"), ("a/1.md", "move", "z.md"), ("a/2.md", "delete", None), ("a/3.md", "save", None), ("q.md", "delete", None)]
