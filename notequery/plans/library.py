@@ -204,38 +204,76 @@ SELECT request_id, array_to_string(used, ',') AS used, unmatched, unused, len(us
   (SELECT string_agg(path, ',' ORDER BY path) FROM n WHERE n.request_id = u.request_id) AS cited, (SELECT string_agg(path, ',' ORDER BY path) FROM z WHERE z.request_id = u.request_id) AS also FROM u"""
 
 
+#: (rule, what is planted, its SQL, its pattern, least entropy): a shape for every twelfth note, from the digests of its number.
+PLANTED = [
+    ("github-pat", "concat('ghp_', substr(s, 1, 36))", r"ghp_[A-Za-z0-9]{36}", 3.0),
+    ("gitlab-pat", "concat('glpat-', substr(s, 1, 20))", r"glpat-[A-Za-z0-9_-]{20}", 3.0),
+    ("aws-access-token", "concat('AKIA', substr(upper(translate(s, '0189', 'GHJK')), 1, 16))", r"AKIA[A-Z2-7]{16}", 3.0),
+    ("stripe-access-token", "concat('sk_live_', substr(s, 1, 24))", r"sk_live_[A-Za-z0-9]{10,99}", 2.0),
+    ("digitalocean-pat", "concat('dop_v1_', s)", r"dop_v1_[a-f0-9]{64}", 3.0),
+    ("npm-access-token", "concat('npm_', substr(s, 1, 36))", r"npm_[A-Za-z0-9]{36}", 2.0),
+    ("shopify-access-token", "concat('shpat_', substr(s, 1, 32))", r"shpat_[a-fA-F0-9]{32}", 2.0),
+    ("slack-bot-token", "concat('xoxb-', substr(translate(s, 'abcdef', '123456'), 1, 12), '-', substr(translate(s, 'abcdef', '654321'), 20, 12), '-', substr(s, 1, 9))", r"xoxb-[0-9]{10,13}-[0-9]{10,13}[A-Za-z0-9-]*", 3.0),
+    ("gcp-api-key", "concat('AIza', substr(s, 1, 35))", r"AIza[A-Za-z0-9_-]{35}", 4.0),
+    ("heroku-api-key", "concat('heroku_key = ', substr(s, 1, 8), '-', substr(s, 9, 4), '-', substr(s, 13, 4), '-', substr(s, 17, 4), '-', substr(s, 21, 12))", r"heroku_key = [a-f0-9]{8}-(?:[a-f0-9]{4}-){3}[a-f0-9]{12}", 0),
+    ("bearer-header", "concat('Authorization: Bearer ', substr(s, 1, 30))", r"(?i)authorization:\s*(?:bearer|token)\s+[A-Za-z0-9_.~+/=-]{8,}", 0),
+    ("basic-auth-url", "concat('postgres://user:', substr(s, 1, 16), '@host/db')", r"[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s/:@]+:[^\s/@]{3,}@", 0),
+]
+
+
+def secret_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text) of the notes, each with one planted shape."""
+    number = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("int")
+    rows = raw_notes(spark, sf_dir).withColumn("s", F.sha2(number.cast("string"), 256))
+    shape = F.get(F.array(*[F.expr(made) for _, made, _, _ in PLANTED]), number % len(PLANTED))
+    return rows.select("path", F.concat("content", F.lit("\nUse "), shape, F.lit(" for now.\n")).alias("text"))
+
+
+#: Credentials by patterns and entropy; places count code points, from the parts between matches.
+_ENTROPY = """list_sum(list_transform(list_distinct(regexp_extract_all({0}, '(?s).')), lambda c: -(len(list_filter(regexp_extract_all({0}, '(?s).'), lambda z: z = c)) / length({0})::DOUBLE)
+  * log2(len(list_filter(regexp_extract_all({0}, '(?s).'), lambda z: z = c)) / length({0})::DOUBLE)))"""
+_ASSIGNED = r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|client_secret|access_key)\b\s*[:=]\s*["'']?([^\s"'',;]{8,})"""
+_FOUND = """SELECT '{0}' AS rule, {1} AS ord, {2}::DOUBLE AS least, path, content, unnest(regexp_extract_all(content, '{3}')) AS hit, generate_subscripts(regexp_extract_all(content, '{3}'), 1) AS i,
+  regexp_split_to_array(content, '{3}') AS parts, regexp_extract_all(content, '{3}') AS hits FROM planted"""
+SECRET = (
+    r"""
+, numbered AS (SELECT path, content, regexp_extract(path, '(\d+)\.md$', 1)::INT AS n, sha256(regexp_extract(path, '(\d+)\.md$', 1)::INT::VARCHAR) AS s FROM raw),
+planted AS (SELECT path, content || chr(10) || 'Use ' || ["""
+    + ", ".join(made for _, made, _, _ in PLANTED)
+    + f"][n % {len(PLANTED)} + 1] || ' for now.' || chr(10) AS content FROM numbered),\nm AS ("
+    + " UNION ALL ".join(_FOUND.format(rule, k, least, pattern) for k, (rule, _, pattern, least) in enumerate(PLANTED))
+    + " UNION ALL "
+    + _FOUND.format("assigned-secret", len(PLANTED), 0, _ASSIGNED)
+    + r"""),
+s AS (SELECT *, CASE WHEN rule = 'assigned-secret' THEN regexp_extract(hit, '[:=]\s*["'']?([^\s"'',;]{8,})', 1) ELSE hit END AS v,
+        (coalesce(list_sum(list_transform(parts[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda p: length(p))), 0))::INT AS start FROM m),
+r AS (SELECT *, """
+    + _ENTROPY.format("v")
+    + r""" AS h FROM s),
+g AS (SELECT path, content, rule, ord, hit, start FROM r WHERE CASE WHEN rule = 'assigned-secret'
+  THEN length(v) >= 12 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '\p{L}') AND (h > 3.0 OR (length(v) >= 20 AND h > 2.5)) ELSE h >= least END)
+"""
+)
+
+
 def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_notes(spark, sf_dir).select("path", F.col("content").alias("text"))
-    return privacy.matches(raw, privacy.load(spark), "path").select("path", "rule", "start", "end")
+    return privacy.matches(secret_notes(spark, sf_dir), privacy.load(spark), "path").select("path", "rule", "start", "end")
 
 
-#: What is assigned to a keyword; places count code points, from the parts between matches.
-PATTERN = r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|client_secret|access_key)\b\s*[:=]\s*["'']?([^\s"'',;]{8,})"""
-SECRET = rf"""
-, m AS (SELECT path, content, unnest(regexp_extract_all(content, '{PATTERN}')) AS hit, generate_subscripts(regexp_extract_all(content, '{PATTERN}'), 1) AS i,
-         regexp_split_to_array(content, '{PATTERN}') AS parts, regexp_extract_all(content, '{PATTERN}') AS hits FROM raw),
-""" + r"""
-s AS (SELECT *, regexp_extract(hit, '[:=]\s*["'']?([^\s"'',;]{8,})', 1) AS v,
-        (coalesce(list_sum(list_transform(parts[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda p: length(p))), 0))::INT AS start FROM m),
-r AS (SELECT *, list_sum(list_transform(list_distinct(regexp_extract_all(v, '(?s).')), lambda c: -(len(list_filter(regexp_extract_all(v, '(?s).'), lambda z: z = c)) / length(v)::DOUBLE)
-  * log2(len(list_filter(regexp_extract_all(v, '(?s).'), lambda z: z = c)) / length(v)::DOUBLE))) AS h FROM s),
-g AS (SELECT path, content, hit, start FROM r WHERE length(v) >= 12 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '\p{L}') AND (h > 3.0 OR (length(v) >= 20 AND h > 2.5)))
-"""
-CREDENTIALS = raw_sql(SECRET + """SELECT path, 'assigned-secret' AS rule, start, (start + length(hit))::INT AS "end" FROM g""")
+CREDENTIALS = raw_sql(SECRET + """SELECT path, rule, start, (start + length(hit))::INT AS "end" FROM g""")
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_notes(spark, sf_dir).select("path", F.col("content").alias("text"))
-    out = privacy.redact(raw, privacy.load(spark), "path")
+    out = privacy.redact(secret_notes(spark, sf_dir), privacy.load(spark), "path")
     return out.select("path", "first_rule", F.md5(F.encode("redacted", "UTF-8")).alias("redacted_md5"), F.aggregate("counts", F.lit(0), lambda s, c: s + c["n"]).alias("n"))
 
 
 REDACTED = raw_sql(
     SECRET
-    + """, o AS (SELECT path, list(hit ORDER BY hit) AS hits FROM g GROUP BY path)
-SELECT raw.path, CASE WHEN hits IS NOT NULL THEN 'assigned-secret' END AS first_rule,
-  md5(CASE WHEN hits IS NULL THEN content ELSE list_reduce(list_concat([content], hits), lambda a, h: replace(a, h, '[redacted: assigned-secret]')) END) AS redacted_md5, len(hits) AS n
-FROM raw LEFT JOIN o USING (path)"""
+    + """, o AS (SELECT path, list([hit, rule] ORDER BY ord, hit) AS hits, arg_min(rule, ord) AS first_rule FROM g GROUP BY path)
+SELECT p.path, first_rule,
+  md5(CASE WHEN hits IS NULL THEN content ELSE list_reduce(list_concat([[content, '']], hits), lambda a, h: [replace(a[1], h[1], '[redacted: ' || h[2] || ']'), ''])[1] END) AS redacted_md5, len(hits) AS n
+FROM planted p LEFT JOIN o USING (path)"""
 )
 
 
@@ -367,8 +405,7 @@ def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each rule is redacted, and what its matches begin with."""
-    raw = raw_notes(spark, sf_dir).select("path", F.col("content").alias("text"))
-    rules = privacy.load(spark)
+    raw, rules = secret_notes(spark, sf_dir), privacy.load(spark)
     counted = metrics.tally(privacy.redact(raw, rules, "path"), "path").groupBy("rule").agg(F.sum("n").alias("n"))
     seen = metrics.false_positives(privacy.matches(raw, rules, "path"))
     return counted.select(F.lit("redacted").alias("report"), "rule", F.lit("").alias("preview"), "n").unionByName(seen.select(F.lit("match").alias("report"), "rule", "preview", "n"))
@@ -376,8 +413,8 @@ def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RULE_REPORT = raw_sql(
     SECRET
-    + """SELECT 'redacted' AS report, 'assigned-secret' AS rule, '' AS preview, count(*) AS n FROM g
-UNION ALL SELECT 'match', 'assigned-secret', substr(hit, 1, 60), count(*) FROM g GROUP BY ALL"""
+    + """SELECT 'redacted' AS report, rule, '' AS preview, count(*) AS n FROM g GROUP BY ALL
+UNION ALL SELECT 'match', rule, substr(hit, 1, 60), count(*) FROM g GROUP BY ALL"""
 )
 
 
