@@ -1,7 +1,7 @@
 """Notes to passages: sections under headings, merged when short and split when long.
 
-A note is parsed within its row, by patterns over its text and functions over the array of its lines, so that no
-line is ever shuffled.
+A note is parsed within its row, its lines by ``blocks`` and its sections by functions over the array of them, so that
+no line is ever shuffled.
 """
 
 from __future__ import annotations
@@ -9,64 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notequery.operators.blocks import blocks
+
 #: Characters below which a section joins the passage before it, and above which it is split at sentences.
 SHORT, LONG = 40, 1200
-#: A fenced block: opened by three marks or more, closed by as many of the same kind, or open to the end.
-_FENCED = r"(?m)^ {0,3}(?:(`{3,})[^`\n]*|(~{3,})[^\n]*)$(?:\n(?s:.*?))?(?:^ {0,3}(?:\1`*|\2~*)[ \t]*$|\z)"
-_FENCE = r"^ {0,3}(?:`{3,}|~{3,})"
-_HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
-#: A line of text with a line of = or - below it.
-_UNDERLINED = r"(?m)^ {0,3}((?![#>*+|`~-]|\d+[.)])[^\s][^\n]*)\n {0,3}%s[ \t]*$"
-#: Characters that texts don't keep: where fenced blocks begin and end, and before each of their lines.
-_OPEN, _CLOSE, _CODE = "\u0001", "\u0002", "\u0003"
-
-
-def lines(body: Column) -> Column:
-    """The lines of a text, those of fenced code after a mark and its fences blank; underlined headings as # ones.
-
-    Every line keeps its place; a final newline starts no line.
-    """
-    text = F.translate(F.regexp_replace(F.regexp_replace(body, r"\r\n?", "\n"), r"\n\z", ""), _OPEN + _CLOSE + _CODE, "   ")
-    parts = F.split(F.regexp_replace(text, _FENCED, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]")
-
-    def part(x: Column, i: Column) -> Column:
-        code = F.transform(F.split(x, "\n"), lambda y, j: F.concat(F.lit(_CODE), F.when((j == 0) | F.regexp_like(y, F.lit(_FENCE + "[ \\t]*$")), F.lit("")).otherwise(y)))
-        plain = F.regexp_replace(F.regexp_replace(x, _UNDERLINED % "=+", "# $1\n"), _UNDERLINED % "-+", "## $1\n")
-        return F.when(i % 2 == 1, F.array_join(code, "\n")).otherwise(plain)
-
-    return F.split(F.array_join(F.transform(parts, part), ""), "\n")
-
-
-def clean(text: Column) -> Column:
-    """A line without marks of emphasis, links, notes, tags, tables and lists; link texts, image texts and code stay."""
-    x = F.regexp_replace(text, r"^ {0,3}\[(?!\^)[^\]]+\]:[ \t]*\S.*$", "")
-    x = F.regexp_replace(x, r"\[\^[^\]\s]+\]:?", "")
-    x = F.regexp_replace(x, r"!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "$1")
-    x = F.regexp_replace(x, r"<!--.*?-->|<(?![A-Za-z][A-Za-z0-9+.-]*:|[^\s<>]+@)/?[A-Za-z][^<>]*>", "")
-    x = F.regexp_replace(x, r"^[ \t]*(?:>[ \t]?)*[ \t]*(?:(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)?", "")
-    x = F.regexp_replace(x, r"(?<!\\)(?:\*\*|__|~~|`+)", "")
-    x = F.regexp_replace(x, r"(^|[^\w*\\])\*([^\s*][^*]*)\*", "$1$2")
-    x = F.regexp_replace(x, r"(^|[^\w\\])_([^\s_](?:[^_]*[^\s_])?)_(?!\w)", "$1$2")
-    x = F.regexp_replace(x, r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$|^[ \t]*\|(?:[ \t]*:?-+:?[ \t]*\|)+[ \t]*$|^[ \t]*(?:\*[ \t]*){3,}$", "")
-    x = F.when(F.regexp_like(text, F.lit(r"^[ \t]*\|.*\|[ \t]*$")), F.translate(x, "|", " ")).otherwise(x)
-    return F.regexp_replace(x, r"\\([!-/:-@\[-`{-~])", "$1")
 
 
 def sections(notes: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
     """(key, section, heading_path, line_start, line_end, text) of every section that has text.
 
-    A heading within fenced code is none; fence lines are dropped and their contents stay.  The path joins the
-    headings a section stands under, blank ones left out; its text is its heading and body on one line.
+    The path joins the headings a section stands under, blank ones left out; its text is its heading and body on one
+    line.
     """
-
-    def read(x: Column, i: Column) -> Column:
-        coded = F.startswith(x, F.lit(_CODE))
-        level = F.when(~coded & F.regexp_like(x, F.lit(_HEADING)), F.length(F.regexp_extract(x, _HEADING, 1))).otherwise(0)
-        plain = F.when(coded, F.substring(x, 2, 1 << 30)).when(level > 0, F.trim(clean(F.regexp_extract(x, _HEADING, 2)))).otherwise(clean(x))
-        return F.struct((i + 1).alias("n"), level.alias("level"), plain.alias("plain"))
-
-    rows = notes.select(key, F.transform(lines(F.col(body)), read).alias("lines"))
-    rows = rows.select(key, "lines", F.filter("lines", lambda x: x["level"] > 0).alias("heads"))
+    rows = notes.select(key, blocks(F.col(body)).alias("lines"))
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("i"), x["level"].alias("level"), x["plain"].alias("plain")))
+    rows = rows.select(key, "lines", F.filter(numbered, lambda x: x["level"] > 0).alias("heads"))
     step = "struct<level: int, plain: string>"
     start = F.struct(F.array().cast(f"array<{step}>").alias("stack"), F.array(F.lit("")).alias("paths"))
 
@@ -77,7 +34,7 @@ def sections(notes: DataFrame, key: str = "path", body: str = "body") -> DataFra
         return F.struct(stack.alias("stack"), F.array_append(s["paths"], path).alias("paths"))
 
     paths = F.aggregate("heads", start, under, lambda s: s["paths"])
-    bounds = F.concat(F.array(F.lit(1)), F.transform("heads", lambda h: h["n"]), F.array(F.size("lines") + 1))
+    bounds = F.concat(F.array(F.lit(1)), F.transform("heads", lambda h: h["i"] + 1), F.array(F.size("lines") + 1))
     rows = rows.select(key, "lines", paths.alias("paths"), bounds.alias("bounds"))
     # Each section's lines that say something; bounds stand twice so that no line array is built anew for each.
     each = F.transform("paths", lambda p, i: F.struct(i.alias("section"), p.alias("heading_path"), F.filter(F.slice("lines", F.get("bounds", i), F.get("bounds", i + 1) - F.get("bounds", i)), lambda x: F.trim(x["plain"]) != "").alias("lines")))

@@ -37,6 +37,19 @@ def test_sentences_are_packed_with_their_spaces(spark):
         (f"# A #\n- [x] _done_ and **bold** {LONG}[^1]\n\n[^1]: a note", [("A", 1, 4, f"A done and bold {LONG} a note")]),
         (f"[ref]: http://x/y\n<b>{LONG}</b> <http://a.b> \\*star\\* snake_case_name", [("", 2, 2, f"{LONG} <http://a.b> *star* snake_case_name")]),
         (f"| a | b |\n|---|:-:|\n| [c](u) | {LONG} |", [("", 1, 3, f"a b c {LONG}")]),
+        (f"<div>\n# inside html\n</div>\n\n{LONG}", [("", 5, 5, LONG)]),
+        (f"<!--\n# hidden heading\n\nhidden text\n--> hidden\n{LONG}", [("", 6, 6, LONG)]),
+        (f"{LONG}\n<!-- a\ncomment --> end", [("", 1, 1, LONG)]),
+        (f"Para one\nsecond line\n===\n{LONG}", [("Para one second line", 1, 4, f"Para one second line {LONG}")]),
+        (f"[a]: http://x\nTitle\n---\n{LONG}", [("Title", 2, 4, f"Title {LONG}")]),
+        (f"> # Quoted\n> {LONG}\nand lazily on\n\n- item\n  ## In it\n  {LONG}\n- next", [("Quoted", 1, 5, f"Quoted {LONG} and lazily on item"), ("Quoted > In it", 6, 8, f"In it {LONG} next")]),
+        (f"- item\n\n      code in it\n\n  ```\n  # no heading\n  ```\n1. {LONG}\n2. two\n", [("", 1, 9, f"item code in it # no heading {LONG} two")]),
+        (f"a line\n    # no code, goes on\n\n    # code\n{LONG}", [("", 1, 5, f"a line # no code, goes on # code {LONG}")]),
+        (f"see [the\nlink](http://x/y) and `code\n*kept*` {LONG} ![alt *x*](u) [![img](p) text](q)", [("", 1, 3, f"see the link and code *kept* {LONG} alt x img text")]),
+        (f"***\n{LONG}\n- - -\n&amp; &lt;b&gt; <script>\nvar x;\n</script> more", [("", 2, 6, f"{LONG} & <b> var x; more")]),
+        (f"<script>\n# x\n\nvar a;\n</script>\n{LONG}", [("", 6, 6, LONG)]),
+        (f"one | two\n--- | ---\na \\| b | `c\\|d` {LONG} | not a column\n\n# T\n{LONG}", [("", 1, 3, f"one two a | b c|d {LONG}"), ("T", 5, 6, f"T {LONG}")]),
+        (f"```\ncode\n\n{LONG}\n", [("", 2, 4, f"code {LONG}")]),
         ("", []),
         (None, []),
     ],
