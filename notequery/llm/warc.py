@@ -10,8 +10,10 @@ a table, names only those of the attempts that counted.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
+from urllib.parse import unquote
 
 import pyarrow as pa
 import zstandard
@@ -26,30 +28,43 @@ FRAME, BUNDLE = 1 << 18, 1 << 28
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the seek table.
 _SKIPPABLE, _SEEK_TABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "record_id string, bundle string, frame long, frame_start long, frame_size long, start long, size long"
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f\u2028\u2029\\ud800-\\udfff]|^ | $")
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
+def _escaped(value: str) -> str:
+    """A value with each control character and percent sign as %XX."""
+    return re.sub(f"{_CONTROL.pattern}|%", lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), value)
+
+
 def record(record_id: str, kind: str, uri: str, refers_to: str | None, digest: str, size: int, payload: bytes) -> bytes:
-    """One WARC/1.1 record; a revisit has no block."""
+    """One WARC/1.1 record; a revisit has no block.
+
+    An identifier or target with characters that would end or change its header is escaped, and a header says so.
+    """
     block = b"" if kind == "revisit" else payload
+    odd = any(_CONTROL.search(x or "") for x in (record_id, uri, refers_to))
+    own = _escaped if odd else str
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<{record_id}>",
+        "WARC-Record-ID": f"<{own(record_id)}>",
         "WARC-Date": "1970-01-01T00:00:00Z",
-        "WARC-Target-URI": uri,
+        "WARC-Target-URI": own(uri),
         "WARC-Payload-Digest": f"sha1:{digest}",
         "X-Payload-Length": str(size),
     }
+    if odd:
+        head["X-Escaped"] = "1"
     if kind == "revisit":
-        head |= {"WARC-Refers-To": f"<{refers_to}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+        head |= {"WARC-Refers-To": f"<{own(refers_to or '')}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
     head["Content-Length"] = str(len(block))
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
 def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The header and block of the record at a place, and the place after it."""
     end = data.index(b"\r\n\r\n", at)
-    head = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
+    head = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:])
     start = end + 4
     stop = start + int(head["Content-Length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
@@ -123,8 +138,8 @@ def _index(rows: list[tuple]) -> pa.RecordBatch:
 def write(rows: DataFrame, folder: str, level: int = 3) -> DataFrame:
     """Write (record_id, record_type, target_uri, refers_to, payload_digest, payload_bytes, payload) as bundles.
 
-    Returns the index, which is kept as a table beside them.  A null payload or target counts as empty; an empty
-    frame of rows makes an empty index.
+    Returns the index, which is kept as a table beside them.  A null payload or target counts as empty; a target of
+    any characters, line ends included, is read back as it was; an empty frame of rows makes an empty index.
     """
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
 
@@ -148,12 +163,13 @@ def write(rows: DataFrame, folder: str, level: int = 3) -> DataFrame:
 
 
 def _rows(found: list[tuple[dict, bytes]]) -> pa.RecordBatch:
-    bare = lambda x: x[1:-1] if x else None
+    own = lambda h, x: unquote(x, errors="surrogatepass") if "X-Escaped" in h else x
+    bare = lambda h, k: own(h, h[k][1:-1]) if k in h else None
     columns = [
-        pa.array([bare(h["WARC-Record-ID"]) for h, _ in found], pa.string()),
+        pa.array([bare(h, "WARC-Record-ID") for h, _ in found], pa.string()),
         pa.array([h["WARC-Type"] for h, _ in found], pa.string()),
-        pa.array([h["WARC-Target-URI"] for h, _ in found], pa.string()),
-        pa.array([bare(h.get("WARC-Refers-To")) for h, _ in found], pa.string()),
+        pa.array([own(h, h["WARC-Target-URI"]) for h, _ in found], pa.string()),
+        pa.array([bare(h, "WARC-Refers-To") for h, _ in found], pa.string()),
         pa.array([h["WARC-Payload-Digest"].partition(":")[2] for h, _ in found], pa.string()),
         pa.array([int(h["X-Payload-Length"]) for h, _ in found], pa.int64()),
         pa.array([b for _, b in found], pa.binary()),

@@ -132,6 +132,23 @@ def test_archives_round_trip(spark):
     assert {r["record_id"]: bytes(r["payload"]) for r in warc.fetch(some).collect()} == {k: bytes(found[k]["payload"]) for k in ("urn:page:7", "urn:page:901")}
 
 
+def test_targets_with_line_ends_stay_in_their_header(spark):
+    from notequery.llm import _store
+
+    urls = ["http://a/\r\nWARC-Type: forged", "http://a/\n\nrest", "\r\n\r\n", " lead", "trail ", "tab\there", "100%25 %0A", "%", "http://é/日本\u2028x", "x: y", "", None, "\x00\x7f\x85", "u" * 100_000]
+    pages = [(i, u, f"{i} " + "z" * (2000 if i % 2 else 10)) for i, u in enumerate(urls)] + [(50, "odd\r\nlast", "1 " + "z" * 2000), (51, None, None), (52, "big", "é\r\n\r\n" * 300_000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    index = warc.write(warc.records(frame, F.concat("page_id", F.lit("\r\nX: "), "page_id"), F.col("url"), F.col("html")), _store.fresh(spark, "warc"))
+    for out in (warc.read(spark, index), warc.fetch(index)):
+        found = {r["record_id"]: r for r in out.collect()}
+        assert len(found) == len(pages)
+        for i, url, html in pages:
+            r = found[f"urn:page:{i}\r\nX: {i}"]
+            assert r["target_uri"] == (url or "") and r["payload_bytes"] == len((html or "").encode())
+            assert (r["record_type"], r["refers_to"]) == (("revisit", "urn:page:50\r\nX: 50") if i == 1 else ("response", None))
+            assert i == 1 or bytes(r["payload"]) == (html or "").encode()
+
+
 def test_archives_odd(spark):
     rows = [(None, None, None), (None, "u", "z" * 1200), (1, "u", "z" * 1200), (1, "u", "z" * 1200)]
     out = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"), F.col("page_id"), F.col("url"), F.col("html")).collect()
