@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from pyspark.sql import functions as F
 PLACEHOLDERS = [
     "your_", "your-", "yourtoken", "yourkey", "example", "placeholder", "changeme", "redacted", "insert", "replace", "todo", "xxxx", "....", "<", "${", "{{",
 ]
-#: Letters with marks and the letters they count as; what has no entry counts as itself.
-ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöōőøŕřśšşťùúûüūůűýÿžźż"
-PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorrssstuuuuuuuyyzzz"
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+#: Small letters that are, in canonical decomposition, a to z and marks; and what they count as.  A final sigma is a sigma, a long s an s.
+_PARTS = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000)]
+ACCENTED, PLAIN = (
+    "".join(x) for x in zip(*[(c, d[0]) for c, d in _PARTS if len(d) > 1 and d[0] in _SMALL and all(map(unicodedata.combining, d[1:]))], ("\u03c2", "\u03c3"), ("\u017f", "s"), strict=True)
+)
+MARKS, WORD = "[\u0300-\u036f]", r"[^\p{L}\p{N}\p{Co}]+"
 
 
 def tokens(text: Column) -> Column:
@@ -68,6 +74,8 @@ def highlight(text: Column, terms: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words in lower case without marks, in order."""
-    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """Words in order, in lower case and without marks, however these are spelt: letters, digits and private characters make words."""
+    low = F.lower(text)
+    folded = F.regexp_replace(F.translate(low, ACCENTED, PLAIN), MARKS, "")
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    return F.filter(F.split(F.when(ascii_, low).otherwise(folded), WORD), lambda x: x != "")

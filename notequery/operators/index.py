@@ -44,9 +44,12 @@ def _measure(word: str) -> int:
 
 
 def stem(word: str) -> str:
-    """The Porter stem (1980), in rules over the longest suffix that fits."""
-    if len(word) < 3 or not word.isascii() or not word.isalpha():
-        return word
+    """The Porter stem, in rules over the longest suffix that fits; letters beyond a to z are consonants, each of as many as it has bytes."""
+    word = word.encode().decode("latin-1")
+    return (_stem(word) if 3 <= len(word) <= 64 else word).encode("latin-1").decode()
+
+
+def _stem(word: str) -> str:
     vowel = lambda s: any(c in "aeiou" or (c == "y" and i) for i, c in enumerate(s))
 
     def cvc(s: str) -> bool:
@@ -54,11 +57,11 @@ def stem(word: str) -> str:
         return len(s) > 2 and con(len(s) - 3) and not con(len(s) - 2) and con(len(s) - 1) and s[-1] not in "wxy"
 
     for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(end):
+        if word.endswith(end) and len(word) > len(end):
             word = word[: len(word) - len(end)] + new
             break
     cut = False
-    if word.endswith("eed"):
+    if word.endswith("eed") and len(word) > 3:
         word = word[:-1] if _measure(word[:-3]) > 0 else word
     else:
         for end in ("ed", "ing"):
@@ -75,7 +78,7 @@ def stem(word: str) -> str:
     if word.endswith("y") and vowel(word[:-1]):
         word = word[:-1] + "i"
     # Suffixes of the published second to fourth steps.
-    second = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+    second = "ational:ate tional:tion enci:ence anci:ance izer:ize logi:log bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
     third = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
     fourth = "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ion: ou: ism: ate: iti: ous: ive: ize:"
     for step, least in ((second, 0), (third, 0), (fourth, 1)):

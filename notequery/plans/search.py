@@ -81,7 +81,7 @@ def note_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOTE_TEXTS = passages_sql("SELECT path, length(t)::INT AS n_chars, md5(t) AS md5 FROM (SELECT path, string_agg(text, chr(10) ORDER BY ordinal) AS t FROM passages GROUP BY path)")
 
 #: Words as the index has them, in SQL.
-WORDS = r"list_filter(regexp_split_to_array(translate(lower({0}), 'àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöōőøŕřśšşťùúûüūůűýÿžźż', 'aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorrssstuuuuuuuyyzzz'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+WORDS = r"list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}\p{{Co}}]+'), lambda w: w <> '')"
 TOKENS = (
     """,
 bodies AS (SELECT path, string_agg(text, chr(10) ORDER BY ordinal) AS t FROM passages GROUP BY path),
@@ -311,6 +311,41 @@ def stemmed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.document_frequency(indexed(spark, sf_dir, True).postings, ["path", "ordinal"])
 
 
+def _stem_sql() -> str:
+    """The Porter stem of a table of terms, step by step."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    more0, one, more1, vowel = f"^(?:{c})?{v}{c}", f"^(?:{c})?{v}{c}(?:{v})?$", f"^(?:{c})?{v}{c}{v}{c}", f"^(?:{c})?[aeiouy]"
+    short = f"^{c}[aeiouy][^aeiouwxy]$"
+
+    def suffixes(table: str, least: str) -> str:
+        rules = sorted((r.split(":") for r in table.split(" ")), key=lambda r: -len(r[0]))
+        only = {"ion": " AND regexp_matches(w, '[st]ion$')"}
+        each = [f"WHEN ends_with(w, '{e}') THEN CASE WHEN regexp_matches(left(w, length(w) - {len(e)}), '{least}'){only.get(e, '')} THEN left(w, length(w) - {len(e)}) || '{n}' ELSE w END" for e, n in rules]
+        return "CASE " + " ".join(each) + " ELSE w END"
+
+    second = "ational:ate tional:tion enci:ence anci:ance izer:ize logi:log bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+    third = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+    fourth = "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ion: ou: ism: ate: iti: ous: ive: ize:"
+    steps = [
+        "CASE WHEN (ends_with(w, 'sses') AND w <> 'sses') OR (ends_with(w, 'ies') AND w <> 'ies') THEN left(w, length(w) - 2) WHEN ends_with(w, 'ss') THEN w WHEN ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN ends_with(w, 'eed') AND w <> 'eed' THEN CASE WHEN regexp_matches(left(w, length(w) - 3), '{more0}') THEN left(w, length(w) - 1) ELSE w END "
+        f"WHEN ends_with(w, 'ed') AND regexp_matches(left(w, length(w) - 2), '{vowel}') THEN left(w, length(w) - 2) || '+' WHEN ends_with(w, 'ing') AND regexp_matches(left(w, length(w) - 3), '{vowel}') THEN left(w, length(w) - 3) || '+' ELSE w END",
+        f"CASE WHEN NOT ends_with(w, '+') THEN w WHEN regexp_matches(w, '(?:at|bl|iz)[+]$') THEN rtrim(w, '+') || 'e' WHEN regexp_matches(w, '[^aeioulsz][+]$') AND length(w) > 2 AND w[-2] = w[-3] THEN left(w, length(w) - 2) "
+        f"WHEN regexp_matches(rtrim(w, '+'), '{short}') THEN rtrim(w, '+') || 'e' ELSE rtrim(w, '+') END",
+        f"CASE WHEN ends_with(w, 'y') AND regexp_matches(left(w, length(w) - 1), '{vowel}') THEN left(w, length(w) - 1) || 'i' ELSE w END",
+        suffixes(second, more0), suffixes(third, more0), suffixes(fourth, more1),
+        f"CASE WHEN ends_with(w, 'e') AND (regexp_matches(left(w, length(w) - 1), '{more1}') OR (regexp_matches(left(w, length(w) - 1), '{one}') AND NOT regexp_matches(left(w, length(w) - 1), '{short}'))) THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND regexp_matches(w, '{more1}') THEN left(w, length(w) - 1) ELSE w END",
+    ]
+    out = "SELECT term, regexp_replace(term, '^y', 'Y') AS w FROM (SELECT DISTINCT term FROM tokens)"  # a first y is a consonant
+    for step in steps:
+        out = f"SELECT term, CASE WHEN strlen(term) BETWEEN 3 AND 64 THEN {step} ELSE w END AS w FROM ({out})"
+    return f"SELECT term, regexp_replace(w, '^Y', 'y') AS w FROM ({out})"
+
+
+STEMMED_FREQUENCIES = with_tokens(f"SELECT level, w AS term, count(DISTINCT (path, ordinal)) AS df FROM tokens JOIN ({_stem_sql()}) st USING (term) GROUP BY level, w")
+
+
 def upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored index after deletions, renames and edits: its passages and sizes."""
     folder = fresh(spark, "kept-index")
@@ -362,6 +397,6 @@ QUERIES = {
     "withheld_notes": (held_back, HELD_BACK),
     "keyword_search": (keyword_search, KEYWORD_SEARCH),
     "question_passages": (question_passages, QUESTION_PASSAGES),
-    "stemmed_frequencies": (stemmed_frequencies, None),
+    "stemmed_frequencies": (stemmed_frequencies, STEMMED_FREQUENCIES),
     "index_upkeep": (upkeep, UPKEEP),
 }
