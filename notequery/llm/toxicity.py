@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field.
 
 Documents carry labels, words don't: words that stand in toxic documents far more often than in clean ones are
-labelled there, and a two-label chain learns from these labelled words.  A word's features are itself, its first
-and its last bytes, so that the chain knows such words by their spelling too, and by their company through its
+labelled there, and so are those whose beginnings do; a two-label chain learns from these labelled words.  A word's
+features are itself, its first and its last bytes, so that the chain knows such words by their spelling too, and by their company through its
 transitions (neighbours as features were tried and made held-out scores worse).  Forward-backward marginals over whole documents add up to a document's score and show the offending offsets.
 """
 
@@ -19,8 +19,10 @@ from notequery.llm import _text as t
 
 #: Labelled documents of each class that fitting looks at, bytes of their texts, feature weights, and words that are swept together.
 DOCUMENTS, BYTES, BUCKETS, SWEEP = 3000, 2_000_000, 1 << 18, 64
-#: Features of a word: itself, its first and its last three bytes.
-FEATURES = 3
+#: Features of a word: itself, its first 3, 5 and 7 bytes and its last 3.  A word or a beginning of 5 or 7 bytes can be suspect.
+FEATURES, SUSPECT = 5, (0, 2, 3)
+#: How much likelier, in nats, toxic documents hold what is suspect: at least by so much, and less so many deviations still.
+LIFT, DEVIATIONS = 1.2, 1.5
 _ROUNDS, _PENALTY, _BIAS = 60, 2e-4, -3.0
 
 
@@ -29,7 +31,7 @@ def words(data: np.ndarray, offsets: np.ndarray):
     starts, ends, bounds = t.words(data, offsets, t.ALNUM)
     sums = t.prefix(t.LOWER[data])
     own = t.span(sums, starts, ends)
-    kinds = (own, t.span(sums, starts, np.minimum(starts + 3, ends)), t.span(sums, np.maximum(ends - 3, starts), ends))
+    kinds = (own, *(t.span(sums, starts, np.minimum(starts + k, ends)) for k in (3, 5, 7)), t.span(sums, np.maximum(ends - 3, starts), ends))
     found = [(t.mix(x ^ np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(46)).astype(np.int32) for k, x in enumerate(kinds)]
     return np.stack(found), starts, ends, bounds
 
@@ -117,13 +119,16 @@ def features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _learn(found: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, share: float) -> Model:
     """Fit on the words of a bounded sample of documents; share is that of toxic ones among all labelled."""
     rows = np.repeat(np.arange(len(toxic)), np.diff(bounds))
-    pairs = np.unique(rows * BUCKETS + found[0])
-    known = [np.bincount(pairs[toxic[pairs // BUCKETS] == label] % BUCKETS, minlength=BUCKETS) for label in (0, 1)]
-    del pairs
     size = [max(1, int((toxic == label).sum())) for label in (0, 1)]
-    odds = [np.log((k + 0.5) / (s - k + 0.5)) for k, s in zip(known, size, strict=True)]
-    suspects = (odds[1] - odds[0] > 1.2) & (known[1] >= max(3, 0.004 * size[1]))
-    y = suspects[found[0]] & (toxic[rows] == 1)
+    marked = np.zeros(found.shape[1], dtype=bool)
+    for kind in SUSPECT:
+        pairs = np.unique(rows * BUCKETS + found[kind])
+        known = [np.bincount(pairs[toxic[pairs // BUCKETS] == label] % BUCKETS, minlength=BUCKETS) for label in (0, 1)]
+        odds = [np.log((k + 0.5) / (s - k + 0.5)) for k, s in zip(known, size, strict=True)]
+        spread = np.sqrt(sum(1 / (k + 0.5) + 1 / (s - k + 0.5) for k, s in zip(known, size, strict=True)))
+        suspects = (odds[1] - odds[0] - DEVIATIONS * spread > LIFT) & (known[1] >= max(3, 0.004 * size[1]))
+        marked |= suspects[found[kind]]
+    y = marked & (toxic[rows] == 1)
     first, n = begins(bounds), max(1, found.shape[1])
     model = Model(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(4))
     state = [np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros((2, 2))]
