@@ -8,7 +8,6 @@ the most telling size agree.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from notequery.llm import _text as t
 #: Band of document frequencies, as shares of all documents.
 LOW, HIGH = 0.0005, 0.05
 #: A subset of scale i keeps a term with chance 2 ** -(2 * i + 1); each scale has so many subsets.
-SCALES, SUBSETS = 5, 12
+SCALES, SUBSETS = 5, 24
 #: Documents with fewer lexicon terms are told by all their terms; scales with fewer non-empty subsets don't tell.
 FEWEST, TELLING = 5, 4
 #: Buckets into which rows are dealt by key, to find each row's successor.
@@ -45,7 +44,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> np.ndarray:
     """Sorted hashes of the terms that stand in at least two documents and in ``low`` to ``high`` of all.
 
-    Frequencies cover all documents.  At most (mean distinct terms of a document) / ``low`` terms reach the lower
+    Frequencies cover all documents, and texts of any length are taken whole.  At most (mean distinct terms of a document) / ``low`` terms reach the lower
     end, at 8 bytes each, however many documents there are: 300,000 where documents have 150 distinct terms.
     Null and empty texts have no terms but count as documents; an empty table makes an empty lexicon.
     """
@@ -104,7 +103,11 @@ def encode(prints: np.ndarray) -> list[str]:
 
 
 def add_fingerprints(docs: DataFrame, known: np.ndarray, text: str = "text") -> DataFrame:
-    """All rows with ``fingerprint``.  Equal texts have equal fingerprints; null and empty ones that of no terms."""
+    """All rows with ``fingerprint``.
+
+    Equal texts have equal fingerprints; null and empty ones that of no terms; a text of any length is taken whole; an
+    empty table stays empty; a column ``fingerprint`` of the input is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
