@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-#: Paths of the tables made within each open ``scratch``.
-_made: list[list[str]] = []
+#: Paths of the tables made within the ``scratch`` that is open here; each thread of the driver has its own.
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +37,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as a Parquet table in the shared folder and read it again, which cuts its lineage."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    if _made:
-        _made[-1].append(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,11 +52,13 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end, all tables made within; what is still needed must have been written by then."""
-    _made.append([])
+    made: list[str] = []
+    before = _made.set(made)
     try:
         yield
     finally:
-        for path in _made.pop():
+        _made.reset(before)
+        for path in made:
             remove(spark, path)
 
 

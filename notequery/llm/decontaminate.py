@@ -2,8 +2,10 @@
 
 The windows of all benchmark items are hashed into a sorted set that is broadcast.  Tasks hash every window of words
 of whole documents, look the hashes up, and verify each hit word by word, without a shuffle; memory is a slice of
-text and the set.  A benchmark beyond ``MOST_WINDOWS`` windows goes in parts, one at a time on the driver and in the
-tasks: each part's hits are kept as a table, and hits, which are few, are joined to the documents at the end.
+text and the set.  Of a benchmark beyond ``MOST_WINDOWS`` windows only the hashes are broadcast, 8 bytes each and
+``MOST_HASHES`` at a time, so that 6 million windows take one pass over the documents: what they hit is kept as a table
+with its words and joined to the windows by hash, length and words, which verifies it.  Hits, which are few, are then
+joined to the documents.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from notequery.llm import _store
 from notequery.llm import _text as t
 
-#: Windows in one broadcast part (about 200 bytes each).
-MOST_WINDOWS = 250_000
+#: Windows that are broadcast with their words (about 200 bytes each), and hashes of windows beyond that.
+MOST_WINDOWS, MOST_HASHES = 250_000, 6_000_000
 _FOLD = np.where(t.ALNUM, t.LOWER, 0x20).astype(np.uint8).tobytes()
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string())]))
 HITS = "array<struct<start: int, length: int, item: string>>"
@@ -46,8 +48,15 @@ def windows(benchmark: DataFrame, n: int) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(cut, "length int, words binary, item string").distinct()
 
 
+def _hashes(texts: list[bytes], length: int) -> np.ndarray:
+    """The hash of each window of so many words, as ``t.grams`` has it in a document."""
+    data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    starts, ends, _ = t.words(data, np.array([0, len(data)]), t.ALNUM)
+    return t.grams(t.prefix(t.span(t.prefix(data), starts, ends)), length)[::length]
+
+
 class _Part:
-    """One part of the set, as tasks use it: by length, sorted hashes with their words and items."""
+    """The set, as tasks use it: by length, sorted hashes with their words and items."""
 
     def __init__(self, rows: pa.Table | None):
         self.by_length: dict[int, tuple] = {}
@@ -56,17 +65,15 @@ class _Part:
             grouped.setdefault(length, {}).setdefault(words, []).append(item)
         for length, texts in grouped.items():
             found = list(texts)
-            data = np.frombuffer(b" ".join(found), dtype=np.uint8)
-            starts, ends, _ = t.words(data, np.array([0, len(data)]), t.ALNUM)
-            hashes = t.grams(t.prefix(t.span(t.prefix(data), starts, ends)), length)[::length]
+            hashes = _hashes(found, length)
             order = np.argsort(hashes, kind="stable")
             seen = np.zeros(1 << 16, dtype=bool)
             seen[hashes >> np.uint64(48)] = True
             self.by_length[length] = (hashes[order], [found[i] for i in order], [texts[found[i]] for i in order], seen)
 
 
-def _scan(part, kept: list[int], only_hits: bool):
-    """The kept columns with the number of words and the verified hits of one part of the set; the text is the last column."""
+def _scan(part):
+    """The first column with the number of words and the verified hits of the set; the text is the last column."""
 
     def run(batches):
         lookup = part.value.by_length
@@ -91,42 +98,78 @@ def _scan(part, kept: list[int], only_hits: bool):
                             if texts[k] == found:
                                 hits[low + row] += [{"start": int(i - bounds[row]), "length": length, "item": item} for item in items[k]]
                             k += 1
-            out = pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(counts), pa.array([h or None for h in hits], _HITS)], names=[*(batch.schema.names[i] for i in kept), "_words", "_hits"])
-            yield out.filter(out.column(out.num_columns - 1).is_valid()) if only_hits else out
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array([h or None for h in hits], _HITS)], names=[batch.schema.names[0], "_words", "_hits"])
 
     return run
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, n: int, text: str, most: int) -> DataFrame:
+def _hashed(batches):
+    """Windows with their hashes."""
+    for batch in batches:
+        lengths = batch.column(0).to_numpy()
+        out = np.zeros(len(lengths), dtype=np.uint64)
+        for length in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == length)
+            out[own] = _hashes([batch.column(1)[i].as_py() for i in own.tolist()], length)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], names=[*batch.schema.names, "hash"])
+
+
+def _seek(part):
+    """(_a, _b, start, length, hash, words) of the words of documents (_a, _b, text) whose hash is one of the sorted ones of their length."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(0), batch.column(1)
+            found: list[tuple] = []
+            for low, _, raw, offsets in t.slices(batch.column(2)):
+                data = t.LOWER[raw]
+                starts, ends, bounds = t.words(data, offsets, t.ALNUM)
+                sums = t.prefix(t.span(t.prefix(data), starts, ends))
+                for length, hashes in part.value.items():
+                    own = t.grams(sums, length)
+                    same = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] == own)
+                    rows = np.searchsorted(bounds, same, side="right") - 1
+                    for i, row in zip(same.tolist(), rows.tolist(), strict=True):
+                        if i + length <= bounds[row + 1]:
+                            words = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + length))
+                            found.append((a[low + row].as_py(), b[low + row].as_py(), i - int(bounds[row]), length, int(own[i].view(np.int64)), words))
+            columns = zip(*found, strict=True) if found else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_a", "_b", "start", "length", "hash", "words"])
+
+    return run
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, text: str, most: int, hashes: int) -> DataFrame:
     """(_row, _words, _hits) of all rows of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    grams = _store.table(windows(benchmark, n).withColumn("_h", F.xxhash64("length", "words")), "windows")
-    parts = -(-grams.count() // most)
+    grams = _store.table(windows(benchmark, n), "windows")
+    count = grams.count()
     schema = _store.extended(rows.select("_row"), f"_words long, _hits {HITS}")
-
-    def part(i: int):
-        return spark.sparkContext.broadcast(_Part(grams.filter(F.pmod("_h", F.lit(parts)) == i).select("length", "words", "item").toArrow() if parts else None))
-
-    if parts < 2:
-        return rows.mapInArrow(_scan(part(0), [0], False), schema)
+    if count <= most:
+        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(_Part(grams.toArrow() if count else None))), schema)
+    grams = _store.table(grams.mapInArrow(_hashed, "length int, words binary, item string, hash long"), "hashed-windows")
+    each = _store.table(grams.select("length", "hash").distinct(), "window-hashes")
+    parts = -(-each.count() // hashes)
     ids = [F.xxhash64(F.lit(k), "_row") for k in range(2)]
     known = rows.select(ids[0].alias("_a"), ids[1].alias("_b"), "_text")
-    found = []
+    every = None
     for i in range(parts):
-        shared = part(i)
-        found.append(_store.table(known.mapInArrow(_scan(shared, [0, 1], True), f"_a long, _b long, _words long, _hits {HITS}"), "hits"))
-        shared.unpersist()
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+        found = each.filter(F.pmod(F.xxhash64("length", "hash"), F.lit(parts)) == i).toArrow()
+        lengths, codes = found["length"].to_numpy(), found["hash"].to_numpy().view(np.uint64)
+        part = spark.sparkContext.broadcast({length: np.sort(codes[lengths == length]) for length in np.unique(lengths).tolist()})
+        hits = _store.table(known.mapInArrow(_seek(part), "_a long, _b long, start int, length int, hash long, words binary"), "hits")
+        part.unpersist()
+        every = hits if every is None else every.unionByName(hits)
     # Equal rows bring their hits once each, the same ones.
-    hits = every.select("_a", "_b", F.explode("_hits").alias("h")).distinct().groupBy("_a", "_b").agg(F.collect_list("h").alias("_found"))
-    out = rows.mapInArrow(_scan(spark.sparkContext.broadcast(_Part(None)), [0], False), schema).withColumns({"_x": ids[0], "_y": ids[1]})
+    one = F.struct("start", "length", "item")
+    hits = every.join(grams, ["length", "hash", "words"]).select("_a", "_b", one.alias("h")).distinct().groupBy("_a", "_b").agg(F.collect_list("h").alias("_found"))
+    out = rows.mapInArrow(_scan(spark.sparkContext.broadcast(_Part(None))), schema).withColumns({"_x": ids[0], "_y": ids[1]})
     return out.join(_store.table(hits, "hits-by-row"), (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_b")), "left").select("_row", "_words", F.col("_found").alias("_hits"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", most: int = MOST_WINDOWS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", most: int = MOST_WINDOWS, hashes: int = MOST_HASHES) -> DataFrame:
     """All rows and columns of docs, with ``_hits``: (first word, words, item) of every occurrence of an item's window.
 
     Null and empty texts have no hits; items without words match nothing; items of fewer than n words match
@@ -135,14 +178,15 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
     the input is replaced; all others keep their values.
     """
     own = [c for c in docs.columns if c != "_hits"]
-    out = _found(docs.select(*[F.col(f"`{c}`") for c in own]), benchmark, n, text, most)
+    out = _found(docs.select(*[F.col(f"`{c}`") for c in own]), benchmark, n, text, most, hashes)
     return out.select(*[F.col(f"_row.`{c}`") for c in own], "_hits")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", most: int = MOST_WINDOWS) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", most: int = MOST_WINDOWS, hashes: int = MOST_HASHES) -> DataFrame:
     """All columns of docs with n_words, n_hit, n_items, items_sha256 and contaminated, as ``find`` has the hits.
 
-    Columns of the input with these names are replaced.
+    Null and empty texts have no words; odd items, repeated rows, long texts and empty tables are as in ``find``;
+    columns of the input with these names are replaced.
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     own = [c for c in docs.columns if c not in added]
@@ -161,6 +205,6 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text
             new = [batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["_row", *added])
 
-    found = _found(docs.select(*[F.col(f"`{c}`") for c in own]), benchmark, n, text, most)
+    found = _found(docs.select(*[F.col(f"`{c}`") for c in own]), benchmark, n, text, most, hashes)
     schema = _store.extended(found.select("_row"), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     return found.mapInArrow(digest, schema).select(*[F.col(f"_row.`{c}`") for c in own], *added)

@@ -35,7 +35,7 @@ def test_decontamination_equals_brute_force(spark, most):
     n = 5
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = {r["doc_id"]: r for r in decontaminate.report(*frames, n=n).collect()}
-    hits = {r["doc_id"]: r["_hits"] for r in decontaminate.find(*frames, n=n, most=most).collect()}
+    hits = {r["doc_id"]: r["_hits"] for r in decontaminate.find(*frames, n=n, most=most, hashes=9).collect()}
     for i, text in docs:
         own, gone, ids = words(text), set(), set()
         for item, t in items:
@@ -56,6 +56,10 @@ def test_decontamination_odd(spark, odd, empty):
     assert len(rows) == odd.count() and sum(r["contaminated"] for r in rows) >= 5
     assert decontaminate.report(empty, items).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.report(odd, items.limit(0)).collect())
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(decontaminate.report(odd, items, most=0)) == plain(decontaminate.report(odd, items))
+    clashing = odd.withColumns({c: F.lit(1) for c in ("n_words", "_hits", "_words", "start", "length", "hash", "words", "_a", "item")})
+    assert plain(decontaminate.report(clashing, items, most=0).select("doc_id", "n_words", "n_hit", "kept")) == plain(decontaminate.report(odd, items).select("doc_id", "n_words", "n_hit", "kept"))
 
 
 @pytest.mark.parametrize("block", [4, 1500])
