@@ -396,13 +396,35 @@ SELECT 'in/' || s || '-' || (3 + row_number() OVER (PARTITION BY s)) || '.md' AS
 UNION ALL SELECT raw || '.txt', 'no Markdown' FROM d WHERE bad"""
 
 
+OPENED = [(1, "doc 1"), (2, "src1/en"), (3, "the"), (4, ""), (5, "zzzzqq")]
+
+
 def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = notes(spark, sf_dir)
-    typed = spark.createDataFrame([(1, "doc 1"), (2, "src1/en"), (3, "the"), (4, ""), (5, "zzzzqq")], "qid long, query string")
+    typed = spark.createDataFrame(OPENED, "qid long, query string")
     recent = found.groupBy("folder").agg(F.max("path").alias("path")).withColumn("position", F.row_number().over(Window.orderBy("path")) - 1).select("path", "position")
     return fuzzy.quick_open(typed, found, recent)
 
 
+#: A greedy subsequence match of each query in each title and path, one letter at a time.
+QUICK_OPEN = notes_sql(r"""
+, q AS (SELECT * FROM (VALUES """ + ", ".join(f"({q}, '{t}')" for q, t in OPENED) + r""") v(qid, query)),
+recent AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS position FROM (SELECT max(path) AS path FROM notes GROUP BY folder)),
+hay AS (SELECT path, 'title' AS kind, title AS t FROM notes UNION ALL SELECT path, 'path', path FROM notes),
+fold AS (
+  SELECT qid, path, kind, lower(query) AS q, lower(t) AS low, 0 AS k, 0 AS pos, 0 AS run, 0 AS points FROM q, hay WHERE query <> ''
+  UNION ALL
+  SELECT qid, path, kind, q, low, k + 1, p, CASE WHEN p = pos + 1 AND pos > 0 THEN run + 1 ELSE 1 END,
+    points + CASE WHEN p = pos + 1 AND pos > 0 THEN run * 12 ELSE 0 END + CASE WHEN p = 1 THEN 40 WHEN substr(low, p - 1, 1) IN (' ', '/', '_', '-') THEN 25 ELSE 0 END
+  FROM (SELECT *, pos + strpos(substr(low, pos + 1), substr(q, k + 1, 1)) AS p FROM fold WHERE k < length(q)) WHERE p > pos),
+done AS (SELECT qid, path, kind, points + greatest(0, 60 - length(low)) + CASE kind WHEN 'title' THEN 1000 ELSE 300 END AS points FROM fold WHERE k = length(q)),
+best AS (SELECT qid, path, arg_max(points, kind) AS points FROM done GROUP BY qid, path),
+every AS (
+  SELECT b.qid, b.path, b.points + CASE WHEN position IS NULL THEN 0 ELSE greatest(0, 400 - 20 * position) END AS points FROM best b LEFT JOIN recent USING (path)
+  UNION ALL SELECT qid, path, greatest(0, 400 - 20 * position) FROM q, recent WHERE query = '')
+SELECT qid, path, points, rank FROM (SELECT e.*, row_number() OVER (PARTITION BY qid ORDER BY points DESC, title, path) AS rank FROM every e JOIN notes USING (path)) WHERE rank <= 50""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each rule is redacted, and what its matches begin with."""
     raw, rules = secret_notes(spark, sf_dir), privacy.load(spark)
@@ -457,7 +479,7 @@ QUERIES = {
     "debounced_changes": (debounced, DEBOUNCED),
     "completions": (completed, COMPLETED),
     "imports": (imported, IMPORTED),
-    "quick_open": (opened, None),
+    "quick_open": (opened, QUICK_OPEN),
     "rule_report": (rule_report, RULE_REPORT),
     "log_tail": (log_tail, LOG_TAIL),
     "newest_notes": (newest, NEWEST),

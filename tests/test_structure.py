@@ -128,17 +128,17 @@ def points(query_, text):
     return total + max(0, fuzzy.SHORT - len(text))
 
 
-def test_quick_open_equals_letter_by_letter(spark, monkeypatch):
-    monkeypatch.setattr(fuzzy, "BLOCK", 2)
+def test_quick_open_equals_letter_by_letter(spark):
     titles = ["Alpha beta", "beta", "The a-b test", "aab", "Ünder_score", "x/y zed"]
     notes = spark.createDataFrame([(f"dir{i}/{t}.md", t) for i, t in enumerate(titles)], "path string, title string")
     recent = spark.createDataFrame([("dir1/beta.md", 0), ("dir3/aab.md", 1)], "path string, position int")
-    queries = ["ab", "beta", "d2", "", "zz", "ü_s"]
+    queries = ["ab", "beta", "d2", "", "zz", "ü_s", "a", "aa", "md", "tt", "  ", "q", "dir0/al", "ta a", "X/"]
     got = {}
     for r in fuzzy.quick_open(spark.createDataFrame(list(enumerate(queries)), "qid long, query string"), notes, recent).collect():
         got.setdefault(r["qid"], {})[r["path"]] = r["points"]
     for qid, q in enumerate(queries):
         want = {}
+        q = q.strip()
         for i, t in enumerate(titles):
             path = f"dir{i}/{t}.md"
             bonus = {"dir1/beta.md": 400, "dir3/aab.md": 380}.get(path, 0)
