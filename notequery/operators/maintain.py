@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from notequery.functions.notes import folder, normal_path
 from notequery.operators.index import Index, index_notes
+from notequery.sources.tables import stored
 
 
-def reconcile(stored: DataFrame, found: DataFrame, mode: str = "time") -> DataFrame:
+def reconcile(known: DataFrame, found: DataFrame, mode: str = "time") -> DataFrame:
     """(path, state): new, changed, unchanged or removed.
 
     Mode 'time' compares modified (in seconds) and size_bytes, so that no content is read; 'hash' compares
@@ -21,7 +22,7 @@ def reconcile(stored: DataFrame, found: DataFrame, mode: str = "time") -> DataFr
         if mode == "hash"
         else (F.unix_timestamp("s.modified") == F.unix_timestamp("f.modified")) & (F.col("s.size_bytes") == F.col("f.size_bytes"))
     )
-    joined = stored.alias("s").join(found.alias("f"), F.col("s.path") == F.col("f.path"), "full_outer")
+    joined = known.alias("s").join(found.alias("f"), F.col("s.path") == F.col("f.path"), "full_outer")
     state = F.when(F.col("s.path").isNull(), "new").when(F.col("f.path").isNull(), "removed").when(same, "unchanged").otherwise("changed")
     return joined.select(F.coalesce("s.path", "f.path").alias("path"), state.alias("state"))
 
@@ -52,6 +53,7 @@ def apply_changes(notes: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     Refused rows say why.  Only changes that name a target meet by it.
     """
     target = F.when(F.col("action") == "move", normal_path(F.col("new_path"))).when(F.col("action") == "create", F.col("path"))
+    notes = stored(notes, "notes")
     rows = changes.withColumn("path", normal_path(F.col("path"))).withColumn("target", target)
     own = notes.select(F.col("path").alias("_p"), F.col("modified").alias("_m"))
     rows = rows.join(own, F.col("path") == F.col("_p"), "left")

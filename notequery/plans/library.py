@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notequery.functions import text as x
-from notequery.operators import context, fuzzy, grounding, index, links, maintain, metrics, privacy
+from notequery.operators import context, fuzzy, grounding, index, links, maintain, metrics, ordered, privacy
 from notequery.operators.exclusions import excluded
 from notequery.plans._tables import indexed, notes, notes_sql, passages_sql, raw_notes, raw_sql, table
 from notequery.plans.search import EXCLUDED, WORDS
@@ -346,6 +346,61 @@ SELECT CASE WHEN folder = 'src2' OR starts_with(folder, 'src2/') THEN 'trashed'
 UNION ALL SELECT 'refused ' || action || ' ' || reason, cpath, '', '', NULL FROM r WHERE reason IS NOT NULL""")
 
 
+def _sequences(stored: DataFrame) -> DataFrame:
+    """Some changes for each note, by its number: edits before and after moves, swaps, deletes and creations in turn."""
+    n = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("int")
+    there, away, made = F.col("path"), F.concat(F.lit("away/"), "path"), F.concat(F.lit("made/"), "path")
+    day = lambda k: F.to_timestamp(F.lit(f"2025-01-{k:02}"))
+    old = F.col("modified") - F.expr("interval 1 hour")
+
+    def one(k: int, action: str, path, target=None, expected=None):
+        return F.struct(
+            F.lit(k).alias("k"), F.lit(action).alias("action"), path.alias("path"), (target if target is not None else F.lit(None).cast("string")).alias("new_path"),
+            (expected if expected is not None else F.lit(None).cast("timestamp")).alias("expected"), F.concat(F.lit(f"text {k} of "), "path").alias("body"), day(k).alias("at"),
+        )
+
+    plans = [
+        [one(1, "save", there, None, F.col("modified")), one(2, "move", there, away), one(3, "save", away, None, day(1)), one(4, "save", there)],
+        [one(1, "create", made), one(2, "delete", made), one(3, "create", made)],
+        [one(1, "move", there, away), one(2, "move", away, there)],
+        [one(1, "delete", there), one(2, "create", there), one(3, "delete", away)],
+        [one(1, "save", there, None, old), one(2, "save", there, None, F.col("modified")), one(3, "save", there, None, F.col("modified"))],
+        [one(1, "move", there, made), one(2, "create", there), one(3, "move", made, there)],
+        [one(2, "move", there, F.lit("one.md")), one(3, "delete", F.lit("one.md"))],
+    ]
+    each = F.get(F.array(*[F.array(*p) for p in plans]), n % (len(plans) + 1))
+    rows = stored.select((n * 10).alias("n"), F.explode(each).alias("c"))
+    return rows.select((F.col("n") + F.col("c.k")).cast("long").alias("id"), "c.action", "c.path", "c.new_path", "c.expected", "c.body", "c.at")
+
+
+def in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = notes(spark, sf_dir).select("path", "folder", "body", "modified")
+    kept, refused = ordered.apply(stored, _sequences(stored))
+    rest = kept.select(F.lit("kept").alias("state"), "path", "folder", F.md5(F.encode("body", "UTF-8")).alias("body_md5"), "modified")
+    dull = refused.select(F.concat(F.lit("refused "), "action", F.lit(" "), "reason").alias("state"), "path", F.lit("").alias("folder"), F.lit("").alias("body_md5"), F.lit(None).cast("timestamp").alias("modified"))
+    return rest.unionByName(dull)
+
+
+#: What the sequences come to, each by itself; of the notes that move to one place the first one does, and all ask for its deletion.
+IN_ORDER = notes_sql(r"""
+, s AS (SELECT path, body, modified, regexp_extract(path, '(\d+)\.md$', 1)::INT AS n, regexp_extract(path, '(\d+)\.md$', 1)::INT % 8 AS k FROM notes),
+one AS (SELECT *, row_number() OVER (ORDER BY n) AS r FROM s WHERE k = 6),
+o AS (
+  SELECT 'away/' || path AS path, 'text 3 of ' || path AS body, TIMESTAMP '2025-01-03' AS modified FROM s WHERE k = 0
+  UNION ALL SELECT path, body, modified FROM s WHERE k IN (1, 2, 7)
+  UNION ALL SELECT 'made/' || path, 'text 3 of ' || path, TIMESTAMP '2025-01-03' FROM s WHERE k = 1
+  UNION ALL SELECT path, 'text 2 of ' || path, TIMESTAMP '2025-01-02' FROM s WHERE k IN (3, 4)
+  UNION ALL SELECT path, 'text 2 of ' || path, TIMESTAMP '2025-01-02' FROM s WHERE k = 5 UNION ALL SELECT 'made/' || path, body, modified FROM s WHERE k = 5
+  UNION ALL SELECT path, body, modified FROM one WHERE r > 1)
+SELECT 'kept' AS state, path, regexp_extract(path, '^(.*)/', 1) AS folder, md5(body) AS body_md5, modified FROM o
+UNION ALL SELECT 'refused save absent', path, '', '', NULL FROM s WHERE k = 0
+UNION ALL SELECT 'refused delete absent', 'away/' || path, '', '', NULL FROM s WHERE k = 3
+UNION ALL SELECT 'refused save conflict', path, '', '', NULL FROM s, range(2) WHERE k = 4
+UNION ALL SELECT 'refused move taken', 'made/' || path, '', '', NULL FROM s WHERE k = 5
+UNION ALL SELECT 'refused move taken', path, '', '', NULL FROM one WHERE r > 1
+UNION ALL SELECT 'refused delete absent', 'one.md', '', '', NULL FROM one WHERE r > 1""")
+
+
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.when(F.col("event_type") == "click", "\\.tmp\\x").otherwise("\\x"), F.lit(".md"))
     return table(spark, sf_dir, "events").select(path.alias("path"), (F.col("event_type") == "error").alias("removed"), "ts")
@@ -476,6 +531,7 @@ QUERIES = {
     "log_lines": (log_lines, LOG_LINES),
     "reconcile": (reconciled, RECONCILED),
     "change_sets": (applied, APPLIED),
+    "ordered_changes": (in_order, IN_ORDER),
     "debounced_changes": (debounced, DEBOUNCED),
     "completions": (completed, COMPLETED),
     "imports": (imported, IMPORTED),

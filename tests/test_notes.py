@@ -162,6 +162,56 @@ def test_scan_import_export(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_heads_read_no_more_than_they_need(spark, tmp_path, monkeypatch):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "long é.md").write_bytes(b"---\ntitle: Long\ntags: [a, b]\nai: false\n---\n" + b"x" * 4060 + "é".encode() * 200_000)
+    (tmp_path / "in" / "sub" / "late.md").write_text(" " * 5000 + "\n# Too late")
+    (tmp_path / "in" / "short.md").write_text("x")
+    rows = {r["path"]: (r["title"], r["tags"], r["ai_excluded"]) for r in corpus.heads(spark, str(tmp_path / "in")).collect()}
+    assert rows == {"long é.md": ("Long", ["a", "b"], True), "sub/late.md": ("late", [], False), "short.md": ("short", [], False)}
+    sizes = []
+
+    class Counting:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def size(self):
+            return self.file.size()
+
+        def read_at(self, n, at):
+            sizes.append(n)
+            return self.file.read_at(n, at)
+
+    class Store:
+        def open_input_file(self, path):
+            return Counting(corpus.fs.LocalFileSystem().open_input_file(path))
+
+    monkeypatch.setattr(corpus, "_store_of", lambda at: (Store(), at))
+    import pyarrow as pa
+
+    at = [str(p) for p in (tmp_path / "in").rglob("*.md")] + [str(tmp_path / "gone.md")]
+    batch = pa.RecordBatch.from_arrays([pa.array(at), pa.array([None] * len(at), pa.timestamp("us")), pa.array(at)], names=["path", "modified", "at"])
+    out = next(corpus._read_heads([batch])).column(2).to_pylist()
+    assert max(sizes) == corpus.HEAD and len(out) == 4 and out[-1] is None
+
+
+def test_notes_go_out_as_files(spark, tmp_path):
+    notes = spark.createDataFrame([("a.md", "# A\r\né"), ("sub/deep/b c.md", "b"), ("n.md", None), ("../out.md", "x")], "path string, content string")
+    chosen = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert corpus.export_files(notes, chosen("a.md", "sub/deep/b c.md", "n.md", "a.md"), str(tmp_path / "out")) == 3
+    assert (tmp_path / "out" / "a.md").read_bytes() == "# A\r\né".encode() and (tmp_path / "out/sub/deep/b c.md").read_text() == "b" and (tmp_path / "out" / "n.md").read_text() == ""
+    for wrong in ("../out.md", "nowhere.md"):
+        with pytest.raises(ValueError):
+            corpus.export_files(notes, chosen("a.md", wrong), str(tmp_path / "no"))
+    assert not (tmp_path / "no").exists() and corpus.export_files(notes, chosen("a.md").limit(0), str(tmp_path / "no")) == 0
+
+
 def test_logs(spark, tmp_path):
     lines = ["2026-09-17T04:11:04.841560Z  INFO files: watching the notes folder", "2026-09-17T04:11:05Z ERROR no category here: x", "panic!"]
     (tmp_path / "l.log").write_text("\n".join(lines))
