@@ -135,20 +135,20 @@ def tokens(notes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, col, term, positions), positions in order."""
-    return tokens.groupBy(*keys, "col", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(keys, col, term, positions, n): positions in order and how many they are, for those who needn't read them."""
+    return tokens.groupBy(*keys, "col", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").cast("int").alias("n"))
 
 
 def stemmed(found: DataFrame, keys: list[str]) -> DataFrame:
     """Postings by the stems of their terms."""
     known = stems(found.select("term").distinct()).withColumnRenamed("term", "_t")
     rows = found.join(known, F.col("term") == F.col("_t"))
-    return rows.groupBy(*keys, "col", F.col("stem").alias("term")).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return rows.groupBy(*keys, "col", F.col("stem").alias("term")).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), F.sum("n").cast("int").alias("n"))
 
 
 def doc_stats(found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_tokens) by postings."""
-    return found.groupBy(*keys).agg(F.sum(F.size("positions")).alias("n_tokens"))
+    return found.groupBy(*keys).agg(F.sum("n").alias("n_tokens"))
 
 
 def document_frequency(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -58,7 +58,7 @@ def matches(terms: DataFrame, index: Index) -> DataFrame:
     """(qid, clause, level, path, ordinal, tf) of every clause in every document.
 
     A clause of several tokens matches where they follow each other within one column, which the positions of a
-    document's words tell within its row; the last token of a prefix clause stands for every word that starts with it.
+    document's words tell within its row and which are only read for such clauses; the last token of a prefix clause stands for every word that starts with it.
     """
     tokens = terms.select("qid", "clause", "prefix", F.size("tokens").alias("m"), F.posexplode("tokens").alias("i", "term"))
     last = F.col("prefix") & (F.col("i") == F.col("m") - 1)
@@ -72,12 +72,14 @@ def matches(terms: DataFrame, index: Index) -> DataFrame:
     weight = F.create_map(*[F.lit(v) for pair in WEIGHTS.items() for v in pair])[F.col("col")]
     found = every.join(_looked_up(index.postings, "term", every), "term")
     doc = ["qid", "clause", *KEYS]
-    single = found.filter("m = 1").groupBy(*doc).agg(F.sum(F.size("positions") * weight).alias("tf"))
-    placed = found.filter("m > 1").groupBy(*doc, "col", "m").agg(F.collect_list(F.struct("i", "positions")).alias("at"), F.countDistinct("i").alias("n")).filter("n = m")
+    single = found.filter("m = 1").groupBy(*doc).agg(F.sum(F.col("n") * weight).alias("tf"))
+    if not every.filter("m > 1").limit(1).count():
+        return single
+    placed = found.filter("m > 1").groupBy(*doc, "col", "m").agg(F.collect_list(F.struct("i", "positions")).alias("at"), F.countDistinct("i").alias("k")).filter("k = m")
     starts = lambda i: F.flatten(F.transform(F.filter("at", lambda x: x["i"] == i), lambda x: F.transform(x["positions"], lambda p: p - i)))
     both = F.aggregate(F.sequence(F.lit(1), F.col("m") - 1), F.array_distinct(starts(F.lit(0))), lambda s, i: F.array_intersect(s, starts(i)))
-    whole = placed.withColumn("n", F.size(both)).filter("n > 0")
-    return single.unionByName(whole.groupBy(*doc).agg(F.sum(F.col("n") * weight).alias("tf")))
+    whole = placed.withColumn("k", F.size(both)).filter("k > 0")
+    return single.unionByName(whole.groupBy(*doc).agg(F.sum(F.col("k") * weight).alias("tf")))
 
 
 def score(hits: DataFrame, terms: DataFrame, index: Index) -> DataFrame:

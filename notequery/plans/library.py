@@ -149,7 +149,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", F.md5(F.encode("block", "UTF-8")).alias("block_md5"), F.size("citations").alias("n_citations"), "dropped", "tokens", "oversized")
 
 
-CONTEXTS = passages_sql("""
+_KEPT = """
 , ex AS (SELECT p.*, title, folder, modified, row_number() OVER (PARTITION BY folder ORDER BY p.path, ordinal) AS rank FROM passages p JOIN notes USING (path)),
 cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank) AS c FROM ex) WHERE c <= 3),
 nb AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY rank) AS number FROM cp),
@@ -158,7 +158,8 @@ bl AS (SELECT *, '=== EXCERPT ' || number || ' ===' || chr(10) || 'Note: ' || ti
 co AS (SELECT *, ceil(length(block) / 3.6::DOUBLE)::INT + 8 AS cost FROM bl),
 ru AS (SELECT *, sum(cost) OVER (PARTITION BY folder ORDER BY number) AS upto, first(cost) OVER (PARTITION BY folder ORDER BY number) > 3000 AS over FROM co),
 ke AS (SELECT *, number = 1 OR (NOT over AND upto <= 3000) AS kept FROM ru)
-SELECT folder AS qid, md5(string_agg(block, '' ORDER BY number) FILTER (WHERE kept)) AS block_md5, count(*) FILTER (WHERE kept)::INT AS n_citations, count(*) FILTER (WHERE NOT kept) AS dropped,
+"""
+CONTEXTS = passages_sql(_KEPT + """SELECT folder AS qid, md5(string_agg(block, '' ORDER BY number) FILTER (WHERE kept)) AS block_md5, count(*) FILTER (WHERE kept)::INT AS n_citations, count(*) FILTER (WHERE NOT kept) AS dropped,
   sum(cost) FILTER (WHERE kept)::BIGINT AS tokens, bool_or(over AND number = 1) AS oversized FROM ke GROUP BY folder""")
 
 
@@ -277,6 +278,19 @@ FROM planted p LEFT JOIN o USING (path)"""
 )
 
 
+#: Requests of all folders: whether they are sent, their sources, and the credentials in the excerpts they carry.
+GATED = passages_sql(
+    _KEPT
+    + rf""", hit AS (SELECT folder, regexp_extract(hit, '[:=]\s*["'']?([^\s"'',;]{{8,}})', 1) AS v FROM (SELECT folder, unnest(regexp_extract_all(block, '{_ASSIGNED}')) AS hit FROM ke WHERE kept)),
+ent AS (SELECT folder, v, {_ENTROPY.format('v')} AS h FROM hit),
+red AS (SELECT folder, count(*) AS n FROM ent WHERE length(v) >= 12 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '\p{{L}}') AND (h > 3.0 OR (length(v) >= 20 AND h > 2.5)) GROUP BY folder),
+src AS (SELECT folder, count(DISTINCT path) FILTER (WHERE kept) AS n FROM ke GROUP BY folder)
+SELECT src.folder AS id, CASE WHEN starts_with(src.folder, 'src3/') THEN 'refused' ELSE 'sent' END AS state, src.n::INT AS n, CASE WHEN starts_with(src.folder, 'src3/') THEN 0 ELSE coalesce(red.n, 0) END::INT AS redactions
+FROM src LEFT JOIN red ON red.folder = src.folder
+UNION ALL SELECT id, 'unanswered', 0, 0 FROM (SELECT 'nowhere' AS id UNION ALL SELECT DISTINCT source || '/' || lang FROM documents) WHERE id IS NOT NULL AND id NOT IN (SELECT folder FROM src)"""
+)
+
+
 def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     line = F.concat(F.lit("GET "), "url", F.lit(" C:\\Users\\Ann\\Notes/x api_key="), F.md5("url"), F.lit(", Bearer abc.def c:/users/ANN/other sk-1234"))
@@ -523,7 +537,7 @@ QUERIES = {
     "term_counts": (term_counts, TERM_COUNTS),
     "link_graph": (link_graph, LINK_GRAPH),
     "answer_contexts": (contexts, CONTEXTS),
-    "gated_requests": (requests, None),
+    "gated_requests": (requests, GATED),
     "grounding": (grounded, GROUNDED),
     "credentials": (credentials, CREDENTIALS),
     "redaction": (redacted, REDACTED),
