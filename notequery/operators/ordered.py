@@ -7,14 +7,18 @@ which changes are refused.  Texts are joined to that afterwards.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notequery.functions.notes import folder, normal_path
 from notequery.sources.tables import stored
 
-_OUT = "kind string, id long, path string, origin string, text_of long, modified timestamp, reason string"
+_OUT = "kind string, id long, path string, origin string, text_of long, modified long, reason string"
+_SECOND = 1_000_000
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -31,36 +35,54 @@ def groups(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("next").alias("group"))
 
 
-def fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """The notes and refusals that the changes of one group leave, one after the other; rows with no action are the notes there are."""
-    held: dict[str, list] = {r.path: [r.path, None, r.modified] for r in rows[rows["action"].isna()].itertuples()}
-    refused: list[tuple] = []
-    for r in rows[rows["action"].notna()].sort_values(["at", "id"]).itertuples():
-        there, reason = r.path in held, None
-        if r.action == "create":
-            reason = "taken" if there else None
-            if not there:
-                held[r.path] = [None, r.id, r.at]
+def fold(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """What the changes of each group leave, one after the other: (kind, id, path, origin, text_of, modified, reason).
+
+    Rows are (group, id, path, action, target, expected, at, modified) by group, first the notes there are, without an
+    action, then the changes in order; times are microseconds.
+    """
+    held: dict[str, tuple] = {}  # path: where the note was, the change that gave its text, its time
+    last = None
+    for group, id_, path, action, target, expected, at, modified in rows:
+        if group != last:
+            yield from (("note", None, p, *v, None) for p, v in held.items())
+            held, last = {}, group
+        there, reason = held.get(path), None
+        if action is None:
+            held[path] = (path, None, modified)
+        elif action == "create":
+            if there:
+                reason = "taken"
+            else:
+                held[path] = (None, id_, at)
         elif not there:
             reason = "absent"
-        elif r.action == "save":
-            stale = not pd.isna(r.expected) and r.expected.floor("s") != held[r.path][2].floor("s")
-            reason = "conflict" if stale else None
-            if not stale:
-                held[r.path][1:] = r.id, r.at
-        elif r.action == "move":
-            reason = "taken" if r.target in held and r.target != r.path else None
-            if not reason:
-                held[r.target] = held.pop(r.path)
-        elif r.action == "delete":
-            del held[r.path]
+        elif action == "save":
+            if expected is not None and (there[2] is None or expected // _SECOND != there[2] // _SECOND):
+                reason = "conflict"
+            else:
+                held[path] = (there[0], id_, at)
+        elif action == "move":
+            if target != path and target in held:
+                reason = "taken"
+            else:
+                held[target] = held.pop(path)
+        elif action == "delete":
+            del held[path]
         else:
             reason = "unknown"
         if reason:
-            refused.append(("refused", r.id, r.path, None, None, pd.NaT, reason))
-    notes = [("note", None, path, origin, text_of, modified, None) for path, (origin, text_of, modified) in held.items()]
-    out = pd.DataFrame(notes + refused, columns=["kind", "id", "path", "origin", "text_of", "modified", "reason"])
-    return out.astype({"id": "Int64", "text_of": "Int64", "modified": "datetime64[us]"})
+            yield "refused", id_, path, None, None, None, reason
+    yield from (("note", None, p, *v, None) for p, v in held.items())
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    names = [x.split(" ")[0] for x in _OUT.split(", ")]
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    found = fold(rows)
+    while out := list(islice(found, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
 def apply(notes: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,18 +90,19 @@ def apply(notes: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Actions: create (refused if the path is taken), save (absent, or conflict if the note's time is not the expected
     one; a null one asks for nothing), move (absent, or taken by another note), delete (absent); others are unknown.  A
-    path is what it is when its change comes, so changes of a moved note name its new path.  Ids are distinct.
+    path is what it is when its change comes, so changes of a moved note name its new path.  Ids are distinct; changes
+    without an action say nothing.  A group's changes pass through one task row by row, their keys alone.
     """
     rows = changes.withColumns({"path": normal_path(F.col("path")), "target": F.when(F.col("action") == "move", normal_path(F.col("new_path")))})
     rows = stored(rows.select("id", "path", "action", "target", "body", "expected", "at"), "changes")
     tied = stored(groups(rows.select(F.col("path").alias("a"), F.coalesce("target", "path").alias("b"))), "groups")
     group = lambda df: df.join(tied, F.col("path") == F.col("node"))
-    known = group(notes.select("path", "modified")).select("group", "path", "modified")
+    known = group(notes.select("path", F.unix_micros("modified").alias("modified"))).select("group", "path", "modified")
     none = lambda kind: F.lit(None).cast(kind)
-    each = group(rows).select("group", "id", "path", "action", "target", "expected", "at", none("timestamp").alias("modified"))
-    there = known.select("group", none("long").alias("id"), "path", none("string").alias("action"), none("string").alias("target"), none("timestamp").alias("expected"), none("timestamp").alias("at"), "modified")
-    left = each.unionByName(there).groupBy("group").applyInPandas(lambda df: fold(df), _OUT)
-    left = stored(left, "folded")
+    each = group(rows).select("group", "id", "path", "action", "target", F.unix_micros("expected").alias("expected"), F.unix_micros("at").alias("at"), none("long").alias("modified"))
+    each = each.filter("action is not null").unionByName(known.select("group", none("long").alias("id"), "path", none("string").alias("action"), none("string").alias("target"), none("long").alias("expected"), none("long").alias("at"), "modified"))
+    lined_up = each.repartition("group").sortWithinPartitions("group", F.col("action").isNotNull(), "at", "id")
+    left = stored(lined_up.mapInArrow(_folded, _OUT).withColumn("modified", F.timestamp_micros("modified")), "folded")
     refused = left.filter("kind = 'refused'").select("id", "reason").join(rows.select("id", "path", "action"), "id").select("id", "path", "action", "reason")
     found = left.filter("kind = 'note'").select(F.col("path").alias("_path"), "origin", "text_of", F.col("modified").alias("_modified"))
     found = found.join(rows.select(F.col("id").alias("_id"), F.col("body").alias("_body")), F.col("text_of") == F.col("_id"), "left")
