@@ -27,14 +27,13 @@ def tokens(text: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits a character; 0 for empty text."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), 0)
-    n = F.size(chars)
 
-    def part(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
-        return -p * F.log2(p)
+    def of(chars: Column) -> Column:
+        shares = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
+        return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
-    return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda s, c: s + part(c))
+    # An array of one holds the characters, so that they are not cut anew for each of them.
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), 0)), of), F.lit(0))
 
 
 def looks_random(value: Column) -> Column:

@@ -290,8 +290,11 @@ def prefixed(name: str, keywords: str, shape: str, least: float) -> dict:
 
 
 def assigned(name: str, keywords: str, provider: str, shape: str, least: float) -> dict:
-    """A value that is assigned, in one of many ways, to something with a provider's name in it."""
-    pattern = rf"(?i)[\w.-]{{0,50}}?{provider}[ \t\w.-]{{0,20}}[\s'\"]{{0,3}}(?::{{0,3}}=>?|\?=|\|\||[:>,])[`'\"\s=]{{0,5}}({shape})(?![A-Za-z0-9_-])"
+    """A value that is assigned, in one of many ways, to something with a provider's name in it.
+
+    What comes before the name in its word is tried from the word's start alone, or left out where it is too long.
+    """
+    pattern = rf"(?i)(?:(?<![\w.-])[\w.-]{{0,50}}?|(?<=[\w.-]{{50}})){provider}[ \t\w.-]{{0,20}}[\s'\"]{{0,3}}(?::{{0,3}}=>?|\?=|\|\||[:>,])[`'\"\s=]{{0,5}}({shape})(?![A-Za-z0-9_-])"
     return _rule(name, pattern, keywords.split(), "entropy" if least else "shape", least)
 
 
