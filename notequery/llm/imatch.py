@@ -117,8 +117,8 @@ def add_fingerprints(docs: DataFrame, known: np.ndarray, text: str = "text") ->
                 out += encode(fingerprints(data, offsets, shared.value))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "fingerprint"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "fingerprint"])
-    return docs.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"`{text}`").alias(_store.unused(docs))).mapInArrow(run, _store.extended(rows, "fingerprint string"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "fingerprint"]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    return rows.mapInArrow(run, _store.extended(rows.select("_row"), "fingerprint string")).select("_row.*", "fingerprint")
 
 
 def _of(texts: list[str], known: np.ndarray) -> np.ndarray:

@@ -226,6 +226,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5)
             columns = [*batch.columns[:-1], pa.array(chance), pa.array((chance >= 0.5).astype(np.int32)), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *added])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    schema = _store.extended(rows, "score double, predicted int, spans array<struct<start: bigint, end: bigint>>")
-    return docs.select(*[F.col(f"`{c}`") for c in rows.columns], F.col(f"`{text}`").alias(_store.unused(docs))).mapInArrow(run, schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    schema = _store.extended(rows.select("_row"), "score double, predicted int, spans array<struct<start: bigint, end: bigint>>")
+    return rows.mapInArrow(run, schema).select("_row.*", *added)

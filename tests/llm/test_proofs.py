@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from notequery.llm import _text as t
-from notequery.llm import components, decontaminate, imatch, language, minhash, phrases, ring, suffixes, toxicity
+from notequery.llm import components, decontaminate, imatch, language, minhash, mix, phrases, ring, simhash, suffixes, toxicity
 
 
 def row_by_row(keys, n, vnodes=64):
@@ -205,6 +205,26 @@ def test_names_that_clash(spark):
         assert all(r[c] == "own" for r in rows for c in names if c not in replaced)
 
 
+def test_more_names_that_clash(spark):
+    names = ["taken", "size", "slot", "kept", "predicted", "spans", "n_shingles", "shard", "copies", "target", "source_size", "n_bytes", "n_removed", "n_spans", "node", "own", "a.b"]
+    docs = spark.createDataFrame([(i, f"some words {i} of a text", "s", *["own"] * len(names)) for i in range(4)], ["doc_id", "text", "source", *names])
+    words = F.regexp_count("text", F.lit(r"\S+"))
+    for frame, replaced in (
+        (minhash.cluster(docs), {"n_shingles", "kept"}),
+        (minhash.representatives(docs), set()),
+        (simhash.cluster(docs), set()),
+        (phrases.occurrences(docs), set()),
+        (suffixes.occurrences(docs), set()),
+        (ring.assign(docs, [F.col("doc_id")], 4), {"shard", "slot"}),
+        (mix.draw(docs, "source", words, [F.col("doc_id")], [1], 1.0, 2.0), {"size", "source_size", "target", "copies", "taken"}),
+        (toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")))), {"predicted", "spans"}),
+    ):
+        assert {*names} - replaced <= {*frame.columns}, frame.columns
+        rows = frame.collect()
+        assert len(rows) == 4 and len(frame.columns) == len(set(frame.columns))
+        assert all(r[c] == "own" for r in rows for c in names if c not in replaced)
+
+
 def test_slices_of_bytes():
     column = pa.array([b"ab", b"", b"cde"], pa.binary())
     (low, high, data, offsets), = t.slices(column)
