@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,17 +75,17 @@ def called(rules: list[dict]):
             own.setdefault(k, []).append(i)
     always = [i for i, r in enumerate(rules) if not r["keywords"]]
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = ahocorasick.Automaton()
         for k in own:
             words.add_word(k, k)
         words.make_automaton()
         for batch in batches:
-            met = ({k for _, k in words.iter(text.lower())} if own and text else () for text in batch)
-            yield pd.Series([sorted({i for k in found for i in own[k]}.union(always)) for found in met])
+            # One text of a batch at a time is a string of Python's.
+            met = ({k for _, k in words.iter(text.as_py().lower())} if own and text.is_valid and len(text.as_buffer()) else () for text in batch)
+            yield pa.array([sorted({i for k in found for i in own[k]}.union(always)) for found in met], pa.list_(pa.int32()))
 
-    return run
+    return F.arrow_udf(run, "array<int>")
 
 
 def matches(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
