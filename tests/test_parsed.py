@@ -1,7 +1,9 @@
 """Queries that look up no words read the notes and build no index; what they share grows with its input."""
 
 from notequery.operators import index
+from notequery.plans import _tables, search
 
+SMALL = "/root/testdata/sf0.001"
 LONG = "a text of more than forty characters that makes a passage"
 
 
@@ -21,3 +23,29 @@ def test_postings_are_the_same_however_many_words_are_sorted_at_a_time(spark, mo
 def test_no_posting_carries_the_words_of_its_document(spark):
     raw = spark.createDataFrame([("a.md", LONG, None)], "path string, content string, modified timestamp")
     assert plan(index.build(raw).postings).lstrip("*(1) ").startswith("MapInArrow")
+
+
+def unbuilt(spark, monkeypatch, query):
+    for kept in ("_built", "_read"):
+        monkeypatch.setattr(_tables, kept, {})
+    rows = sorted(map(str, query(spark, SMALL).collect()))
+    assert not _tables._built
+    _tables.indexed(spark, SMALL)
+    assert rows == sorted(map(str, query(spark, SMALL).collect())) and rows
+
+
+def test_texts_need_no_index(spark, monkeypatch):
+    unbuilt(spark, monkeypatch, search.note_texts)
+
+
+def test_passages_need_no_index(spark, monkeypatch):
+    unbuilt(spark, monkeypatch, search.passage_rows)
+
+
+def test_statistics_need_no_index_and_no_postings(spark, monkeypatch):
+    unbuilt(spark, monkeypatch, search.statistics)
+    assert "MapInArrow" not in plan(index.build(_tables.raw_notes(spark, SMALL)).doc_stats)
+
+
+def test_posting_counts_need_no_stored_index(spark, monkeypatch):
+    unbuilt(spark, monkeypatch, search.posting_rows)
