@@ -1,7 +1,8 @@
 """Queries that look up no words read the notes and build no index; what they share grows with its input."""
 
-from notequery.operators import index
+from notequery.operators import index, segments
 from notequery.plans import _tables, search
+from notequery.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
 LONG = "a text of more than forty characters that makes a passage"
@@ -49,3 +50,11 @@ def test_statistics_need_no_index_and_no_postings(spark, monkeypatch):
 
 def test_posting_counts_need_no_stored_index(spark, monkeypatch):
     unbuilt(spark, monkeypatch, search.posting_rows)
+
+
+def test_upkeep_copies_no_index_and_leaves_the_one_that_others_read(spark):
+    before = sorted(map(str, _tables.indexed(spark, SMALL).passages.collect()))
+    folder, first = _tables.index_folder(spark, SMALL), sorted(map(str, search.upkeep(spark, SMALL).collect()))
+    assert not [n for n in tables.names(spark, tables.shared_dir(spark)) if n.startswith("kept-index")]
+    assert segments.snapshot(spark, folder)["version"] > 1 and sorted(map(str, _tables.indexed(spark, SMALL).passages.collect())) == before
+    assert sorted(map(str, search.upkeep(spark, SMALL).collect())) == first != before
