@@ -49,17 +49,25 @@ def budget(excerpts: DataFrame, limit: int) -> DataFrame:
 
 
 def contexts(excerpts: DataFrame, limit: int) -> DataFrame:
-    """(qid, block, citations, dropped, tokens, oversized): one row for each question that has excerpts."""
-    rows = budget(excerpts, limit)
+    """(qid, block, citations, dropped, tokens, oversized): one row for each question that has excerpts.
+
+    Each excerpt costs its framing and a token at least, so only as many of the first ones as fit the limit at that
+    price are brought together by question; of the others only the number is taken.
+    """
+    most = max(limit // (FRAMING + 1), 1)
+    order = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    rows = budget(excerpts.withColumn("_n", order).filter(F.col("_n") <= most).drop("_n"), limit)
     cite = F.struct("number", "path", "title", "folder", "heading_path", "line_start", "line_end", "text")
     kept = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("number", "block"))))
-    return rows.groupBy("qid").agg(
+    found = rows.groupBy("qid").agg(
         F.array_join(F.transform(kept, lambda x: x["block"]), "").alias("block"),
         F.array_sort(F.collect_list(F.when(F.col("kept"), cite))).alias("citations"),
-        F.count_if(~F.col("kept")).alias("dropped"),
+        F.count_if(F.col("kept")).alias("_kept"),
         F.sum(F.when(F.col("kept"), F.col("cost"))).alias("tokens"),
         F.max("oversized").alias("oversized"),
     )
+    every = excerpts.groupBy(F.col("qid").alias("_q")).agg(F.count("*").alias("_n"))
+    return found.join(every, F.col("qid").eqNullSafe(F.col("_q"))).select("qid", "block", "citations", (F.col("_n") - F.col("_kept")).alias("dropped"), "tokens", "oversized")
 
 
 def requests(questions: DataFrame, found: DataFrame, model: str, prompt: str = PROMPT) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,9 @@
 """Queries that look up no words read the notes and build no index; what they share grows with its input."""
 
-from notequery.operators import index, segments
-from notequery.plans import _tables, search
+from pyspark.sql import functions as F
+
+from notequery.operators import context, index, segments
+from notequery.plans import _tables, library, search
 from notequery.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,9 +54,22 @@ def test_posting_counts_need_no_stored_index(spark, monkeypatch):
     unbuilt(spark, monkeypatch, search.posting_rows)
 
 
+def test_contexts_need_no_index(spark, monkeypatch):
+    unbuilt(spark, monkeypatch, library.contexts)
+
+
 def test_upkeep_copies_no_index_and_leaves_the_one_that_others_read(spark):
     before = sorted(map(str, _tables.indexed(spark, SMALL).passages.collect()))
     folder, first = _tables.index_folder(spark, SMALL), sorted(map(str, search.upkeep(spark, SMALL).collect()))
     assert not [n for n in tables.names(spark, tables.shared_dir(spark)) if n.startswith("kept-index")]
     assert segments.snapshot(spark, folder)["version"] > 1 and sorted(map(str, _tables.indexed(spark, SMALL).passages.collect())) == before
     assert sorted(map(str, search.upkeep(spark, SMALL).collect())) == first != before
+
+
+def test_contexts_bring_together_only_what_may_fit(spark):
+    rows = [(q, f"n{i:04}.md", "T", "f", "", 1, 2, LONG, None, i) for q in ("q", None) for i in range(500)] + [("big", "b.md", "T", "f", "", 1, 2, LONG * 50, None, 1)]
+    excerpts = spark.createDataFrame(rows, "qid string, path string, title string, folder string, heading_path string, line_start int, line_end int, text string, modified timestamp, rank int")
+    made = context.contexts(excerpts, 300)
+    assert "WindowGroupLimit" in plan(made)
+    every = context.budget(excerpts, 300).groupBy("qid").agg(F.count_if("kept").alias("k"), F.count_if(~F.col("kept")).alias("d"), F.sum(F.when(F.col("kept"), F.col("cost"))).alias("t"), F.max("oversized").alias("o"))
+    assert sorted(map(str, made.select("qid", F.size("citations"), "dropped", "tokens", "oversized").toDF(*every.columns).collect())) == sorted(map(str, every.collect()))
